@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_dedup, packing
+from . import binary_ids, chat, exact_dedup, html_extract, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,48 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(spark.sql(HOSTILE))))
+
+
+#: A conversation whose texts hold control strings of common templates.
+HOSTILE = r"""
+SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, concat(chr(92), '### Assistant: </turn> ok') AS text
+FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)
+"""
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents, with cutoffs certified on all labels."""
+    found = quality.quality_verdicts(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"]
+    )
+    m = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select(
+        "doc_id", *(F.col(f"_q_m.{c}").alias(c) for c in m),
+        F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model learnt on the learning fold of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (~toxicity.learning_fold(F.col("doc_id"))).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    texts = html_extract.extract_main_text(pages, html_extract.train(pages))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b files of all documents, read back."""
     segments = binary_ids.write_ids(table(spark, sf_dir, "documents"), word_bpe())
@@ -45,7 +87,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op7_binary_ids": op7_binary_ids, "op9_exact_dedup": op9_exact_dedup}
+    found = (
+        op1_packing, op2_chat, op4_quality, op5_toxicity, op7_binary_ids, op9_exact_dedup, op10_html_extract,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
