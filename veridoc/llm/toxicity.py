@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-NGRAMS = (3, 4, 5)
+NGRAMS = (4, 6, 8)
 BUCKETS = 1 << 21
 PER_CLASS = 1500
-FEATURES = 100_000
+FEATURES = 20_000
 MIN_DOCS = 3
 STEPS = 150
 THRESHOLD = 0.7
@@ -130,7 +130,7 @@ def margin(row: np.ndarray, index: np.ndarray, weight: np.ndarray, b: float) ->
     return float(weight[at[index[at] == row]].sum()) + b
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, l2: float = 1e-3):
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, l2: float = 1e-4):
     """(index, weights, intercept, slope, shift): probability = sigmoid(slope * margin + shift).
 
     ``weight`` restores the classes' shares in the labels, which the bounded sample may have changed.
