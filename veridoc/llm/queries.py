@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, chat, exact_dedup, html_extract, packing, quality, toxicity
+from . import binary_ids, chat, exact_dedup, html_extract, packing, quality, toxicity, weighted_minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,12 @@ def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.read_ids(segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    found = weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copy groups of all documents."""
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
@@ -88,7 +94,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict:
     found = (
-        op1_packing, op2_chat, op4_quality, op5_toxicity, op7_binary_ids, op9_exact_dedup, op10_html_extract,
+        op1_packing, op2_chat, op4_quality, op5_toxicity, op7_binary_ids, op8_near_dedup, op9_exact_dedup,
+        op10_html_extract,
     )
     return {f.__name__: f for f in found}
 
