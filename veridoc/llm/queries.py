@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, chat, exact_dedup, html_extract, packing, quality, toxicity, weighted_minhash
+from . import backoff_lm, binary_ids, chat, exact_dedup, html_extract, packing, quality, toxicity, weighted_minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,13 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents under the counts of all documents."""
+    scored = backoff_lm.log_scores(table(spark, sf_dir, "documents"))
+    mean = F.round(F.col("log_score") / F.greatest("n_words", F.lit(1)), 6)
+    return scored.select("doc_id", "n_words", mean.alias("mean_log_score"))
+
+
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b files of all documents, read back."""
     segments = binary_ids.write_ids(table(spark, sf_dir, "documents"), word_bpe())
@@ -94,7 +101,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict:
     found = (
-        op1_packing, op2_chat, op4_quality, op5_toxicity, op7_binary_ids, op8_near_dedup, op9_exact_dedup,
+        op1_packing, op2_chat, op4_quality, op5_toxicity, op6_lm_scoring, op7_binary_ids, op8_near_dedup, op9_exact_dedup,
         op10_html_extract,
     )
     return {f.__name__: f for f in found}
