@@ -51,12 +51,12 @@ def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     best = np.zeros(n, np.uint8)  # selector that packs most values from each position on; ESCAPE until one fits
     for s in sorted(SELECTORS, reverse=True):
         count, bits = SELECTORS[s]
-        wide = v >= np.uint64(1 << bits)
-        if wide.all():
+        fits = np.flatnonzero(v < np.uint64(1 << bits))  # a run of ``count`` of them starts where the sorted places agree
+        if len(fits) < count:
             break
-        seen = np.concatenate([[0], np.cumsum(wide)])
-        end = np.minimum(np.arange(n) + count, n)
-        best[(left >= count) & (seen[end] == seen[:-1])] = s
+        first = fits[: len(fits) - count + 1]
+        first = first[fits[count - 1 :] - first == count - 1]
+        best[first[left[first] >= count]] = s
     step = np.array([1] + [SELECTORS[s][0] for s in range(1, 15)])[best].tolist()
     at, i = [], 0
     while i < n:
@@ -127,8 +127,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
             if not batch.num_rows:
                 continue
             shard = batch.column(2)[0].as_py()
-            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts, 1_000_000):
+            own, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in blocks(texts, 500_000):
                 flat, lengths = enc.encode(texts[a:b], end_id)
                 held.append(flat)
                 ids += own[a:b]

@@ -48,8 +48,8 @@ def packed_pieces(docs: DataFrame, tokenizer: str, largest: int = MAX_TOKENS, en
             if not batch.num_rows:
                 continue
             shard = batch.column(2)[0].as_py()
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in blocks(texts, 500_000):
                 flat, lengths = enc.encode(texts[a:b], end_id)
                 raw = memoryview(flat.astype("<u4").tobytes())
                 cols: list[list] = [[] for _ in range(6)]

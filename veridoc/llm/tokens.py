@@ -8,84 +8,121 @@ several times cheaper than passing every repetition through it.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 250_000
+
+
+#: A chunk of Latin letters and what may follow it.  The pre-tokenizer always cuts behind a run of letters and the
+#: normalizer lower-cases, so the two parts are encoded alone, and letters once for all their cases and endings.
+LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]*)")
+WORD_END = "</w>"  # fixed value: how the vocabulary marks the last piece of a word
+GROUP = 64  # letter runs that one library call encodes as one text
 
 
 class ChunkEncoder:
-    """Encodes lists of texts to one flat id array plus lengths."""
+    """Encodes lists of texts to one flat id array plus lengths.
+
+    A chunk is one or two units (letters, ending); a unit's ids are a slice of ``flat``.  Unit 0 is empty.
+    """
 
     def __init__(self, path: str, limit: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
-        self.mark, self.mark_id = added[0] if added else (None, None)
         self.limit = limit
+        vocab = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[i for piece, i in vocab.items() if piece.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {"": 0}
+        self.pairs = np.zeros((1, 2), np.int64)
+        self.units: dict[str, int] = {"": 0}
         self.starts = np.zeros(1, np.int64)
         self.sizes = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _unit(self, key: str, new: list[str]) -> int:
+        at = self.units.get(key)
+        if at is None:
+            at = self.units[key] = len(self.units)
+            new.append(key)
+        return at
+
     def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks; a special token between them shows where each ends."""
-        plain = [c for c in chunks if self.mark is not None and self.mark not in c]
-        odd = [c for c in chunks if self.mark is None or self.mark in c]
-        ids: list[np.ndarray] = []
-        sizes: list[int] = []
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            got = np.asarray(
-                self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.uint32
-            )
-            ends = np.append(np.flatnonzero(got == self.mark_id), len(got))
-            sizes += np.diff(ends, prepend=-1).tolist()
-            ids.append(got[got != self.mark_id])
-        sizes = [n - 1 for n in sizes]
-        for c in odd:
-            got = np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32)
-            ids.append(got)
-            sizes.append(len(got))
-        base = len(self.sizes)
-        for k, c in enumerate(plain + odd):
-            self.place[c] = base + k
-        new = np.asarray(sizes, np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
-        self.sizes = np.concatenate([self.sizes, new])
-        self.flat = np.concatenate([self.flat, *ids])
-
-    def encode(self, texts: Sequence[str | None], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new chunks; letter runs go to the library in groups and are told apart by their last pieces."""
+        pairs, new = np.zeros((len(chunks), 2), np.int64), []
+        for k, c in enumerate(chunks):
+            m = LETTERS.fullmatch(c)
+            if m:
+                pairs[k, 0] = self._unit(m[1].lower(), new)
+                if m[2]:
+                    pairs[k, 1] = self._unit(m[2], new)
+            else:
+                pairs[k, 0] = self._unit(c, new)
+            self.place[c] = len(self.pairs) + k
+        runs = [i for i, c in enumerate(new) if c.isalpha() and LETTERS.fullmatch(c)]
+        is_run = np.zeros(len(new), bool)
+        is_run[runs] = True
+        odd = np.flatnonzero(~is_run).tolist()
+        sizes = np.zeros(len(new), np.int64)
+        ids: list[int] = []
+        groups = [runs[i : i + GROUP] for i in range(0, len(runs), GROUP)]
+        texts = [" ".join([new[i] for i in g]) for g in groups]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids += e.ids
+        ends = np.flatnonzero(self.is_end[np.asarray(ids, np.int64)])
+        if len(ends) != len(runs):
+            raise ValueError("the tokenizer does not end every run of letters with a word-end piece")
+        sizes[runs] = np.diff(ends, prepend=-1)
+        alone = self.tokenizer.encode_batch_fast([new[i] for i in odd], add_special_tokens=False) if odd else []
+        for i, e in zip(odd, alone, strict=True):
+            sizes[i] = len(e.ids)
+            ids += e.ids
+        order = np.array(runs + odd, np.int64)
+        starts = np.zeros(len(new), np.int64)
+        starts[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.starts = np.concatenate([self.starts, starts])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.asarray(ids, np.uint32)])
+
+    def encode(self, texts: Sequence[str | None] | pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, ids per text), each text followed by ``end_id`` unless that is None; null is empty."""
         if len(self.place) > self.limit:
             self.clear()
-        chunks: list[str] = []
-        counts = np.empty(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            own = t.replace("\n", " ").split(" ") if t else []
-            counts[k] = len(own)
-            chunks += own
-        self._learn(list(set(chunks).difference(self.place)))
-        where = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        known = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = known < 0
+        base = len(self.pairs)
+        self._learn(distinct[new].tolist())
+        known[new] = base + np.arange(new.sum())
+        where = self.pairs[known[coded.indices.to_numpy()]].ravel()
         size = self.sizes[where]
         ends = np.concatenate([[0], np.cumsum(size)])
-        edges = np.concatenate([[0], np.cumsum(counts)])
+        edges = 2 * np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         lengths = ends[edges[1:]] - ends[edges[:-1]]
         flat = self.flat[np.repeat(self.starts[where] - ends[:-1], size) + np.arange(ends[-1])]
         if end_id is None:
             return flat, lengths
         out = np.full(len(flat) + len(texts), end_id, np.uint32)
-        last = np.cumsum(lengths + 1) - 1
         keep = np.ones(len(out), bool)
-        keep[last] = False
+        keep[np.cumsum(lengths + 1) - 1] = False
         out[keep] = flat
         return out, lengths + 1
 
@@ -96,14 +133,12 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def blocks(texts: Sequence[str | None], chars: int = 4_000_000):
-    """Slices of at most ``chars`` characters (at least one text each), so that memory stays bounded."""
-    start, held = 0, 0
-    for k, t in enumerate(texts):
-        n = len(t or "")
-        if k > start and held + n > chars:
-            yield start, k
-            start, held = k, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
+def blocks(texts: pa.Array, size: int = 4_000_000):
+    """Slices of at most ``size`` bytes (at least one text each), so that memory stays bounded."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, stop
+        start = stop
