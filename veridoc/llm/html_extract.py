@@ -20,6 +20,7 @@ import html
 import random
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-SAMPLE_PAGES = 300
-TREES, DEPTH = 12, 5
+SAMPLE_PAGES = 500
+TREES, DEPTH = 14, 5
+PAGES_AT_ONCE = 200
+COHESION = 1.0
 TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
 )
@@ -63,7 +66,7 @@ GROUPS = tuple(TOKENS)
 TAG_KINDS = ("p", "h", "li", "list", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "table", "quote", "other")
 FEATURES = (
     "log_text", "log_words", "link_share", "density", "tags", "paragraphs", "stops", "depth", "place", "siblings",
-    "text_share", "sibling_share", "own_share", "near_head",
+    "text_share", "sibling_share", "own_share", "near_head", "same_tag", "up_log_text", "up_link_share", "sibling_mean",
     *(f"tag_{k}" for k in TAG_KINDS), *(f"own_{g}" for g in GROUPS), *(f"up_{g}" for g in GROUPS), *(f"up_tag_{k}" for k in TAG_KINDS),
 )
 
@@ -84,6 +87,7 @@ class Node:
     paragraphs: int = 0
 
 
+@lru_cache(maxsize=512)
 def kind(tag: str) -> str:
     if re.fullmatch(r"h[1-6]|hgroup", tag):
         return "h"
@@ -220,25 +224,37 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         above_group[i] = np.maximum(above_group[up[i]], group_hot[up[i]])
         above_tag[i] = np.maximum(above_tag[up[i]], tag_hot[up[i]])
         heading[i] = kind(nodes[i - 1].tag) == "h" and nodes[i - 1].parent == nodes[i].parent
+    counts = np.bincount(up[1:], minlength=n)
+    alike: dict[tuple[int, str], int] = {}
+    for i in range(1, n):
+        alike[up[i], nodes[i].tag] = alike.get((up[i], nodes[i].tag), 0) + 1
+    same = np.array([alike.get((up[i], nodes[i].tag), 1) for i in range(n)]) / np.maximum(counts[up], 1)
     basic = np.column_stack([
         np.log1p(text), np.log1p(words), linked / np.maximum(text, 1), text / (1 + tags), np.log1p(tags), np.log1p(paragraphs),
         stops / np.maximum(words, 1), [x.depth for x in nodes], [x.place for x in nodes], [nodes[p].children for p in up],
         text / max(text[0], 1), text / np.maximum(big_child[up], 1), own / np.maximum(text, 1), heading,
+        same, np.log1p(text[up]), linked[up] / np.maximum(text[up], 1), np.log1p(text[up] / np.maximum(counts[up], 1)),
     ])
     return np.column_stack([basic, tag_hot, group_hot, above_group, above_tag])
 
 
 def decode(nodes: list[Node], probability: np.ndarray) -> np.ndarray:
-    """Likeliest labels in which every ancestor of a main-text node holds main text."""
+    """Likeliest labels in which every ancestor of a main-text node holds main text.
+
+    A node below a main-text element other than the page's body is likelier main text too, by COHESION in log-odds.
+    """
     p = np.clip(probability, 1e-4, 1 - 1e-4)
     yes, no = np.log(p), np.log1p(-p)  # best of the subtree with the node labelled 1, and with the whole subtree 0
+    gain = np.zeros(len(nodes))
     for i in range(len(nodes) - 1, 0, -1):
         up = nodes[i].parent
-        yes[up] += max(yes[i], no[i])
+        held = 0.0 if nodes[up].tag in ("html", "body") else COHESION
+        gain[i] = held
+        yes[up] += max(yes[i] + held, no[i])
         no[up] += no[i]
     keep = np.zeros(len(nodes), bool)
     for i, x in enumerate(nodes):
-        keep[i] = (x.parent < 0 or keep[x.parent]) and yes[i] >= no[i]
+        keep[i] = (x.parent < 0 or keep[x.parent]) and yes[i] + gain[i] >= no[i]
     return keep
 
 
@@ -294,6 +310,21 @@ def _boiler(rng: random.Random, words: list[str]) -> tuple[str, str, str]:
     return f"<{t} {hint}><h3>{say(1, 3)}</h3>{''.join(one() for _ in range(rng.randint(1, 6)))}</{t}>", rng.choice(["after", "after", "inside"]), "out"
 
 
+def _prose(rng: random.Random, words: list[str]) -> str:
+    """A piece of main text in an uncommon shape: short paragraph, list, quotation, table or heading."""
+    say = lambda a, b: html.escape(" ".join(rng.choices(words, k=rng.randint(a, b))))
+    shape = rng.choice(["short", "short", "list", "quote", "table", "head"])
+    if shape == "short":
+        return f"<p>{say(1, 6)}</p>"
+    if shape == "list":
+        return "<ul>" + "".join(f"<li>{say(2, 20)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
+    if shape == "quote":
+        return f"<blockquote><p>{say(5, 40)}</p></blockquote>"
+    if shape == "table":
+        return f"<table><tr><td>{say(1, 5)}</td><td>{say(1, 5)}</td></tr></table>"
+    return f"<h2>{say(1, 6)}</h2><p>{say(3, 40)}</p>"
+
+
 def variants(source: str, seed: int) -> list[str]:
     """The page and copies of it with inserted boilerplate; the article keeps its element so the labels stay known."""
     rng = random.Random(seed)
@@ -309,6 +340,11 @@ def variants(source: str, seed: int) -> list[str]:
             block, where, _ = _boiler(rng, words)
             {"before": before, "inside": inside, "after": after}[where].append(block)
         body = source[found.end() : close]
+        paragraphs = [m.start() for m in re.finditer(r"<p\b", body)]
+        if len(paragraphs) > 2 and rng.random() < 0.35:  # a short article
+            body = body[: paragraphs[rng.randint(1, 2)]]
+        else:
+            inside += [_prose(rng, words) for _ in range(rng.randint(0, 4))]
         spots = [m.start() for m in re.finditer(r"<p\b", body)] + [len(body)]
         for block in inside:
             k = rng.choice(spots)
@@ -402,12 +438,18 @@ def probability(model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-2 * total))
 
 
-def main_text(source: str | None, model) -> str:
-    nodes, blocks = read_page(source)
+def main_texts(sources: list[str | None], model) -> list[str]:
+    """Main text of each page; the trees see the nodes of many pages at once."""
+    pages = [read_page(s) for s in sources]
     if model is None:
-        return "\n\n".join(t for _, t in blocks)
-    keep = decode(nodes, probability(model, node_features(nodes)))
-    return "\n\n".join(t for n, t in blocks if keep[n])
+        return ["\n\n".join(t for _, t in blocks) for _, blocks in pages]
+    scores = probability(model, np.concatenate([node_features(nodes) for nodes, _ in pages])) if pages else []
+    out, at = [], 0
+    for nodes, blocks in pages:
+        keep = decode(nodes, scores[at : at + len(nodes)])
+        at += len(nodes)
+        out.append("\n\n".join(t for n, t in blocks if keep[n]))
+    return out
 
 
 def extract_main_text(pages: DataFrame, model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -415,6 +457,7 @@ def extract_main_text(pages: DataFrame, model, id_col: str = "page_id", url_col:
 
     @F.pandas_udf(StringType())
     def texts(sources: pd.Series) -> pd.Series:
-        return pd.Series([main_text(s, model) for s in sources], dtype=object)
+        pages, some = sources.tolist(), range(0, len(sources), PAGES_AT_ONCE)
+        return pd.Series([t for k in some for t in main_texts(pages[k : k + PAGES_AT_ONCE], model)], dtype=object)
 
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), texts(F.col(html_col)).alias("text"))
