@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, binary_ids, chat, exact_dedup, html_extract, packing, quality, toxicity, weighted_minhash
+from . import backoff_lm, binary_ids, chat, exact_dedup, html_extract, packing, quality, spm_sampling, toxicity, weighted_minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,15 @@ FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)
 """
 
 
+def op3_spm_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every document."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    drawn = spm_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model)
+    return drawn.drop("ids")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all documents, with cutoffs certified on all labels."""
     found = quality.quality_verdicts(
@@ -101,7 +110,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict:
     found = (
-        op1_packing, op2_chat, op4_quality, op5_toxicity, op6_lm_scoring, op7_binary_ids, op8_near_dedup, op9_exact_dedup,
+        op1_packing, op2_chat, op3_spm_sampling, op4_quality, op5_toxicity, op6_lm_scoring, op7_binary_ids, op8_near_dedup, op9_exact_dedup,
         op10_html_extract,
     )
     return {f.__name__: f for f in found}
