@@ -9,7 +9,8 @@ from veridoc.functions import pii
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    """Streams get a watermark, for which the time must be a zoned timestamp."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
 
 
 def rate_limit_windows(events: DataFrame, limit: int = 30, late: str = "5 minutes") -> DataFrame:
