@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Plans of the engine: the registered queries."""
+
+from veridoc.plans import more_queries, queries  # noqa: F401
