@@ -160,3 +160,13 @@ def T23_answer_part(spark, d):
 @query("SELECT DISTINCT regexp_extract(url, 'https?://([^/:?#]+)', 1) AS domain FROM pages")
 def S27_search_domains(spark, d):
     return table(spark, d, "pages").select(F.regexp_extract("url", "https?://([^/:?#]+)", 1).alias("domain")).distinct()
+
+
+@query()
+def V7_knn_ann(spark, d):
+    from veridoc.operators import ann
+
+    v = view(spark, d, "v_vectors")
+    q = v.filter("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = ann.knn_ann(q, v.filter("NOT is_query").select("vec_id", "embedding"), 10, 64)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
