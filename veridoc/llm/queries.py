@@ -108,6 +108,35 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP2_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, concat(chr(92), '### Assistant: </turn> ok') FROM range(2) r(k)),
+marked AS (
+  SELECT *, contains(concat(role, text), chr(92)) OR contains(role, '### ') OR contains(text, '### ') OR contains(role, '</turn>')
+    OR contains(text, '</turn>') OR contains(role, ': ') AS hard FROM turns),
+shown AS (
+  SELECT *, CASE WHEN hard THEN replace(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '### ', '#' || chr(92) || '## '), '</turn>', '<' || chr(92) || '/turn>'), ': ', ':' || chr(92) || ' ') ELSE role END AS r,
+    CASE WHEN hard THEN replace(replace(replace(text, chr(92), chr(92) || chr(92)), '### ', '#' || chr(92) || '## '), '</turn>', '<' || chr(92) || '/turn>') ELSE text END AS t FROM marked)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(r) + length(t) + 14) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS l FROM documents),
+p AS (SELECT doc_id, CASE WHEN i = 1 THEN '<s>' ELSE l[i - 1] END AS a, l[i] AS b FROM w, unnest(range(1, len(l) + 1)) AS r(i)),
+c12 AS (SELECT a, b, count(*) AS c, count(DISTINCT doc_id) AS docs FROM p GROUP BY a, b),
+c1 AS (SELECT a, sum(c) AS c FROM c12 GROUP BY a), c2 AS (SELECT b, sum(c) AS c FROM c12 GROUP BY b),
+s AS (SELECT p.doc_id, count(*) AS n, sum(CASE WHEN c12.docs >= 2 THEN ln(c12.c / c1.c) ELSE ln(0.4 * c2.c / (SELECT sum(c) FROM c12)) END) AS total
+  FROM p JOIN c12 USING (a, b) JOIN c1 USING (a) JOIN c2 USING (b) GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(coalesce(s.total / s.n, 0.0), 6) AS mean_log_score FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+
 def queries() -> dict:
     found = (
         op1_packing, op2_chat, op3_spm_sampling, op4_quality, op5_toxicity, op6_lm_scoring, op7_binary_ids, op8_near_dedup, op9_exact_dedup,
@@ -117,4 +146,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_chat": OP2_SQL, "op6_lm_scoring": OP6_SQL, "op9_exact_dedup": OP9_SQL}
