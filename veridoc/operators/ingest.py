@@ -90,3 +90,49 @@ def route_sources(registry: DataFrame, adapters: list[str], slug: str = "slug",
         .otherwise("ingest")
     )
     return registry.select(slug, how.alias("route"))
+
+
+def strip_label(paragraphs: Column, label: str) -> Column:
+    """Paragraphs without leading ones that are only a label; the label is cut from the first that remains."""
+    only = f"^\\s*(?:{label})\\s*[:：]?\\s*$"
+    real = F.filter(paragraphs, lambda p: F.trim(p) != "")
+    first = F.coalesce(F.array_position(F.transform(real, lambda p: ~p.rlike(only)), True), F.lit(0)).cast("int")
+    rest = F.slice(real, F.greatest(first, F.lit(1)), F.size(real) + 1)
+    cut = F.transform(rest, lambda p, i: F.when(i == 0, F.regexp_replace(p, f"^\\s*(?:{label})\\s*[:：]\\s*", "")).otherwise(p))
+    return F.when(first > 0, cut).otherwise(F.array().cast("array<string>"))
+
+
+def split_question_answer(paragraphs: Column, question: str, answer: str) -> Column:
+    """Struct of the paragraphs from the first question label and from the first answer label behind it, or null."""
+    at = lambda label: F.array_position(F.transform(paragraphs, lambda p: p.rlike(f"^\\s*(?:{label})\\s*[:：]")), True).cast("int")
+    q, a = at(question), at(answer)
+    fine = (q > 0) & (a > q)
+    return F.when(fine, F.struct(
+        strip_label(F.slice(paragraphs, F.greatest(q, F.lit(1)), F.greatest(a - q, F.lit(0))), question).alias("question"),
+        strip_label(F.slice(paragraphs, F.greatest(a, F.lit(1)), F.size(paragraphs) + 1), answer).alias("answer")))
+
+
+def compose_record(*parts: Column) -> Column:
+    """Single-spaced parts joined by blank lines; empty ones are left out."""
+    flat = F.transform(F.array(*parts), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    return F.array_join(F.filter(flat, lambda p: p.isNotNull() & (p != "")), "\n\n")
+
+
+def route_urls(urls: DataFrame, sites: DataFrame, key: str, limit: int) -> DataFrame:
+    """First site (by ord) whose pattern matches a URL gives slug and page id; distinct pages, the first ``limit`` per key.
+
+    sites is a small rules table (slug, ord, pattern with one group).
+    """
+    hits = urls.join(F.broadcast(sites), F.expr("url rlike pattern")).withColumn("page", F.expr("regexp_extract(url, pattern, 1)"))
+    first = hits.groupBy(key, "place", "url").agg(F.min(F.struct("ord", "slug", "page")).alias("s"))
+    pages = first.groupBy(key, F.col("s.slug").alias("slug"), F.col("s.page").alias("page")).agg(F.min("place").alias("place"))
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(key).orderBy("place")
+    return pages.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit).drop("_k")
+
+
+def write_results(tables: dict[str, DataFrame], path: str, batch: str) -> None:
+    """One Parquet write per table under a batch folder, so that a rerun of the batch replaces only itself."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
