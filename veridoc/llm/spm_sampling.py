@@ -36,6 +36,7 @@ MARK = "▁"  # stands for a space
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ZIPF_SHIFT = 2.7
 WORD_CACHE = 80_000
+MASK = (1 << 64) - 1
 RESULT = "doc_id long, sample int, log_prob double, perturbed double, inclusion double, n_pieces long, ids_crc32 long, ids binary, decoded_ok boolean"
 
 
@@ -135,7 +136,7 @@ class Lattices:
         last = to == end[place]
         # Backward masses, from each word's end: nodes at the same distance together.
         far = (end - np.arange(m))[place]
-        order = np.lexsort((place, far))
+        order = np.argsort(far * (m + 1) + place, kind="stable")
         mass = np.zeros(m + 1)
         target = np.where(last, m, to)
         steps = np.searchsorted(far[order], np.arange(1, int(sizes.max()) + 2))
@@ -146,7 +147,7 @@ class Lattices:
             top = np.maximum.reduceat(value, cut)
             size = np.diff(np.append(cut, len(own)))
             mass[place[own[cut]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), cut))
-        order = np.lexsort((length, place))
+        order = np.argsort(place * (self.longest + 1) + length)
         place, target = place[order], target[order]
         log_q = log_p[order] + mass[target] - mass[place]
         cut = np.flatnonzero(np.diff(place, prepend=-1))
@@ -204,6 +205,14 @@ def uniform(key: np.ndarray, stream: int) -> np.ndarray:
     return ((mix(key + np.uint64(stream)) >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
 
 
+def uniform_one(key: int, stream: int) -> float:
+    """``uniform`` of a single key."""
+    x = key + stream & MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return ((x ^ x >> 31) >> 12) / 2.0**52 + 2.0**-53
+
+
 def truncated(phi: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Largest of Gumbel values with log-mass phi, given that it is at most ``bound``."""
     with np.errstate(divide="ignore"):
@@ -256,17 +265,16 @@ class _Search:
         else:
             self.groups[p][d] = -np.inf
         _, _, word, node, edge = self.paths[p]
-        every = np.arange(lat.first[node[d]], lat.first[node[d] + 1])
-        left = every[~np.isin(every, taken)]
+        left = np.array([e for e in range(lat.first[node[d]], lat.first[node[d] + 1]) if e not in taken])
         q = lat.log_q[left]
         share = np.exp(q - q.max())
-        key = np.array([self.key ^ (len(self.paths) * 0x9E3779B97F4A7C15 & (1 << 63) - 1)], np.uint64)
-        pick = min(int(np.searchsorted(np.cumsum(share), uniform(key, 3)[0] * share.sum())), len(left) - 1)
+        key = self.key ^ len(self.paths) * 0x9E3779B97F4A7C15 & MASK
+        pick = min(int(np.searchsorted(np.cumsum(share), uniform_one(key, 3) * share.sum())), len(left) - 1)
         rest = np.delete(left, pick)
         before = float(lat.log_q[edge[:d]].sum())
         if len(rest):
             phi = before + np.logaddexp.reduce(lat.log_q[rest])
-            v = float(truncated(np.array([phi]), value, uniform(key, 5))[0])
+            v = float(truncated(phi, value, uniform_one(key, 5)))
             self.extra.append((v, p, d, [*taken, int(left[pick])]))
         return value, word[: d + 1], node[: d + 1], np.append(edge[:d], left[pick])
 
@@ -284,7 +292,7 @@ def sample_texts(texts: list[str], keys: list[int], lat: Lattices, k: int = SAMP
         jobs = []  # (search, prefix, value, decisions kept, nodes to walk, their word numbers)
         for s in searches:
             if not turn:
-                g = -math.log(-math.log(uniform(np.array([s.key], np.uint64), 7)[0]))
+                g = -math.log(-math.log(uniform_one(s.key, 7)))
                 empty = np.zeros(0, np.int64)
                 jobs.append((s, empty, empty, empty, g, s.words, np.arange(len(s.words))))
                 continue
@@ -300,7 +308,7 @@ def sample_texts(texts: list[str], keys: list[int], lat: Lattices, k: int = SAMP
         sizes = np.array([len(j[5]) for j in jobs])
         owner = np.repeat(np.arange(len(jobs)), sizes)
         number = np.concatenate([j[6] for j in jobs])
-        seeds = np.array([mix(np.array([(j[0].key << 4) + turn + 1], np.uint64))[0] for j in jobs], np.uint64)
+        seeds = mix(np.array([(j[0].key << 4) + turn + 1 for j in jobs], np.uint64))
         key = mix(seeds[owner] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         word, node, edge = lat.walk(np.concatenate([j[5] for j in jobs]).astype(np.int64), key)
         cuts = np.searchsorted(owner[word] if len(word) else word, np.arange(len(jobs) + 1))
@@ -329,7 +337,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, id_col:
         lat = lattices(model)
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(batch.column(2), 300_000):
+            for a, b in blocks(batch.column(2), 800_000):
                 texts = [normalized(t) for t in batch.column(2)[a:b].to_pylist()]
                 rows = []
                 for doc, text, found in zip(ids[a:b], texts, sample_texts(texts, keys[a:b], lat, k), strict=True):
