@@ -17,6 +17,7 @@ an empty result; extra columns are not read.
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from dataclasses import dataclass, field
@@ -393,7 +394,9 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     from pyspark.ml.functions import array_to_vector
 
     seed = F.xxhash64(F.col(id_col), F.lit(3))
-    some = pages.select(F.col(html_col).alias("html"), seed.alias("seed")).orderBy("seed", F.xxhash64("html")).limit(sample)
+    share = min(1.0, 2 * sample / max(pages.select(id_col).count(), 1))  # so that the sort sees few pages of any input
+    likely = F.pmod(seed, F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
+    some = pages.filter(likely).select(F.col(html_col).alias("html"), seed.alias("seed")).orderBy("seed", F.xxhash64("html")).limit(sample)
     nodes = some.repartition(8).select(training_nodes("html", "seed").alias("t")).select(F.explode(F.arrays_zip("t.x", "t.y")).alias("t"))
     data = nodes.select(array_to_vector(F.col("t.x")).alias("features"), F.col("t.y").alias("label")).persist()
     if data.select("label").distinct().count() < 2:
