@@ -262,18 +262,20 @@ def test_near_duplicates(spark, docs, empty):
     assert wm.near_duplicates(empty).count() == 0
 
 
-def test_late_blocks_find_links_that_pivots_miss(spark):
-    rows, prints = [], np.zeros((5, wm.SAMPLES), np.uint16)
-    prints[1:3] = 7
-    prints[3:] = np.arange(2 * wm.SAMPLES, dtype=np.uint16).reshape(2, -1) + 9
-    for i in range(5):
+def test_late_blocks_find_links_that_pivots_miss(spark, monkeypatch):
+    rows, sets, prints = [], [], np.zeros((6, wm.SAMPLES), np.uint16)
+    prints[1:4] = 7  # nodes 1 and 2 are similar, node 3 only looks so
+    prints[4:] = np.arange(2 * wm.SAMPLES, dtype=np.uint16).reshape(2, -1) + 9
+    for i in range(6):
+        h = np.arange(10) + (100 if i == 3 else 0) + (i == 2)
         rows.append((1, i, i, bytearray(prints[i].tobytes())))
+        sets.append((i, bytearray(h.astype("<u8").tobytes()), bytearray(np.ones(10, "<f4").tobytes())))
     df = spark.createDataFrame(rows, "key long, node long, label long, prints binary")
-    members = spark.createDataFrame([(1, 5)], "key long, n long")
+    kept = spark.createDataFrame(sets, "node long, h binary, w binary")
+    members = spark.createDataFrame([(1, 6)], "key long, n long")
     for block in (512, 2):
-        wm.BLOCK = block
-        assert [(r["a"], r["b"]) for r in wm.compare_blocks(df, members).collect()] == [(1, 2)]
-    wm.BLOCK = 512
+        monkeypatch.setattr(wm, "BLOCK", block)
+        assert [(r["a"], r["b"]) for r in wm.compare_blocks(df, members, kept).collect()] == [(1, 2)]
 
 
 def test_consistent_sampling_estimates_weighted_jaccard():

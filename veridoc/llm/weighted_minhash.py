@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import join_groups, text_of, write_table
+from .common import arrow_rows, join_groups, text_of, write_table
 from .tokens import blocks
 
 SHINGLE = 5
@@ -43,6 +43,7 @@ SURE_AGREE = 36
 F0 = 0.1
 BUCKETS = 1 << 16
 BLOCK = 512
+ARROW_ROWS = 1000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -152,9 +153,12 @@ def band_keys(prints: np.ndarray) -> np.ndarray:
 
 def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted weighted sets."""
-    both, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
-    least = np.minimum(w1[i], w2[j]).sum()
-    return float(least / (w1.sum() + w2.sum() - least)) if len(both) else 0.0
+    if not (len(h1) and len(h2)):
+        return 0.0
+    at = np.minimum(np.searchsorted(h2, h1), len(h2) - 1)
+    both = h2[at] == h1
+    least = np.minimum(w1[both], w2[at[both]]).sum()
+    return float(least / (w1.sum() + w2.sum() - least))
 
 
 # --- statistics -------------------------------------------------------------------------------------------------------
@@ -246,35 +250,71 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def compare_blocks(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of different components in the same bucket whose fingerprints may agree, compared block by block.
+def compare_blocks(rows: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different components that share a bucket, found block by block.
 
     rows: (key, node, label, prints); members: (key, n).  A bucket of n members is dealt into ceil(n / BLOCK) parts by a
-    hash of the node; each pair of parts is one small group, so no task ever holds more than two parts.
+    hash of the node; each pair of parts is one small group, so no task ever holds more than two parts.  A first pass over
+    fingerprints keeps the members that may have a partner in their group; a second one compares those members' sets
+    where they stand.  Only links leave a group, and none between components it has already joined.
     """
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     dealt = rows.join(members, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.select("key", "node", "label", "prints", "part", other.alias("with"))
-    dealt = dealt.withColumn("p", F.least("part", "with")).withColumn("q", F.greatest("part", "with"))
+    dealt = dealt.withColumn("p", F.least("part", "with")).withColumn("q", F.greatest("part", "with")).drop("with")
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, label, x, part = pdf["node"].to_numpy(), pdf["label"].to_numpy(), _prints(pdf["prints"]), pdf["part"].to_numpy()
-        found = []
+    def partners(pdf: pd.DataFrame):
+        """Per row the later rows of the group that may be similar to it."""
+        label, x, part = pdf["label"].to_numpy(), _prints(pdf["prints"]), pdf["part"].to_numpy()
         two = len(np.unique(part)) > 1
-        for i in range(len(node)):
+        for i in range(len(pdf)):
             ok = ((x[i] == x[i + 1 :]).sum(1) >= MIN_AGREE) & (label[i + 1 :] != label[i])
             if two:
                 ok &= part[i + 1 :] != part[i]
-            found += [(node[i], m) for m in node[i + 1 :][ok]]
+            yield i, np.flatnonzero(ok) + i + 1
+
+    def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(len(pdf), bool)
+        for i, near in partners(pdf):
+            held[near] = True
+            held[i] |= len(near) > 0
+        return pdf[held]
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].tolist()
+        own = [(np.frombuffer(h, "<u8"), np.frombuffer(w, "<f4").astype(float)) for h, w in zip(pdf["h"], pdf["w"], strict=True)]
+        root = {v: v for v in pdf["label"]}
+        labels = pdf["label"].tolist()
+        size = [float(w.sum()) for _, w in own]
+
+        def find(v):
+            while root[v] != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        found = []
+        for i, near in partners(pdf):
+            for j in near.tolist():
+                a, b = find(labels[i]), find(labels[j])
+                if min(size[i], size[j]) < (SIMILAR - 1e-9) * max(size[i], size[j]):
+                    continue  # too unlike in size to reach it
+                if a != b and similarity(*own[i], *own[j]) >= SIMILAR - 1e-9:
+                    root[a] = b
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    some = dealt.groupBy("key", "p", "q").applyInPandas(pairs, "a long, b long")
-    return some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    some = dealt.groupBy("key", "p", "q").applyInPandas(narrow, dealt.schema).join(sets, "node")
+    return some.groupBy("key", "p", "q").applyInPandas(link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, kept, digest (SHA-256 of the text)."""
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):  # every job of the search runs here; only plain joins are left
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(F.col(text_col))
     rows = write_table(
         docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("tag"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")),
@@ -345,9 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n")
     open_keys = write_table(open_keys, "open-buckets")
     rest = write_table(labelled.join(open_keys.select("key"), "key", "left_semi").join(prints, "node"), "open-members")
-    # Pairs that a pivot has tried already need no second look.
-    late = compare_blocks(rest, open_keys).join(pairs, ["a", "b"], "left_anti")
-    extra = write_table(verify(late, sets), "verified-late")
+    extra = write_table(compare_blocks(rest, open_keys, sets), "verified-late")
     if not extra.isEmpty():
         found = components(links.union(extra))
 
