@@ -41,7 +41,7 @@ COMMON = 1 << 17  # words with a rank
 HOT = 1 << 16  # bigrams counted beforehand
 RANK_BITS = 17
 BLOCK_DOCS = 1 << 14
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 PART_BYTES = 24 << 20
 START = np.uint64(0x5354415254)
 MAPPED = "tag long, doc_id long, n_words long, part double, p long, kind int, n long, base long, a binary, b binary, docs binary, m binary"
@@ -96,9 +96,11 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(np.frombuffer(data, np.uint8).reshape(size, -1).T.tobytes(), kind)
 
 
-def choose_routes(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def choose_routes(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of words common in the sample, and of frequent bigrams between them."""
-    sample = texts.orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS)
+    share = min(1.0, SAMPLE_DOCS / max(docs.select(id_col).count(), 1))
+    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
+    sample = docs.filter(chosen).select(F.col(text_col).alias("text")).limit(2 * SAMPLE_DOCS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +154,7 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_words and log_score of every row."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
-    words, pairs = choose_routes(texts)
+    words, pairs = choose_routes(docs, id_col, text_col)
     c1, c2, c12, in_docs, total = count_routes(texts, words, pairs)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(8 * total / PART_BYTES))
     with np.errstate(divide="ignore"):
@@ -214,14 +216,28 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 else:  # second word rare: a rare first word's forward score comes from its own partition
                     forward = np.where(other >= 0, log_pair - l1[other], 0.0)
                     back = math.log(ALPHA) + log_word - log_n
-            tag, at = np.unique(d, return_inverse=True)
-            out.append(pd.DataFrame({"tag": tag, "part": np.bincount(at, m * np.where(known, forward, back))}))
-        return pd.concat(out)
+            block = np.repeat(own["base"].to_numpy(), own["n"].to_numpy())
+            out.append((block, d, m * np.where(known, forward, back)))
+        block, d, value = (np.concatenate(x) for x in zip(*out, strict=True))
+        rows = []
+        for base in np.unique(block):  # one row per block of documents, not one per document
+            at, part = d[block == base] - base, value[block == base]
+            total = np.bincount(at, part)
+            some = np.unique(at)
+            rows.append((base, planes(some.astype(np.uint16)), planes(total[some])))
+        return pd.DataFrame(rows, columns=["base", "docs", "parts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.concatenate([unplanes(v, "<u2") for v in pdf["docs"]]).astype(np.int64)
+        total = np.bincount(at, np.concatenate([unplanes(v, "<f8") for v in pdf["parts"]]))
+        some = np.unique(at)
+        return pd.DataFrame({"tag": some + pdf["base"].iloc[0], "part": total[some]})
 
     source = docs.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     mapped = write_table(source.mapInArrow(explode, MAPPED), "ngrams")
-    sent = mapped.filter("kind >= 0").select("p", "kind", "base", "a", "b", "docs", "m")
-    joined = sent.repartition(parts, "p").groupBy("p").applyInPandas(join, "tag long, part double")
+    sent = mapped.filter("kind >= 0").select("p", "kind", "n", "base", "a", "b", "docs", "m")
+    scored = sent.repartition(parts, "p").groupBy("p").applyInPandas(join, "base long, docs binary, parts binary")
+    joined = scored.groupBy("base").applyInPandas(add, "tag long, part double")
     sums = mapped.filter("kind < 0").select("tag", "part").union(joined).groupBy("tag").agg(F.sum("part").alias("log_score"))
     return mapped.filter("kind < 0").select("tag", "doc_id", "n_words").join(sums, "tag").select("doc_id", "n_words", "log_score")
 
