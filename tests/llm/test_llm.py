@@ -338,6 +338,20 @@ def test_html(spark, sf):
     assert all(keep[n.parent] for n, k in zip(nodes, keep, strict=True) if k and n.parent >= 0)
 
 
+@pytest.mark.parametrize("tag", ["math", "svg", "object", "select", "template", "noscript"])
+def test_html_keeps_what_follows_an_open_element(spark, sf, tag):
+    model = html_extract.train(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"))
+    word = "This is a sentence of the main article, and it is long enough. "
+    for end in ("", f"</{tag}>"):
+        page = f"<html><body><article><h1>Title</h1><p>{word * 3}where <{tag}>a = b{end}, so.</p><p>{word * 5}</p></article></body></html>"
+        want = ["Title", word * 3 + "where a = b, so.", (word * 5).strip()]
+        assert html_extract.main_texts([page], None)[0].split("\n\n") == want
+        got = html_extract.main_texts([page], model)[0].split("\n\n")
+        assert got[0] == want[0] and got[1].startswith(word * 3 + "where") and got[2] == want[2]
+    alone = f"<body><article><p>{word * 3}</p><{tag}><p>{word * 4}</p><p>{word * 5}</p></article></body>"
+    assert html_extract.main_texts([alone], None)[0].split("\n\n") == [(word * k).strip() for k in (3, 4, 5)]
+
+
 def test_pages_give_their_articles(spark, sf):
     import html
     import re

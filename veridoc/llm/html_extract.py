@@ -9,8 +9,9 @@ Training needs no hand labels: on a bounded sample (SAMPLE_PAGES pages, by a has
 elements outside it give the labels, and copies of each page with renamed elements and inserted boilerplate (side bars,
 notices, forms, adverts, comments) teach the model not to rely on one mark-up.
 
-Defined cases: null, empty and unreadable html gives an empty text; broken or unclosed mark-up is closed where a browser
-would; repeated rows give equal texts; without a training page of both classes every block is kept; an empty table gives
+Defined cases: null, empty and unreadable html gives an empty text; broken or unclosed mark-up is closed with the element
+around it, only raw text (RAW) runs to its end tag or the end of the page; what stands in formulas, drawings, objects, menus,
+templates and noscript elements is judged like any other node and stays in its line; repeated rows give equal texts; without a training page of both classes every block is kept; an empty table gives
 an empty result; extra columns are not read.
 """
 
@@ -37,7 +38,8 @@ TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
 )
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "select"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+INLINE = {"math", "svg", "object", "select", "template", "noscript"}  # nodes that do not break the line
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "html", "body", "main", "article", "section", "div", "header", "footer", "nav", "aside", "p", "h1", "h2", "h3", "h4",
@@ -98,7 +100,7 @@ def kind(tag: str) -> str:
         return "li"
     if tag in ("blockquote", "pre", "figure", "figcaption"):
         return "quote"
-    if tag in ("form", "button", "label", "fieldset", "legend", "dialog", "option", "search"):
+    if tag in ("form", "button", "label", "fieldset", "legend", "dialog", "option", "search", "select"):
         return "form"
     if tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"):
         return "table"
@@ -116,33 +118,48 @@ def attribute_groups(attributes: str) -> set:
     return found
 
 
-def read_page(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block-level nodes in page order, and the page's blocks as (node, text)."""
+def read_page(source: str | None) -> tuple[list[Node], list[tuple[int, str, int, bool]]]:
+    """Block-level and INLINE nodes in page order, and the page's blocks as (node, text, line, whether space precedes)."""
     nodes = [Node("html", -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]
-    blocks: list[tuple[int, str]] = []
+    blocks: list[tuple[int, str, int, bool]] = []
     text: list[str] = []
-    link = linked = 0
+    link = linked = line = 0
+    spaced = False
     source = source or ""
 
-    def flush() -> None:
-        nonlocal linked
+    def flush(same_line: bool = False) -> None:
+        nonlocal linked, line, spaced
         if text:
-            whole = " ".join("".join(text).split())
+            raw = "".join(text)
+            whole = " ".join(raw.split())
             text.clear()
+            spaced |= raw[:1].isspace()
             if whole:
                 n = nodes[stack[-1][1]]
                 n.own += len(whole)
                 n.linked += min(linked, len(whole))
                 n.words += whole.count(" ") + 1
                 n.stops += sum(map(whole.count, ".!?"))
-                blocks.append((stack[-1][1], whole))
+                blocks.append((stack[-1][1], whole, line, spaced))
+                spaced = raw[-1:].isspace()
+        if not same_line:
+            line, spaced = line + 1, False
         linked = 0
 
-    def pop_to(k: int) -> None:
-        flush()
+    def pop_to(k: int, same_line: bool = False) -> None:
+        flush(same_line)
         del stack[k:]
 
+    def push(tag: str, attributes: str) -> None:
+        parent = stack[-1][1]
+        up = nodes[parent]
+        nodes.append(Node(tag, parent, up.depth + 1, attribute_groups(attributes) if "=" in attributes else set(), up.children))
+        up.children += 1
+        up.tags += 1
+        up.paragraphs += tag == "p"
+        stack.append((tag, len(nodes) - 1))
+
     at, end = 0, len(source)
     while at < end:
         m = TAG.search(source, at)
@@ -159,7 +176,7 @@ def read_page(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         closing, tag, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
         if not tag:
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag == "title" and any(t == "svg" for t, _ in stack)):
             if not closing and not attributes.endswith("/"):
                 over = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = over.end() if over else end
@@ -170,6 +187,15 @@ def read_page(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             text.append(" ")
         if tag in VOID:
             continue
+        if tag in INLINE:
+            if closing:
+                opened = [k for k in range(1, len(stack)) if stack[k][0] == tag]
+                if opened:
+                    pop_to(opened[-1], True)
+            elif tag not in ("math", "svg") or not attributes.endswith("/"):
+                flush(True)
+                push(tag, attributes)
+            continue
         if tag not in BLOCK:
             nodes[stack[-1][1]].tags += not closing
             continue
@@ -190,16 +216,10 @@ def read_page(source: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         shut = CLOSES.get(tag, set()) | {"p"}
         while len(stack) > 1 and stack[-1][0] in shut and (stack[-1][0] != "p" or tag not in ("label", "button")):
             pop_to(len(stack) - 1)
-        parent = stack[-1][1]
-        up = nodes[parent]
-        nodes.append(Node(tag, parent, up.depth + 1, attribute_groups(attributes) if "=" in attributes else set(), up.children))
-        up.children += 1
-        up.tags += 1
-        up.paragraphs += tag == "p"
-        stack.append((tag, len(nodes) - 1))
+        push(tag, attributes)
     flush()
     heads = {i for i, n in enumerate(nodes) if n.tag == "head"}
-    return nodes, [(n, t) for n, t in blocks if n not in heads]
+    return nodes, [b for b in blocks if b[0] not in heads]
 
 
 def node_features(nodes: list[Node]) -> np.ndarray:
@@ -265,7 +285,7 @@ OUT_TAGS = {"nav", "header", "footer", "aside", "form", "button", "label", "menu
 OUT_GROUPS = set(GROUPS) - {"main", "frame"}
 
 
-def teacher_labels(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray | None:
+def teacher_labels(nodes: list[Node], blocks: list[tuple[int, str, int, bool]]) -> np.ndarray | None:
     """1 for nodes whose subtree holds text of an article or main element outside its marked boilerplate."""
     inside = np.zeros(len(nodes), int)  # 0 outside, 1 in the article, 2 in boilerplate
     for i, x in enumerate(nodes):
@@ -275,7 +295,7 @@ def teacher_labels(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarr
     if not (inside == 1).any():
         return None
     label = np.zeros(len(nodes), int)
-    for n, _ in blocks:
+    for n, *_ in blocks:
         while inside[n] == 1 and n >= 0 and not label[n]:
             label[n] = 1
             n = nodes[n].parent
@@ -441,17 +461,35 @@ def probability(model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-2 * total))
 
 
+def lines_of(blocks: list[tuple[int, str, int, bool]], keep: np.ndarray | None = None) -> str:
+    """Kept blocks (all without ``keep``), those of one line in one paragraph."""
+    out: list[str] = []
+    last = at = -1
+    gap = False
+    for n, text, line, spaced in blocks:
+        gap = spaced or gap and line == at
+        at = line
+        if keep is not None and not keep[n]:
+            continue
+        if line == last:
+            out[-1] += " " * gap + text
+        else:
+            out.append(text)
+        last, gap = line, False
+    return "\n\n".join(out)
+
+
 def main_texts(sources: list[str | None], model) -> list[str]:
     """Main text of each page; the trees see the nodes of many pages at once."""
     pages = [read_page(s) for s in sources]
     if model is None:
-        return ["\n\n".join(t for _, t in blocks) for _, blocks in pages]
+        return [lines_of(blocks) for _, blocks in pages]
     scores = probability(model, np.concatenate([node_features(nodes) for nodes, _ in pages])) if pages else []
     out, at = [], 0
     for nodes, blocks in pages:
         keep = decode(nodes, scores[at : at + len(nodes)])
         at += len(nodes)
-        out.append("\n\n".join(t for n, t in blocks if keep[n]))
+        out.append(lines_of(blocks, keep))
     return out
 
 
