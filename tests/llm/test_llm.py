@@ -183,6 +183,26 @@ def test_quality_keeps_good_documents(spark, sf, docs, empty):
     assert quality.quality_verdicts(empty, none).count() == 0
 
 
+def test_quality_certifies_every_labelled_stratum(spark, monkeypatch):
+    plain, loud = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}!" for i in range(40))
+    rows, labels = [], []
+    for k in range(70):  # loud documents are junk in all strata but the last, which has fewest labels, and null is a stratum
+        name = None if k == 0 else f"s{k:02d}"
+        for j in range(1000 if k < 69 else 900):
+            bad = j % 2 == 1
+            rows.append((len(rows), loud if bad or k == 69 else plain, name))
+            labels.append((len(labels), 1 if k == 69 or not bad else 0))
+    rows += [(len(rows) + j, loud, name) for j, name in enumerate(("none", ""))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality long")
+    for few in (quality.BROADCAST_STRATA, 1):
+        monkeypatch.setattr(quality, "BROADCAST_STRATA", few)
+        got = quality.quality_verdicts(docs, known)
+        assert got.columns == [*docs.columns, "_q_m", "_q_base_failed", "_q_kept"]
+        kept = Counter({r["lang"]: r["n"] for r in got.filter("_q_kept").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()})
+        assert kept == Counter({None: 500, **{f"s{k:02d}": 500 for k in range(1, 69)}, "s69": 900, "none": 1, "": 1})
+
+
 def test_toxicity(spark, sf, docs, empty):
     d = sf.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")

@@ -5,8 +5,8 @@ divided by its customary limit, reaches the cutoff of its stratum (its language)
 descending list per stratum: going from lenient to strict, a cutoff is certified while the exact (Clopper-Pearson)
 upper bound on the false-rejection rate of labelled good documents stays within MAX_FALSE_REJECTION.  Testing stops at
 the first failure, so the sequence needs no correction inside a stratum; across strata the error is divided evenly
-(Bonferroni).  With probability CONFIDENCE no stratum exceeds the limit.  Among certified cutoffs the one that best
-separates the labelled classes is used; a stratum with none keeps every document that passes the base rules.
+(Bonferroni); every stratum with labels is certified on its own.  With probability CONFIDENCE no stratum exceeds the limit.  Among certified cutoffs the one that best
+separates the labelled classes is used; a stratum with none, or without labels, keeps every document that passes the base rules.
 
 Defined cases: null and empty texts have no word and fail the base rule; a null stratum is its own; labels without a
 known quality are ignored; repeated rows get equal verdicts; no labels or an empty table certify nothing; extra columns
@@ -16,7 +16,7 @@ pass through (internal names start with ``_q_``).
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from .common import write_table
 
 MAX_FALSE_REJECTION = 0.02
 CONFIDENCE = 0.95
-MAX_STRATA = 64  # strata with most labels are certified on their own, all others together
+BROADCAST_STRATA = 100_000  # up to so many cutoffs are broadcast, more are joined by a shuffle
 #: Cutoffs of the junk score, from lenient to strict.
 CUTOFFS = (8.0, 6.0, 5.0, 4.0, 3.5, 3.0, 2.5, 2.25, 2.0, 1.75, 1.5, 1.25, 1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
 MIN_WORDS = 10
@@ -140,27 +140,30 @@ def choose_cutoff(good: list[int], junk: list[int], n_good: int, n_junk: int, de
 
 
 def calibrate(scored: DataFrame, stratum: str, label: str, score: str, limit: float = MAX_FALSE_REJECTION,
-              confidence: float = CONFIDENCE) -> dict[str | None, float | None]:
-    """Cutoff per stratum; the key None holds the one for all other strata.  Only counts reach the driver."""
+              confidence: float = CONFIDENCE) -> tuple[DataFrame, int]:
+    """Cutoffs (_q_s, _q_cut) of all labelled strata, null where none is certified, and their number."""
     hits = [F.sum((F.col(score) >= c).cast("long")).alias(f"_h{i}") for i, c in enumerate(CUTOFFS)]
-    name = F.coalesce(F.col(stratum), F.lit(""))
     wide = (
         scored.filter(F.col(label).isin(0, 1))
-        .groupBy(name.alias("_s"))
+        .groupBy(F.col(stratum).alias("_q_s"))
         .pivot(label, [0, 1])
         .agg(F.count(F.lit(1)).alias("n"), *hits)
-        .na.fill(0)
     )
-    top = wide.orderBy((F.col("0_n") + F.col("1_n")).desc(), "_s").limit(MAX_STRATA).collect()
-    sums = wide.agg(*(F.sum(c).alias(c) for c in wide.columns if c != "_s")).collect()[0]
-    counts = {r["_s"]: r for r in top}
-    rest = {c: (sums[c] or 0) - sum(r[c] for r in top) for c in wide.columns if c != "_s"}
-    delta = (1 - confidence) / (len(counts) + 1)
-    pick = lambda r: choose_cutoff(
-        [r[f"1__h{i}"] for i in range(len(CUTOFFS))], [r[f"0__h{i}"] for i in range(len(CUTOFFS))],
-        r["1_n"], r["0_n"], delta, limit,
-    )
-    return {s: pick(r) for s, r in counts.items()} | {None: pick(rest)}
+    counts = [c for c in wide.columns if c != "_q_s"]
+    counts = write_table(wide.select("_q_s", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts)), "quality-counts")
+    strata = counts.count()
+    delta = (1 - confidence) / max(strata, 1)
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            cuts = [
+                choose_cutoff([r[f"1__h{i}"] for i in range(len(CUTOFFS))], [r[f"0__h{i}"] for i in range(len(CUTOFFS))],
+                              r["1_n"], r["0_n"], delta, limit)
+                for r in pdf.to_dict("records")
+            ]
+            yield pd.DataFrame({"_q_s": pdf["_q_s"], "_q_cut": pd.Series(cuts, pdf.index, dtype=object)})
+
+    return write_table(counts.mapInPandas(pick, "_q_s string, _q_cut double"), "quality-cutoffs"), strata
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -176,11 +179,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     narrow = table.filter(~base_failed("_q_m")).select(
         F.col(id_col).alias("_q_id"), F.col(stratum).cast("string").alias("_q_s"), junk_score("_q_m").alias("_q_j")
     )
-    cuts = calibrate(narrow.join(known, "_q_id"), "_q_s", "_q_label", "_q_j")
-    named = {s: c for s, c in cuts.items() if s is not None}
-    s = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    lit = lambda c: F.lit(math.inf if c is None else c)
-    cutoff = reduce(lambda e, x: F.when(s == x[0], lit(x[1])).otherwise(e), named.items(), lit(cuts[None]))
-    return table.withColumn("_q_base_failed", base_failed("_q_m")).withColumn(
+    cuts, strata = calibrate(narrow.join(known, "_q_id"), "_q_s", "_q_label", "_q_j")
+    cuts = F.broadcast(cuts) if strata <= BROADCAST_STRATA else cuts
+    judged = table.join(cuts, F.col(stratum).cast("string").eqNullSafe(F.col("_q_s")), "left")
+    cutoff = F.coalesce("_q_cut", F.lit(math.inf))
+    return judged.withColumn("_q_base_failed", base_failed("_q_m")).withColumn(
         "_q_kept", ~F.col("_q_base_failed") & (junk_score("_q_m") < cutoff)
-    )
+    ).drop("_q_s", "_q_cut")
