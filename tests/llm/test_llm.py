@@ -282,6 +282,20 @@ def test_near_duplicates(spark, docs, empty):
     assert wm.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_in_hot_groups(spark):
+    rng, rows, last = np.random.default_rng(8), [], {}
+    for g, n in enumerate((100, 117, 134)):  # 5-word Jaccard similarities of 0.818, 0.843 and 0.861
+        base = [f"g{g}w{i}" for i in range(n + 4)]
+        near = list(base)
+        near[30], near[60] = "x", "y"
+        for k in range(90):  # each group holds 30 % of the rows
+            rows.append((len(rows), " ".join(near if k < 20 else base), "en", "x"))
+            last.setdefault(g, len(rows) - 1)
+    rows += [(len(rows) + k, " ".join(f"u{w}" for w in rng.integers(10**9, size=50)), "en", "x") for k in range(30)]
+    got = {r["doc_id"]: r["class_id"] for r in wm.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: last[i // 90] if i < 270 else i for i, *_ in rows}
+
+
 def test_late_blocks_find_links_that_pivots_miss(spark, monkeypatch):
     rows, sets, prints = [], [], np.zeros((6, wm.SAMPLES), np.uint16)
     prints[1:4] = 7  # nodes 1 and 2 are similar, node 3 only looks so

@@ -2,9 +2,9 @@
 
 Shingles are runs of SHINGLE lower-cased words; a text with fewer words is one shingle, a text without words none.  The
 weight of a shingle in a text is its count times idf(f) = (1 + ln 1/max(f, F0)) / (1 + ln 1/F0), f being the share of
-all rows that hold it: a shingle in at most F0 of the rows weighs its count, commoner ones less.  Shingles above F0 number at
-most 1/F0 times the mean text length, whatever the number of rows, so this part of the statistics is small by proof; it
-is counted exactly over all rows in two passes (hash buckets, then the shingles of buckets above F0).
+all distinct texts that hold it: a shingle in at most F0 of them weighs its count, commoner ones less.  Shingles above F0
+number at most 1/F0 times the mean text length, whatever the number of texts, so this part of the statistics is small by
+proof; it is counted exactly over all distinct texts in two passes (hash buckets, then the shingles of buckets above F0).
 
 Every distinct text gets BANDS * ROWS consistent samples (element, t); texts that agree in all samples of a band share a
 bucket.  No bucket is expanded to all pairs: members are compared with a pivot, members that may not be similar to it
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from . import exact_dedup
 from .common import arrow_rows, join_groups, text_of, write_table
 from .tokens import blocks
 
@@ -91,7 +92,7 @@ def EMPTY_WORD() -> np.uint64:
 
 
 class Weights:
-    """Shingle weights: count times idf, from the common shingles and the number of rows."""
+    """Shingle weights: count times idf, from the common shingles and the number of texts."""
 
     def __init__(self, common: np.ndarray, rows_with: np.ndarray, rows: int):
         order = np.argsort(common)
@@ -165,7 +166,7 @@ def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -
 
 
 def weights_of(docs: DataFrame, text_col: str, rows: int) -> Weights:
-    """Exact row counts of all shingles held by more than F0 of the rows."""
+    """Exact counts of all shingles held by more than F0 of the rows of ``docs``, which are distinct texts."""
     texts = docs.select(F.col(text_col).alias("text"))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +322,16 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "near-rows",
     )
     total = rows.count()
-    weights = weights_of(docs, text_col, total)
+    texts = write_table(
+        rows.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()),
+        "texts",
+    )
+    n_texts = texts.count()
+    distinct = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    if n_texts < total:
+        distinct = write_table(exact_dedup.exact_dedup(distinct), "distinct")
+    distinct = distinct.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
+    weights = weights_of(distinct, "text", n_texts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,11 +348,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      pa.array([p.tobytes() for p in short], pa.binary())], names=["digest", "bands", "prints"],
                 )
 
-    signed = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text")).mapInArrow(sign, "digest binary, bands array<long>, prints binary")
-    texts = write_table(
-        rows.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()),
-        "texts",
-    )
+    signed = distinct.mapInArrow(sign, "digest binary, bands array<long>, prints binary")
     signatures = write_table(
         signed.groupBy("digest").agg(F.min("bands").alias("bands"), F.min("prints").alias("prints")).join(texts.select("digest", "node"), "digest").select("node", "bands", "prints"),
         "signatures",
@@ -363,9 +369,8 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = write_table(ordered(tried.filter("may"), "node", "pivot").union(ordered(more, "node", "pivot")).distinct(), "pairs")
 
     # Weighted sets of every text that shares a bucket, made once for both verifications.
-    wanted = shared.select("node").distinct().join(texts.select("node", "digest", F.col("first.doc_id").alias("doc_id")), "node")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
-    picked = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"]) & (source["digest"] == wanted["digest"])).select("node", "text")
+    wanted = shared.select("node").distinct().join(texts.select("node", "digest"), "node")
+    picked = distinct.join(wanted, "digest").select("node", "text")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
