@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +129,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
                 continue
             shard = batch.column(2)[0].as_py()
             own, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in blocks(texts, 500_000):
+            for a, b in blocks(texts, 4_000_000):
                 flat, lengths = enc.encode(texts[a:b], end_id)
                 held.append(flat)
                 ids += own[a:b]
@@ -160,12 +161,15 @@ def read_ids(segments: DataFrame) -> DataFrame:
                 )
                 lengths = np.asarray(row["doc_lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                raw = memoryview(flat.astype("<u4").tobytes())
+                raw = flat.astype("<u4")
                 base = row["base"] + row["shard_start"]
-                data = [bytes(raw[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                edges = 4 * np.concatenate([[0], ends]).astype(np.int64)
+                data = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edges), pa.py_buffer(raw)])
+                view = memoryview(raw).cast("B")
+                crc = [zlib.crc32(view[x:y]) for x, y in pairwise(edges.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(base + ends - lengths), pa.array(lengths),
-                     pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(data, pa.binary())],
+                     pa.array(crc, pa.int64()), data.cast(pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 

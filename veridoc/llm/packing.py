@@ -14,31 +14,39 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import write_table
 from .tokens import END_ID, blocks, encoder
 
 MAX_TOKENS = 4096
-PIECES = "doc_id long, start long, length long, doc_tokens long, shard int, place long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, shard int, place long, ids_crc32 long, ids binary"
+BLOCK_BYTES = 4_000_000
 
 
-def cuts(n: int, largest: int) -> list[int]:
-    """Piece lengths of a document of n ids, longest first."""
-    whole, rest = divmod(n, largest)
-    return [largest] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def cuts(lengths: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the pieces of documents with so many ids each, longest first in each."""
+    bits = [1 << k for k in range(largest.bit_length() - 2, -1, -1)]
+    # Per document the largest pieces, then one column for each lower power of two.
+    whole = lengths // largest
+    doc = np.concatenate([np.repeat(np.arange(len(lengths)), whole), *(np.flatnonzero(lengths & m) for m in bits)])
+    size = np.repeat([largest, *bits], [int(whole.sum()), *(int((lengths & m > 0).sum()) for m in bits)])
+    order = np.argsort(doc, kind="stable")
+    doc, size = doc[order], size[order]
+    ends = np.cumsum(size)
+    first = np.cumsum(lengths) - lengths
+    return doc, ends - size - first[doc], size
 
 
 def packed_pieces(docs: DataFrame, tokenizer: str, largest: int = MAX_TOKENS, end_id: int = END_ID,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sequences, written to the shared folder: ids as little-endian unsigned 32-bit binary, with their bucket
-    (``length``), sequence_id and origin (doc_id, start)."""
+    (``length``), sequence_id, origin (doc_id, start) and unsigned CRC-32."""
     if largest < 1 or largest & (largest - 1):
         raise ValueError("largest must be a power of two")
 
@@ -48,27 +56,24 @@ def packed_pieces(docs: DataFrame, tokenizer: str, largest: int = MAX_TOKENS, en
             if not batch.num_rows:
                 continue
             shard = batch.column(2)[0].as_py()
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in blocks(texts, 500_000):
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in blocks(texts, BLOCK_BYTES):
                 flat, lengths = enc.encode(texts[a:b], end_id)
-                raw = memoryview(flat.astype("<u4").tobytes())
-                cols: list[list] = [[] for _ in range(6)]
-                at = 0
-                for doc, n in zip(ids[a:b], lengths.tolist(), strict=True):
-                    start = 0
-                    for m in cuts(n, largest):
-                        row = (doc, start, m, n, used[m], bytes(raw[4 * (at + start) : 4 * (at + start + m)]))
-                        for c, v in zip(cols, row, strict=True):
-                            c.append(v)
-                        used[m] += 1
-                        start += m
-                    at += n
-                doc_ids, starts, sizes, totals, places, data = cols
-                long = pa.int64()
+                doc, start, size = cuts(lengths, largest)
+                place = np.empty(len(size), np.int64)
+                for m in np.unique(size).tolist():
+                    mine = size == m
+                    place[mine] = used[m] + np.arange(mine.sum())
+                    used[m] += int(mine.sum())
+                raw = flat.astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(4 * size)])
+                data = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                view = memoryview(raw).cast("B")
+                crc = [zlib.crc32(view[x:y]) for x, y in pairwise(ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, long), pa.array(starts, long), pa.array(sizes, long), pa.array(totals, long),
-                     pa.array(np.full(len(sizes), shard, np.int32)), pa.array(places, long), pa.array(data, pa.binary())],
-                    names=["doc_id", "start", "length", "doc_tokens", "shard", "place", "ids"],
+                    [ids[a:b].take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(lengths[doc]),
+                     pa.array(np.full(len(size), shard, np.int32)), pa.array(place), pa.array(crc, pa.int64()), data.cast(pa.binary())],
+                    names=["doc_id", "start", "length", "doc_tokens", "shard", "place", "ids_crc32", "ids"],
                 )
 
     source = docs.select(
@@ -81,11 +86,5 @@ def packed_pieces(docs: DataFrame, tokenizer: str, largest: int = MAX_TOKENS, en
     # One row per task and power of two: thousands of times fewer than the pieces.
     return table.join(F.broadcast(bases), ["length", "shard"]).select(
         "doc_id", "start", "length", "doc_tokens", (F.col("base") + F.col("place")).alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"), "ids",
+        F.lit(0).cast("long").alias("offset"), "ids_crc32", "ids",
     )
-
-
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """Unsigned CRC-32 of each binary value."""
-    return ids.map(zlib.crc32).astype("int64")

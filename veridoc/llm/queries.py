@@ -22,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of all documents."""
     packed = packing.packed_pieces(table(spark, sf_dir, "documents"), word_bpe())
     return packed.select(
-        "doc_id", "start", "length", packing.ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 
 
