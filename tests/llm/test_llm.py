@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -217,26 +218,48 @@ def test_toxicity(spark, sf, docs, empty):
     assert toxicity.toxicity_scores(empty, labels).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [None, (6, 3, 4)])
-def test_backoff_lm(docs, empty, monkeypatch, sizes):
+def brute_backoff(texts, order):
+    """(words, score) of each text, by the definition."""
+    docs = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())] for t in texts]
+    count, held = Counter(), defaultdict(set)
+    for d, w in enumerate(docs):
+        for i in range(len(w)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0 and (i > 0 or len(w) > 1):
+                    count[tuple(w[i - k + 1 : i + 1])] += 1
+                    held[tuple(w[i - k + 1 : i + 1])].add(d)
+    n = sum(len(w) - 1 for w in docs)
+    out = []
+    for w in docs:
+        total = 0.0
+        for i in range(1, len(w)):
+            top = min(order, i + 1)
+            k = next((k for k in range(top, 1, -1) if len(held[tuple(w[i - k + 1 : i + 1])]) >= 2), 1)
+            own = count[tuple(w[i - k + 1 : i + 1])]
+            total += (top - k) * math.log(0.4) + math.log(own / (count[tuple(w[i - k + 1 : i])] if k > 1 else n))
+        out.append((len(w) - 1, total))
+    return out
+
+
+BLANKS = [(20 + k, t, "en", "x") for k, t in enumerate([" ", "\n", "\t \n ", "the cat ", "\nthe cat\n", "a\u00a0b", "on a mat\u2003", "cat "] * 25)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+@pytest.mark.parametrize(("sizes", "order"), [(None, 3), ((6, 3, 4), 3), ((6, 3, 4), 2), ((9, 40, 200), 3), ((9, 40, 200), 4)])
+def test_backoff_lm(spark, empty, monkeypatch, sizes, order, parts):
     if sizes:
         for name, v in zip(("COMMON", "HOT", "SAMPLE_DOCS"), sizes, strict=True):
             monkeypatch.setattr(backoff_lm, name, v)
-    got = backoff_lm.log_scores(docs).collect()
-    pairs = []
-    for _, t, *_ in ROWS:
-        w = (t or "").lower().split()
-        pairs.append(list(zip(["<s>", *w[:-1]], w, strict=True)) if w else [])
-    c12, in_docs = Counter(p for ps in pairs for p in ps), Counter(p for ps in pairs for p in set(ps))
-    c1, c2, n = Counter(), Counter(), sum(c12.values())
-    for (a, b), m in c12.items():
-        c1[a] += m
-        c2[b] += m
-    score = lambda p: math.log(c12[p] / c1[p[0]]) if in_docs[p] >= 2 else math.log(0.4 * c2[p[1]] / n)
-    want = sorted((i if i is not None else -1, len(ps), round(sum(map(score, ps)), 6)) for (i, *_), ps in zip(ROWS, pairs, strict=True))
-    have = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], round(r["log_score"], 6)) for r in got)
-    assert np.allclose(have, want, atol=1e-5)
-    assert backoff_lm.log_scores(empty).count() == 0
+        monkeypatch.setattr(backoff_lm, "WORD_SAMPLE_DOCS", sizes[2])
+        monkeypatch.setattr(backoff_lm, "BLOCK_DOCS", 7)
+    rows = ROWS + BLANKS
+    got = backoff_lm.log_scores(spark.createDataFrame(rows, SCHEMA).repartition(parts), order=order).collect()
+    null = lambda x: -1 if x is None else x
+    want = sorted((null(i), *x) for (i, *_), x in zip(rows, brute_backoff([r[1] for r in rows], order), strict=True))
+    have = sorted((null(r["doc_id"]), r["n_words"], r["log_score"]) for r in got)
+    assert np.allclose(have, want, atol=1e-6)
+    if parts == 1:
+        assert backoff_lm.log_scores(empty, order=order).count() == 0
 
 
 def brute_classes(texts):

@@ -78,7 +78,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff scores of all documents under the counts of all documents."""
+    """Stupid-backoff scores of all documents under the trigram counts of all documents."""
     scored = backoff_lm.log_scores(table(spark, sf_dir, "documents"))
     mean = F.round(F.col("log_score") / F.greatest("n_words", F.lit(1)), 6)
     return scored.select("doc_id", "n_words", mean.alias("mean_log_score"))
@@ -127,12 +127,18 @@ FROM shown GROUP BY conv_id
 """
 
 OP6_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS l FROM documents),
-p AS (SELECT doc_id, CASE WHEN i = 1 THEN '<s>' ELSE l[i - 1] END AS a, l[i] AS b FROM w, unnest(range(1, len(l) + 1)) AS r(i)),
-c12 AS (SELECT a, b, count(*) AS c, count(DISTINCT doc_id) AS docs FROM p GROUP BY a, b),
-c1 AS (SELECT a, sum(c) AS c FROM c12 GROUP BY a), c2 AS (SELECT b, sum(c) AS c FROM c12 GROUP BY b),
-s AS (SELECT p.doc_id, count(*) AS n, sum(CASE WHEN c12.docs >= 2 THEN ln(c12.c / c1.c) ELSE ln(0.4 * c2.c / (SELECT sum(c) FROM c12)) END) AS total
-  FROM p JOIN c12 USING (a, b) JOIN c1 USING (a) JOIN c2 USING (b) GROUP BY p.doc_id)
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+t AS (SELECT doc_id, CASE WHEN i > 2 THEN l[i - 2] WHEN i = 2 THEN '<s>' END AS u, CASE WHEN i > 1 THEN l[i - 1] ELSE '<s>' END AS v, l[i] AS w
+  FROM w, unnest(range(1, len(l) + 1)) AS r(i)),
+c3 AS (SELECT u, v, w, count(*) AS c, count(DISTINCT doc_id) AS docs FROM t WHERE u IS NOT NULL GROUP BY u, v, w),
+c2 AS (SELECT v, w, count(*) AS c, count(DISTINCT doc_id) AS docs FROM t GROUP BY v, w),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w UNION ALL SELECT '<s>', count(*) FROM w WHERE len(l) > 0),
+s AS (SELECT t.doc_id, count(*) AS n, sum(CASE
+    WHEN c3.docs >= 2 THEN ln(c3.c / h.c)
+    WHEN c2.docs >= 2 THEN ln(c2.c / x.c) + CASE WHEN t.u IS NULL THEN 0 ELSE ln(0.4) END
+    ELSE ln(y.c / (SELECT count(*) FROM t)) + CASE WHEN t.u IS NULL THEN 1 ELSE 2 END * ln(0.4) END) AS total
+  FROM t JOIN c2 ON c2.v = t.v AND c2.w = t.w JOIN c1 x ON x.w = t.v JOIN c1 y ON y.w = t.w
+  LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w LEFT JOIN c2 h ON h.v = t.u AND h.w = t.v GROUP BY t.doc_id)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(coalesce(s.total / s.n, 0.0), 6) AS mean_log_score FROM documents d LEFT JOIN s USING (doc_id)
 """
 
