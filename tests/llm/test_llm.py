@@ -171,6 +171,32 @@ def test_binomial_bound():
     assert quality.upper_bound(5, 5, 0.05) == 1.0
 
 
+def test_cutoffs_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"s{i % 3}" if i % 7 else None, int(rng.random() < (0.5, 0.9, 0.2)[i % 3]), float(rng.gamma(1.0 + (i % 3) / 4, 0.5))) for i in range(6000)]
+    rows = [(s, y, x if y else x * 3) for s, y, x in rows] + [("one kind", 1, 0.1), ("s0", None, 99.0)]
+    got, n = quality.calibrate(spark.createDataFrame(rows, "s string, y int, x double"), "s", "y", "x", 0.1, 0.95)
+    want = {}
+    for s in {r[0] for r in rows}:
+        good, junk = ([x for t, y, x in rows if t == s and y == label] for label in (1, 0))
+        best, gain = None, 0.0
+        for c in quality.CUTOFFS:
+            k, m = sum(x >= c for x in good), len(good)
+            if sum(math.exp(math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) + i * math.log(0.1) + (m - i) * math.log(0.9)) for i in range(k + 1)) > 0.05 / 5:
+                break  # a rate of 0.1 would still give so few hits too often
+            worth = sum(x >= c for x in junk) / max(len(junk), 1) - k / max(m, 1)
+            if worth > gain:
+                best, gain = c, worth
+        want[s] = best
+    assert n == 5 and {r["_q_s"]: r["_q_cut"] for r in got.collect()} == want and len({*want.values()}) > 2
+
+
+def test_rows_labelled_both_ways_have_no_label(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30)), "en") for i in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i in range(20) for y in (0, 1)], "doc_id long, quality int")
+    assert quality.quality_verdicts(docs, labels).filter("quality.kept").count() == 20
+
+
 def test_quality_keeps_good_documents(spark, sf, docs, empty):
     d = sf.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -180,7 +206,7 @@ def test_quality_keeps_good_documents(spark, sf, docs, empty):
     assert counts[0, False] > 0.9 * (counts[0, False] + counts.get((0, True), 0))
     none = labels.limit(0)
     rows = quality.quality_verdicts(docs, none).collect()
-    assert len(rows) == len(ROWS) and all(r["_q_kept"] != r["_q_base_failed"] for r in rows)
+    assert len(rows) == len(ROWS) and all(r["quality"]["kept"] != r["quality"]["base_failed"] for r in rows)
     assert quality.quality_verdicts(empty, none).count() == 0
 
 
@@ -199,8 +225,8 @@ def test_quality_certifies_every_labelled_stratum(spark, monkeypatch):
     for few in (quality.BROADCAST_STRATA, 1):
         monkeypatch.setattr(quality, "BROADCAST_STRATA", few)
         got = quality.quality_verdicts(docs, known)
-        assert got.columns == [*docs.columns, "_q_m", "_q_base_failed", "_q_kept"]
-        kept = Counter({r["lang"]: r["n"] for r in got.filter("_q_kept").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()})
+        assert got.columns == [*docs.columns, "quality"]
+        kept = Counter({r["lang"]: r["n"] for r in got.filter("quality.kept").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()})
         assert kept == Counter({None: 500, **{f"s{k:02d}": 500 for k in range(1, 69)}, "s69": 900, "none": 1, "": 1})
 
 
@@ -244,6 +270,52 @@ def brute_backoff(texts, order):
 BLANKS = [(20 + k, t, "en", "x") for k, t in enumerate([" ", "\n", "\t \n ", "the cat ", "\nthe cat\n", "a\u00a0b", "on a mat\u2003", "cat "] * 25)]
 
 
+def test_toxicity_by_brute_force(monkeypatch):
+    rng, vocabulary = np.random.default_rng(2), ["good", "fine", "nice", "Bad", "evil", "plain", "Ünder", "漢字"]
+    y = np.arange(80) % 2
+    texts = [" ".join(rng.choice(vocabulary, 8, p=[0.2, 0.2, 0.1, 0.05, 0.05, 0.2, 0.1, 0.1] if not t else [0.05, 0.05, 0.1, 0.2, 0.2, 0.2, 0.1, 0.1])) for t in y]
+    texts[0], texts[1] = None, "a"
+    monkeypatch.setattr(toxicity, "STEPS", 4000)
+
+    def gram_set(text):
+        t = f"\x00{'\x00'.join((text or '').lower().split())}\x00"
+        return {t[i : i + n] for n in toxicity.NGRAMS for i in range(len(t) - n + 1)}
+
+    sets = [gram_set(t) for t in texts]
+    every = sorted(g for g in set.union(*sets) if sum(g in s for s in sets) >= toxicity.MIN_DOCS)
+    x = np.array([[g in s for g in every] for s in sets], float)
+    p, q = x[y == 1].sum(0) + 1, x[y == 0].sum(0) + 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    z, w, b = x * ratio, np.zeros(len(every)), 0.0
+    for _ in range(60):  # Newton steps
+        m = 1 / (1 + np.exp(-(z @ w + b)))
+        zb, g = np.column_stack([z, np.ones(80)]), (m - y) / 80
+        h = (zb * (m * (1 - m) / 80)[:, None]).T @ zb + np.diag([toxicity.L2] * len(every) + [1e-12])
+        d = np.linalg.solve(h, zb.T @ g + np.append(toxicity.L2 * w, 0.0))
+        w, b = w - d[:-1], b - d[-1]
+    rows = [toxicity.text_features(t) for t in texts]
+    model = toxicity._fit_margin(rows, y.astype(float), toxicity.L2)
+    got = np.array([toxicity.margin(r, *model) for r in rows])
+    assert np.abs(got - (z @ w + b)).max() < 0.02 * np.abs(got).max()
+    dense = np.zeros(toxicity.BUCKETS, np.float32)
+    dense[model[0]] = model[1]
+    for size in (20, 10**6):
+        monkeypatch.setattr(toxicity, "POINTS_AT_ONCE", size)
+        assert np.allclose(toxicity.margins(texts, dense, model[2]), got, atol=1e-4)
+
+
+def test_toxicity_defined_cases(spark):
+    bad, fine = "you awful nasty creature go away now", "a calm walk along the quiet river bank"
+    rows = [(i, bad if i % 2 else fine) for i in range(60)] + [(100, None), (101, ""), (102, f"{bad} " * 20000), (103, fine), (103, fine), (None, bad)]
+    df = spark.createDataFrame([(*r, 7.5) for r in rows], "doc_id long, text string, score double").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (55, None), (102, 7)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(df, labels)
+    assert got.columns == df.columns
+    got = {(r["doc_id"], r["text"] and r["text"][:40]): r["score"] for r in got.collect()}
+    assert got[102, f"{bad} {bad}"[:40]] > 0.7 and got[None, bad[:40]] > 0.7 and got[103, fine[:40]] < 0.3 and got[100, None] == got[101, ""]
+    assert all((v > 0.5) == (t == bad[:40]) for (i, t), v in got.items() if i is not None and i < 60)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 @pytest.mark.parametrize(("sizes", "order"), [(None, 3), ((6, 3, 4), 3), ((6, 3, 4), 2), ((9, 40, 200), 3), ((9, 40, 200), 4)])
 def test_backoff_lm(spark, empty, monkeypatch, sizes, order, parts):
@@ -363,8 +435,62 @@ def test_exact_dedup(spark, docs, empty):
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns and Counter(r["text"] or "" for r in kept.collect()) == Counter(groups.keys())
     assert exact_dedup.duplicate_groups(empty).count() == 0 and exact_dedup.exact_dedup(empty).count() == 0
-    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan.replace("ExistingRDD", "") or "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("limit", [1, 4])
+def test_exact_dedup_in_rounds(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(exact_dedup, "ROUND_ROWS", limit)
+    test_exact_dedup(spark, docs, docs.limit(0))
+
+
+def test_exact_dedup_is_native_and_leaves_unique_texts_in_place(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "ExternalRDD"))
+    once = plan.split("Union")[1].split("SortAggregate")[0]  # the branch of rows that pass: broadcasts only
+    assert "BroadcastHashJoin" in once and "hashpartitioning" not in once.split("FileScan")[0]
+    assert not any(w in exact_dedup.duplicate_groups(docs)._jdf.queryExecution().toString() for w in ("Python", "Arrow", "Pandas"))
+
+
+CLASHES = ("digest", "Digest_", "own_id", "kept_id", "kept_digest", "turn", "maybe", "cell0", "bucket0", "MAP0", "_xd_digest", "_bf_map0", "_nd_digest",
+           "m", "s", "doc", "cut", "label", "lo", "hi", "junk", "_q_m", "quality", "verdict", "score", "_tox_score", "tag", "node", "key", "a.b c")
+
+
+def test_clashing_names_pass_through(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"{WORDS[i % 3]} {WORDS[i % 5]} number {i // 2} " + " ".join(f"w{i // 2}x{k}" for k in range(12)), "en", "x", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *(F.lit(f"mine {c}").alias(c) for c in CLASHES)).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    own = lambda r: all(r[c] == f"mine {c}" for c in CLASHES)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (exact_dedup.exact_dedup, wm.near_dedup, *(lambda d, f=f: f(spark, d, str(tmp_path)) for _, f in corpus_pipeline.STAGES[:4])):
+        out = stage(df)
+        got = out.collect()
+        assert out.columns == df.columns and all(map(own, got)) and 0 < len(got) <= 40
+    judged = quality.quality_verdicts(df, labels, out="Score")
+    assert [c for c in judged.columns if c != "Score"] == [c for c in df.columns if c != "score"]
+    assert {r["Score"]["kept"] for r in judged.collect()} == {True}
+    tokens = df.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("ids", "shard", "place", "start", "words", "tie")))
+    assert packing.packed_pieces(tokens, queries.word_bpe()).select("doc_id").distinct().count() == 40
+    assert binary_ids.read_ids(binary_ids.write_ids(tokens, queries.word_bpe())).count() == 40
+    assert len(backoff_lm.log_scores(tokens.withColumn("p", F.lit("x")).withColumn("base", F.lit("y"))).collect()) == 40
+
+
+def test_pipeline_on_nothing(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " ".join(f"w{i}" for i in range(60000))), (3, " ".join(f"w{i}" for i in range(60000)))], "doc_id long, text string")
+    odd = odd.select("doc_id", "text", *(F.lit(None).cast("string").alias(c) for c in ("lang", "source")), F.lit(None).cast("long").alias("n_chars"))
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in got} == {3} and sum(r["length"] for r in got) == got[0]["doc_tokens"]
 
 
 def test_repeat_filter_has_no_false_negatives(spark):
@@ -395,6 +521,41 @@ def test_html(spark, sf):
     assert all(keep[n.parent] for n, k in zip(nodes, keep, strict=True) if k and n.parent >= 0)
 
 
+def test_decode_against_all_labellings():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(2, 11))
+        nodes = [html_extract.Node("html", -1, 0)]
+        for i in range(1, n):
+            nodes.append(html_extract.Node(["div", "body", "p"][int(rng.integers(3))], int(rng.integers(i)), 1))
+        p = rng.random(n) * 0.98 + 0.01
+
+        def worth(keep):
+            total = 0.0
+            for i, x in enumerate(nodes):
+                if keep[i] and x.parent >= 0 and not keep[x.parent]:
+                    return -math.inf
+                total += math.log(p[i] if keep[i] else 1 - p[i])
+                total += html_extract.COHESION * (keep[i] and x.parent >= 0 and nodes[x.parent].tag not in ("html", "body"))
+            return total
+
+        best = max(worth([m >> i & 1 for i in range(n)]) for m in range(1 << n))
+        assert abs(worth(html_extract.decode(nodes, p).astype(int).tolist()) - best) < 1e-9
+
+
+def test_flat_trees_give_what_the_model_gives(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 5))
+    df = spark.createDataFrame([(r.tolist(), float(r[0] + r[1] * r[2] > 0.7)) for r in x], "x array<double>, label double")
+    model = GBTClassifier(maxIter=6, maxDepth=html_extract.DEPTH, seed=1).fit(df.select(array_to_vector("x").alias("features"), "label"))
+    want = [r["probability"][1] for r in model.transform(df.select(array_to_vector("x").alias("features"))).collect()]
+    got = html_extract.probability(([html_extract.flatten(t) for t in model.trees], list(model.treeWeights)), x)
+    assert np.allclose(got, want)
+
+
 @pytest.mark.parametrize("tag", ["math", "svg", "object", "select", "template", "noscript"])
 def test_html_keeps_what_follows_an_open_element(spark, sf, tag):
     model = html_extract.train(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,12 @@ HEAVY_SHARE = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a single machine, as in tests) a temporary folder is used.
+    Only where that setting is absent on a single machine, as in tests, a temporary folder is used; a cluster must set it.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own_dir()
 
 
 @lru_cache(maxsize=1)
@@ -28,10 +32,14 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-shared-")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: this cuts the lineage durably."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +56,22 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each changed until no column has it (Spark ignores case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def every(df: DataFrame | list[str]) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in (df if isinstance(df, list) else df.columns)]
+
+
 def text_of(column: str | Column) -> Column:
     """The text, with null counting as empty."""
     c = F.col(column) if isinstance(column, str) else column

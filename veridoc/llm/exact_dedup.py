@@ -3,11 +3,12 @@
 Pass one hashes every text once into a narrow table (id, row tag, SHA-256) and counts, for each cell of a Bloom filter
 sized by the row count, how many rows set it; the cells set at least twice become a bitmap.  Pass two probes the bitmap:
 a row one of whose cells was set only once has no equal and passes straight through; only the rest shuffle.
-The filter has no false negatives, so the result is exact; a false positive costs one needlessly shuffled row.
+The filter has no false negatives, so the result is exact; a false positive costs one needlessly shuffled row.  More than
+ROUND_ROWS rows take both passes in rounds, one for each range of hashes, so that a filter stays small enough to broadcast.
 
 Defined cases: null text equals the empty text; of equal texts the row with the largest id stays (a null id is smaller
-than any other; among rows with the same id and text one stays); an empty table gives an empty result; extra columns of
-any name are left alone.
+than any other; among rows with the same id and text one stays); a very long text is hashed like any other; an empty
+table gives an empty result; extra columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, text_of, write_table
+from .common import every, fresh, join_groups, new_path, text_of, write_table
 
 BITS_PER_ROW = 16
 BITMAP_BITS = 32768  # bits of one bitmap built by bitmap_construct_agg
-BROADCAST_BYTES = 32 << 20  # a larger filter is joined by a shuffle of the narrow rows instead
+ROUND_ROWS = 1 << 26  # rows of one round, whose filter of at most 128 MB is broadcast
 
 
 def _filter_bits(rows: int) -> int:
@@ -41,20 +42,26 @@ def repeat_filter(digests: DataFrame, digest: str, bits: int) -> DataFrame:
 
 
 def probe(df: DataFrame, digest: str, bitmaps: DataFrame, bits: int, out: str) -> DataFrame:
-    """Add the boolean ``out``: whether the digest may be repeated."""
-    small = bits // 8 <= BROADCAST_BYTES
-    hits = []
+    """Add the boolean ``out``: whether the digest may be repeated.  The bitmaps hold ``bits`` bits: safe to broadcast."""
+    names, hits = df.columns, []
     for k, cell in enumerate(_cells(F.col(digest), bits)):
-        place, bucket, bitmap = f"_bf_cell{k}", f"_bf_bucket{k}", f"_bf_map{k}"
+        place, bucket, bitmap = fresh([*df.columns, out], f"cell{k}", f"bucket{k}", f"map{k}")
         side = bitmaps.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap))
-        df = df.withColumn(place, cell)
-        df = df.join(
-            F.broadcast(side) if small else side, F.expr(f"{place} div {BITMAP_BITS}") == F.col(bucket), "left"
-        )
+        df = df.withColumn(place, cell).join(F.broadcast(side), F.expr(f"{place} div {BITMAP_BITS}") == F.col(bucket), "left")
         byte = F.expr(f"cast(conv(hex(substring({bitmap}, cast({place} % {BITMAP_BITS} div 8 as int) + 1, 1)), 16, 10) as int)")
         bit = F.expr(f"cast({place} % 8 as int)")
         hits.append(F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
-    return df.withColumn(out, hits[0] & hits[1]).drop(*(f"_bf_{n}{k}" for n in ("cell", "bucket", "map") for k in (0, 1)))
+    return df.select(*every(names), (hits[0] & hits[1]).alias(out))
+
+
+def _rounds(rows: int) -> tuple[int, int]:
+    """(rounds, bits of the filter of each)."""
+    rounds = -(-max(rows, 1) // ROUND_ROWS)
+    return rounds, _filter_bits(-(-rows // rounds))
+
+
+def _round_of(digest: Column, rounds: int) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(47)), F.lit(rounds)).cast("int")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +75,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "digests",
     )
     total = digests.count()
-    bits = _filter_bits(total)
-    bitmaps = write_table(repeat_filter(digests, "digest", bits), "repeat-filter")
-    probed = probe(digests, "digest", bitmaps, bits, "maybe")
+    rounds, bits = _rounds(total)
+    out = new_path(docs.sparkSession, "probed")
+    for r in range(rounds):
+        own = digests.filter(_round_of(F.col("digest"), rounds) == r)
+        bitmaps = write_table(repeat_filter(own, "digest", bits), "repeat-filter")
+        probe(own, "digest", bitmaps, bits, "maybe").write.mode("append").parquet(out)
+    probed = docs.sparkSession.read.schema(digests.schema.add("maybe", "boolean")).parquet(out)
     once = probed.filter(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -92,19 +103,31 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns.
 
-    Rows the filter proves unique never shuffle.  The others join the kept (id, digest) pairs, which are spread evenly
-    because ids differ inside a group; rows that agree in id and text are then collapsed to one.
+    Rows the filter proves unique never shuffle, however many there are.  The others join the kept (id, digest) pairs, which
+    are spread evenly because ids differ inside a group; rows that agree in id and text are then collapsed to one.
     """
-    digest = F.unhex(F.sha2(text_of(F.col(text_col)).cast("binary"), 256))
-    digests = write_table(docs.select(F.col(id_col).alias("_xd_id"), digest.alias("_xd_digest")), "digests")
-    bits = _filter_bits(digests.count())
-    bitmaps = write_table(repeat_filter(digests, "_xd_digest", bits), "repeat-filter")
-    again = probe(digests, "_xd_digest", bitmaps, bits, "_xd_maybe").filter("_xd_maybe")
-    keep = write_table(again.groupBy("_xd_digest").agg(F.max("_xd_id").alias("_xd_id")), "kept-copies")
-
-    probed = probe(docs.withColumn("_xd_digest", digest), "_xd_digest", bitmaps, bits, "_xd_maybe")
-    once = probed.filter(~F.col("_xd_maybe")).select(*docs.columns)
-    rows = probed.filter("_xd_maybe").drop("_xd_maybe")
-    same = rows[id_col].eqNullSafe(keep["_xd_id"]) & (rows["_xd_digest"] == keep["_xd_digest"])
-    kept = rows.join(keep, same, "left_semi").dropDuplicates([id_col, "_xd_digest"]).select(*docs.columns)
-    return once.unionByName(kept)
+    digest, own_id, kept_digest, turn, maybe = fresh(docs.columns, "digest", "own_id", "kept_digest", "turn", "maybe")
+    text = F.unhex(F.sha2(text_of(F.col(text_col)).cast("binary"), 256))
+    digests = write_table(docs.select(F.col(id_col).alias(own_id), text.alias(kept_digest)), "digests")
+    rounds, bits = _rounds(digests.count())
+    rows = docs.select(*every(docs), text.alias(digest))
+
+    def stay(part: DataFrame, narrow: DataFrame) -> DataFrame:
+        bitmaps = write_table(repeat_filter(narrow, kept_digest, bits), "repeat-filter")
+        again = probe(narrow, kept_digest, bitmaps, bits, maybe).filter(maybe)
+        keep = write_table(again.groupBy(kept_digest).agg(F.max(own_id).alias(own_id)), "kept-copies")
+        probed = probe(part, digest, bitmaps, bits, maybe)
+        copies = probed.filter(maybe).drop(maybe)
+        same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(digest) == F.col(kept_digest))
+        kept = copies.join(keep, same, "left_semi").dropDuplicates([id_col, digest])
+        return probed.filter(~F.col(maybe)).select(*every(docs)).unionByName(kept.select(*every(docs)))
+
+    if rounds == 1:
+        return stay(rows, digests)
+    # Sorted by round inside each file, so that every round reads about its own share of the table.
+    rows = write_table(rows.withColumn(turn, _round_of(F.col(digest), rounds)).sortWithinPartitions(turn), "rounds")
+    out = new_path(docs.sparkSession, "deduplicated")
+    for r in range(rounds):
+        part = rows.filter(F.col(turn) == r).drop(turn)
+        stay(part, digests.filter(_round_of(F.col(kept_digest), rounds) == r)).write.mode("append").parquet(out)
+    return docs.sparkSession.read.schema(docs.schema).parquet(out)

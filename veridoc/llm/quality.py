@@ -8,9 +8,9 @@ the first failure, so the sequence needs no correction inside a stratum; across
 (Bonferroni); every stratum with labels is certified on its own.  With probability CONFIDENCE no stratum exceeds the limit.  Among certified cutoffs the one that best
 separates the labelled classes is used; a stratum with none, or without labels, keeps every document that passes the base rules.
 
-Defined cases: null and empty texts have no word and fail the base rule; a null stratum is its own; labels without a
-known quality are ignored; repeated rows get equal verdicts; no labels or an empty table certify nothing; extra columns
-pass through (internal names start with ``_q_``).
+Defined cases: null and empty texts have no word and fail the base rule; very long texts are measured whole; a null stratum
+is its own; labels without a known quality, and rows labelled both ways, are ignored; repeated rows get equal verdicts; no
+labels or an empty table certify nothing; extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import write_table
+from .common import every, fresh, write_table
 
 MAX_FALSE_REJECTION = 0.02
 CONFIDENCE = 0.95
@@ -167,22 +167,25 @@ def calibrate(scored: DataFrame, stratum: str, label: str, score: str, limit: fl
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     stratum: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default) with ``_q_m`` (metrics), ``_q_base_failed`` and ``_q_kept``.
+                     stratum: str = "lang", keep: list[str] | None = None, out: str = "quality") -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default) and a struct ``out`` of METRICS, base_failed and kept, in place of a
+    column of that name.
 
     Metrics are computed once and written with the columns to the shared folder; the labelled part then joins on
     narrow columns only, and the verdict is a plain expression over the written rows.
     """
-    names = docs.columns if keep is None else keep
-    table = write_table(docs.withColumn("_q_m", metrics(F.col(text_col))).select(*names, "_q_m"), "quality")
-    known = labels.select(F.col(id_col).alias("_q_id"), F.col("quality").alias("_q_label")).dropDuplicates(["_q_id"])
-    narrow = table.filter(~base_failed("_q_m")).select(
-        F.col(id_col).alias("_q_id"), F.col(stratum).cast("string").alias("_q_s"), junk_score("_q_m").alias("_q_j")
-    )
-    cuts, strata = calibrate(narrow.join(known, "_q_id"), "_q_s", "_q_label", "_q_j")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
+    found, s, doc, cut, label, lo, hi, junk = fresh([*docs.columns, out], "m", "s", "doc", "cut", "label", "lo", "hi", "junk")
+    rows = docs.withColumn(found, metrics(F.col(text_col))).select(*every(names), found, F.col(stratum).cast("string").alias(s), F.col(id_col).alias(doc))
+    table = write_table(rows, "quality")
+    known = labels.select(F.col(id_col).alias(doc), F.col("quality").alias(label)).groupBy(doc).agg(F.min(label).alias(lo), F.max(label).alias(hi))
+    known = known.filter(F.col(lo) == F.col(hi)).select(doc, F.col(lo).alias(label))  # a row labelled both ways has no label
+    narrow = table.filter(~base_failed(found)).select(doc, s, junk_score(found).alias(junk))
+    cuts, strata = calibrate(narrow.join(known, doc), s, label, junk)
+    cuts = cuts.select(F.col("_q_s").alias(label), F.col("_q_cut").alias(cut))
     cuts = F.broadcast(cuts) if strata <= BROADCAST_STRATA else cuts
-    judged = table.join(cuts, F.col(stratum).cast("string").eqNullSafe(F.col("_q_s")), "left")
-    cutoff = F.coalesce("_q_cut", F.lit(math.inf))
-    return judged.withColumn("_q_base_failed", base_failed("_q_m")).withColumn(
-        "_q_kept", ~F.col("_q_base_failed") & (junk_score("_q_m") < cutoff)
-    ).drop("_q_s", "_q_cut")
+    judged = table.join(cuts, F.col(s).eqNullSafe(F.col(label)), "left")
+    failed = base_failed(found)
+    kept = ~failed & (junk_score(found) < F.coalesce(cut, F.lit(math.inf)))
+    verdict = F.struct(*(F.col(f"{found}.{m}").alias(m) for m in METRICS), failed.alias("base_failed"), kept.alias("kept"))
+    return judged.select(*every(names), verdict.alias(out))

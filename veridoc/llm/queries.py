@@ -55,8 +55,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     m = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return found.select(
-        "doc_id", *(F.col(f"_q_m.{c}").alias(c) for c in m),
-        F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"),
+        "doc_id", *(F.col(f"quality.{c}").alias(c) for c in (*m, "base_failed", "kept"))
     )
 
 

@@ -12,7 +12,7 @@ with three more, and what still lies in different components is compared block b
 whose fingerprints agree in MIN_AGREE samples is verified by exact weighted Jaccard similarity; classes are the connected
 components of the verified links.  Copies are collapsed before all this and rejoin at the end.
 
-Defined cases: null text counts as empty; equal texts, empty ones too, are always one class; a class is named by its
+Defined cases: null text counts as empty; a very long text is shingled whole; equal texts, empty ones too, are always one class; a class is named by its
 smallest id (null is smaller than any) and that row stays, one of them if rows repeat; an empty table gives an empty
 result; other columns are not read.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import exact_dedup
-from .common import arrow_rows, join_groups, text_of, write_table
+from .common import arrow_rows, every, fresh, join_groups, text_of, write_table
 from .tokens import blocks
 
 SHINGLE = 5
@@ -405,10 +405,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate class, with all its columns."""
-    digest = F.unhex(F.sha2(text_of(F.col(text_col)).cast("binary"), 256))
+    digest, kept_id, kept_digest = fresh(docs.columns, "digest", "kept_id", "kept_digest")
     found = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    kept = found.filter("kept").select(F.col("doc_id").alias("_nd_id"), F.col("digest").alias("_nd_kept"))
-    rows = docs.withColumn("_nd_digest", digest)
-    same = rows[id_col].eqNullSafe(kept["_nd_id"]) & (rows["_nd_digest"] == kept["_nd_kept"])
+    kept = found.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest))
+    rows = docs.select(*every(docs), F.unhex(F.sha2(text_of(F.col(text_col)).cast("binary"), 256)).alias(digest))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
     # Rows that repeat both id and text are one.
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_nd_digest"]).drop("_nd_digest")
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, digest]).select(*every(docs))
