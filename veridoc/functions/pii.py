@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import _col, fold_digits
+from .text import _col, bind, fold_digits
 
+#: Self-introductions and what stands for the name.
 NAMES = (
     (r"((?:انا |أنا )?اسمي\s+)([ء-ي]+(?:\s+(?:بن|بنت|ابن)\s+[ء-ي]+)?(?:\s+(?!و)[ء-ي]+)?)", "$1[NAME]"),
     (r"((?:اسمه|اسمها)\s+)([ء-ي]+(?:\s+[ء-ي]+)?)", "$1[NAME]"),
@@ -42,22 +43,39 @@ def _iban(m: Column) -> Column:
     return F.when(F.regexp_replace(m, " ", "").rlike(r"\d{6}"), F.lit("[IBAN]"))
 
 
+#: Texts without any of these hold nothing to redact.
+SIGNS = r"(?i)[0-9@]|my name is\s|اسمي|اسمه|انا\s|أنا\s"
+
+
 def redact(c: str | Column) -> Column:
-    """Struct of the redacted text and the kinds found, in the order e-mail, IBAN, numbers, names."""
-    text = fold_digits(F.coalesce(_col(c), F.lit("")))
-    has_email = F.regexp_like(text, F.lit(V.EMAIL))
-    text = F.regexp_replace(text, V.EMAIL, "[EMAIL]")
-    text, ibans = replace_with(text, "(?i)" + V.IBAN, _iban)
-    has_iban = F.exists(ibans, lambda m: _iban(m).isNotNull())
-    text, runs = replace_with(text, V.NUMBER_RUN, lambda m: F.concat(F.lit("["), F.upper(classify_number(m)), F.lit("]")))
-    kinds = F.array_compact(F.transform(runs, classify_number))
-    has_name = F.lit(False)
-    for pattern, new in NAMES:
-        has_name = has_name | F.regexp_like(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, new)
+    """Struct of the redacted text and the kinds found, in the order e-mail, IBAN, numbers, names.  Each step is computed
+    once, and only for texts that hold a sign of personal data."""
     only = lambda flag, kind: F.when(flag, F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
-    types = F.concat(only(has_email, "email"), only(has_iban, "iban"), kinds, only(has_name, "name"))
-    return F.struct(text.alias("text"), F.array_distinct(types).alias("types"))
+
+    def numbers(text: Column, types: Column) -> Column:
+        new, runs = replace_with(text, V.NUMBER_RUN, lambda m: F.concat(F.lit("["), F.upper(classify_number(m)), F.lit("]")))
+        found = F.array_compact(F.transform(runs, classify_number))
+        return F.struct(new.alias("text"), F.concat(types, found).alias("types"))
+
+    def ibans(text: Column, types: Column) -> Column:
+        new, runs = replace_with(text, "(?i)" + V.IBAN, _iban)
+        return F.struct(new.alias("text"), F.concat(types, only(F.exists(runs, lambda m: _iban(m).isNotNull()), "iban")).alias("types"))
+
+    def names(text: Column, types: Column) -> Column:
+        has, new = F.lit(False), text
+        for pattern, put in NAMES:
+            has = has | F.regexp_like(text, F.lit(pattern))  # a name stays visible to the patterns behind it
+            new = F.regexp_replace(new, pattern, put)
+        return F.struct(new.alias("text"), F.array_distinct(F.concat(types, only(has, "name"))).alias("types"))
+
+    def emails(text: Column) -> Column:
+        return F.struct(F.regexp_replace(text, V.EMAIL, "[EMAIL]").alias("text"), only(F.regexp_like(text, F.lit(V.EMAIL)), "email").alias("types"))
+
+    def steps(text: Column) -> Column:
+        return bind(emails(text), lambda s: bind(ibans(s["text"], s["types"]), lambda s: bind(numbers(s["text"], s["types"]), lambda s: names(s["text"], s["types"]))))
+
+    clean = lambda text: F.struct(text.alias("text"), F.array().cast("array<string>").alias("types"))
+    return bind(fold_digits(F.coalesce(_col(c), F.lit(""))), lambda t: F.when(t.rlike(SIGNS), steps(t)).otherwise(clean(t)))
 
 
 def pii_report(df: DataFrame, types: str = "types") -> DataFrame:

@@ -18,8 +18,9 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _words(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+def bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def expand_ligatures(c: str | Column) -> Column:
@@ -60,11 +61,8 @@ def tokens(c: str | Column, compose: bool = False) -> Column:
 
 
 def is_stopword(token: Column) -> Column:
-    stop = _words(V.STOPWORDS)
-    rest = F.substring(token, 2, 1000)
-    return F.array_contains(stop, token) | (
-        (F.length(token) > 2) & token.rlike(f"^[{V.CLITICS}]") & F.array_contains(stop, rest)
-    )
+    attached = (F.length(token) > 2) & F.substring(token, 1, 1).isin(*V.CLITICS)
+    return token.isin(*V.STOPWORDS) | (attached & F.substring(token, 2, 1000).isin(*V.STOPWORDS))
 
 
 def english_stem(token: Column) -> Column:
@@ -82,11 +80,9 @@ def light_stem(token: Column) -> Column:
 
 def stems(c: str | Column, drop_noise: bool = False, compose: bool = False) -> Column:
     """Stems of the content tokens, in order, with repeats."""
-    noise = _words(V.QUERY_NOISE)
-
     def keep(t: Column) -> Column:
         fine = (F.length(t) >= 2) & ~is_stopword(t)
-        return fine & ~F.array_contains(noise, t) if drop_noise else fine
+        return fine & ~t.isin(*V.QUERY_NOISE) if drop_noise else fine
 
     return F.filter(F.transform(F.filter(tokens(c, compose), keep), light_stem), lambda t: F.length(t) >= 2)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import bind
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,8 +23,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    doubles = F.transform(a, lambda x: x.cast("double"))
+    return bind(doubles, lambda v: bind(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def hash_bucket(term: Column, dim: int) -> Column:
@@ -32,11 +34,10 @@ def hash_bucket(term: Column, dim: int) -> Column:
 
 def hash_embed(terms: Column, dim: int) -> Column:
     """Unit vector of term counts per hash bucket."""
-    buckets = F.transform(terms, lambda t: hash_bucket(t, dim))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double")
-    )
-    return unit(counts)
+    def counts(buckets: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+
+    return bind(F.transform(terms, lambda t: hash_bucket(t, dim)), lambda buckets: unit(counts(buckets)))
 
 
 def dim_check(df: DataFrame, column: str, dim: int) -> DataFrame:

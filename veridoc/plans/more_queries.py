@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import text
 from veridoc.operators import chunking, classify, evaluation, retrieval, usage, verification
-from veridoc.plans.queries import _EVIDENCE, _RANKS, _TOP, NORM, _first_ranks, _nearest, _ranked, query, table
+from veridoc.plans.queries import _EVIDENCE, _POOL, _RANKS, NORM, _first_ranks, _nearest, _pooled, _ranked, query, table
 from veridoc.sources.views import units, view
 
 LEXICON = """SELECT 'topic' AS kind, 'alpha' AS topic, 1 AS ord, 'the' AS term UNION ALL SELECT 'topic', 'beta', 2, 'la' UNION ALL SELECT 'topic', 'gamma', 3, 'of the'
@@ -73,10 +73,9 @@ def K3_chunks_are_bounded(spark, d):
     return too_long.agg(F.count(F.lit(1)).cast("int").alias("broken"))
 
 
-@query(f"SELECT question_id, unit_id, round(1.0 / (60 + sparse_rank) + 1.0 / (60 + rank), 9) AS rrf FROM ({_EVIDENCE}) e")
+@query(f"SELECT question_id, unit_id, round(coalesce(1.0 / (60 + sparse_rank), 0.0) + coalesce(1.0 / (60 + dense_rank), 0.0), 9) AS rrf FROM ({_POOL}) e")
 def R10_rrf(spark, d):
-    e = retrieval.select_evidence(_ranked(spark, d))
-    return e.select("question_id", "unit_id", F.round(retrieval.rrf(F.col("sparse_rank"), F.col("rank")), 9).alias("rrf"))
+    return _pooled(spark, d).select("question_id", "unit_id", F.round(retrieval.rrf(F.col("sparse_rank"), F.col("dense_rank")), 9).alias("rrf"))
 
 
 @query(f"SELECT question_id, count(*) % 4 <> 0 AS valid FROM ({_EVIDENCE}) e GROUP BY question_id")
@@ -125,10 +124,10 @@ def C14_complete_question(spark, d):
     return q.join(p, "parent_id", "left").select("question_id", full.alias("full_question"))
 
 
-@query("SELECT item_id, variant, question FROM (SELECT item_id, substr(text, 1, 20) AS short, substr(text, 1, 40) AS long FROM benchmark) b UNPIVOT (question FOR variant IN (short, long))")
+@query("SELECT item_id, variant, question FROM (SELECT item_id, text AS formal, lower(text) AS colloquial FROM benchmark) b UNPIVOT (question FOR variant IN (formal, colloquial))")
 def S29_unpivot_variants(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 20).alias("short"), F.substring("text", 1, 40).alias("long"))
-    return b.unpivot(["item_id"], ["short", "long"], "variant", "question")
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("formal"), F.lower("text").alias("colloquial"))
+    return b.unpivot(["item_id"], ["formal", "colloquial"], "variant", "question")
 
 
 @query(f"SELECT query_id, CASE WHEN first_rank = 1 THEN 'C' WHEN first_rank <= 10 THEN 'B' ELSE 'A' END AS bucket FROM ({_RANKS}) r")
@@ -138,10 +137,10 @@ def E9_buckets(spark, d):
     return r.select("query_id", evaluation.bucket(F.coalesce("first_rank", F.lit(0)), found).alias("bucket"))
 
 
-@query(f"""SELECT CAST(20 AS BIGINT) AS queries, round(avg(r), 6) AS recall FROM (SELECT t.query_id, count(f.vec_id) / count(*) AS r FROM (SELECT * FROM ({_TOP}) x WHERE rank <= 10) t
-    LEFT JOIN (SELECT * FROM ({_TOP}) y WHERE rank <= 5) f ON f.query_id = t.query_id AND f.vec_id = t.vec_id GROUP BY 1) p""")
+@query()
 def E16_recall(spark, d):
-    return evaluation.recall(_nearest(spark, d, 5), _nearest(spark, d, 10), "query_id", "vec_id")
+    """Recall at 10 of the approximate search against the exact one."""
+    return evaluation.recall(_approximate(spark, d), _nearest(spark, d, 10), "query_id", "vec_id")
 
 
 @query("""SELECT w AS "start", w + INTERVAL 7 DAY AS "end", event_type, count(*) AS n FROM (SELECT event_type, unnest(range(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS w FROM events) e GROUP BY 1, 2, 3""")
@@ -162,11 +161,14 @@ def S27_search_domains(spark, d):
     return table(spark, d, "pages").select(F.regexp_extract("url", "https?://([^/:?#]+)", 1).alias("domain")).distinct()
 
 
-@query()
-def V7_knn_ann(spark, d):
+def _approximate(spark, d):
     from veridoc.operators import ann
 
     v = view(spark, d, "v_vectors")
     q = v.filter("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = ann.knn_ann(q, v.filter("NOT is_query").select("vec_id", "embedding"), 10, 64)
-    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return ann.knn_ann(q, v.select("vec_id", "embedding"), 10, 64)
+
+
+@query()
+def V7_knn_ann(spark, d):
+    return _approximate(spark, d).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")

@@ -247,14 +247,24 @@ def S25_extract_urls(spark, d):
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
 _COS = f"({_DOT.format('q.embedding', 'v.embedding')} / (sqrt({_DOT.format('q.embedding', 'q.embedding')}) * sqrt({_DOT.format('v.embedding', 'v.embedding')})))"
 _KNN = f"""SELECT q.vec_id AS query_id, v.vec_id AS vec_id, v.label AS label, q.label AS query_label, {_COS} AS score
-           FROM v_vectors q, v_vectors v WHERE q.is_query AND NOT v.is_query"""
-_TOP = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM ({_KNN}) k"
+           FROM v_vectors q, v_vectors v WHERE q.is_query"""
+_TOP = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM ({_KNN}) k"
+_REST = f"SELECT query_id, vec_id, label, query_label, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ({_TOP}) a WHERE vec_id <> query_id"
 
 
 def _nearest(spark, d, k):
     v = view(spark, d, "v_vectors")
     q = v.filter("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.knn_exact(q, v.filter("NOT is_query"), k)
+    return retrieval.knn_exact(q, v, k)
+
+
+def _others(spark, d, k):
+    """The nearest vectors but for the query itself."""
+    from pyspark.sql import Window
+
+    found = _nearest(spark, d, k + 1).filter("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 @query(f"SELECT vec_id, round(sqrt({_DOT.format('embedding', 'embedding')}), 6) AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt({_DOT.format('embedding', 'embedding')}), 6) AS first FROM embeddings")
@@ -273,12 +283,6 @@ def V5_dim_check(spark, d):
     return vectors.dim_check(table(spark, d, "embeddings"), "embedding", 64).agg(F.count(F.lit(1)).alias("wrong"))
 
 
-@query()
-def V2_hash_embed(spark, d):
-    q = retrieval.query_terms(view(spark, d, "v_questions"))
-    return q.select("question_id", F.transform(vectors.hash_embed(F.col("terms"), 64), lambda x: F.round(x, 6)).alias("embedding"))
-
-
 # --- retrieval --------------------------------------------------------------------------------------------------------
 
 _APPROVED = "SELECT u.*, s.priority FROM v_units u JOIN v_sources s ON s.slug = u.source_slug WHERE s.status = 'approved' AND u.status = 'active'"
@@ -313,22 +317,67 @@ def R5_sparse_search(spark, d):
     return found.select("question_id", "unit_id", "hits", F.col("rank").cast("long").alias("rank"), "sparse_score")
 
 
-_SCORED = f"""SELECT s.question_id, s.unit_id, s.rank AS sparse_rank, u.doc_id, u.source_slug,
+DIM = 64
+_BUCKETS = f"CAST(concat('0x', substr(sha256(term), 1, 8)) AS BIGINT) % {DIM} AS b, CAST(count(*) AS DOUBLE) AS c"
+_QB = f"SELECT question_id, {_BUCKETS} FROM (SELECT question_id, unnest({DISTINCT.format(STEMS.format('question'))}) AS term FROM v_questions) t GROUP BY 1, 2"
+_UB = f"SELECT unit_id, {_BUCKETS} FROM (SELECT unit_id, unnest({DISTINCT.format(STEMS.format('content'))}) AS term FROM ({_APPROVED}) a) t GROUP BY 1, 2"
+_COSINES = f"""SELECT question_id, unit_id, round(sum(q.c * u.c) / (any_value(q.n) * any_value(u.n)), 9) AS dense FROM
+    (SELECT *, sqrt(sum(c * c) OVER (PARTITION BY question_id)) AS n FROM ({_QB}) x) q
+    JOIN (SELECT *, sqrt(sum(c * c) OVER (PARTITION BY unit_id)) AS n FROM ({_UB}) y) u USING (b) GROUP BY 1, 2"""
+_DENSE = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, unit_id) AS rank FROM ({_COSINES}) c) d WHERE rank <= 24"
+_POOL = f"""SELECT p.*, coalesce(c.dense, 0.0) AS dense FROM (SELECT coalesce(d.question_id, s.question_id) AS question_id, coalesce(d.unit_id, s.unit_id) AS unit_id,
+    d.rank AS dense_rank, s.rank AS sparse_rank FROM ({_DENSE}) d FULL JOIN ({_SPARSE}) s ON s.question_id = d.question_id AND s.unit_id = d.unit_id) p
+    LEFT JOIN ({_COSINES}) c ON c.question_id = p.question_id AND c.unit_id = p.unit_id"""
+_SCORED = f"""SELECT s.question_id, s.unit_id, s.sparse_rank, s.dense_rank, s.dense, u.doc_id, u.source_slug,
     CASE WHEN len(t.terms) = 0 THEN 0.0 ELSE len(list_intersect(t.terms, list_distinct({STEMS.format('u.content')}))) / len(t.terms) END AS coverage,
     CASE WHEN len(t.terms) = 0 THEN 0.0 ELSE len(list_intersect(t.terms, list_distinct({STEMS.format('u.title')}))) / len(t.terms) END AS title_coverage, len(t.terms) AS n_terms
-    FROM ({_SPARSE}) s JOIN v_units u ON u.unit_id = s.unit_id JOIN ({_TERMS}) t ON t.question_id = s.question_id"""
-_HYBRID = f"SELECT *, s AS hybrid, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, unit_id) AS rank FROM (SELECT *, round(0.05 * coverage + 0.1 * title_coverage, 9) AS s FROM ({_SCORED}) c) h"
+    FROM ({_POOL}) s JOIN v_units u ON u.unit_id = s.unit_id JOIN ({_TERMS}) t ON t.question_id = s.question_id"""
+_HYBRID = f"SELECT *, s AS hybrid, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, unit_id) AS rank FROM (SELECT *, round(dense + 0.05 * coverage + 0.1 * title_coverage, 9) AS s FROM ({_SCORED}) c) h"
+
+
+def _embedded(spark, d):
+    """Questions and approved units with their term-hash vectors."""
+    q = _questions(spark, d).withColumn("embedding", vectors.hash_embed(text.content_terms("question"), DIM))
+    return q, _approved(spark, d).withColumn("embedding", vectors.hash_embed(text.content_terms("content"), DIM))
+
+
+@query(f"""SELECT q.question_id, r.i AS bucket, round(coalesce(x.c / x.n, 0.0), 6) AS weight FROM v_questions q, range({DIM}) r(i)
+    LEFT JOIN (SELECT *, sqrt(sum(c * c) OVER (PARTITION BY question_id)) AS n FROM ({_QB}) b) x ON x.question_id = q.question_id AND x.b = r.i""")
+def V2_hash_embed(spark, d):
+    q = view(spark, d, "v_questions").select("question_id", F.posexplode(vectors.hash_embed(text.content_terms("question"), DIM)).alias("bucket", "weight"))
+    return q.select("question_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
+
+
+@query(f"SELECT question_id, unit_id, dense AS dense_score, rank FROM ({_DENSE}) d")
+def R3_dense_search(spark, d):
+    q, u = _embedded(spark, d)
+    found = retrieval.dense_search(q, u)
+    return found.select("question_id", "unit_id", F.round("dense_score", 9).alias("dense_score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _pooled(spark, d):
+    q, u = _embedded(spark, d)
+    sparse = retrieval.sparse_search(q, retrieval.postings(u))
+    both = [df.select(key, F.col("embedding").alias(name)) for df, key, name in ((q, "question_id", "_q"), (u, "unit_id", "_u"))]
+    carried = F.round(vectors.cosine(F.col("_q"), F.col("_u")), retrieval.DIGITS).alias("dense_score")
+    sparse = sparse.join(both[0], "question_id").join(both[1], "unit_id").select("question_id", "unit_id", "hits", "rank", "sparse_score", carried)
+    return retrieval.pool(retrieval.dense_search(q, u), sparse, ["question_id", "unit_id"])
+
+
+@query(f"SELECT question_id, unit_id, dense_rank, sparse_rank, dense AS dense_score FROM ({_POOL}) p")
+def R9_pool(spark, d):
+    p = _pooled(spark, d)
+    return p.select("question_id", "unit_id", *(F.col(c).cast("long").alias(c) for c in ("dense_rank", "sparse_rank")), "dense_score")
 
 
 def _ranked(spark, d):
-    """Sparse candidates with coverage and hybrid rank; without vectors for the questions the dense score is absent."""
+    """Candidates of both searches with coverage and hybrid rank."""
     from pyspark.sql import Window
 
-    found = _sparse(spark, d).withColumnRenamed("rank", "sparse_rank")
     body = units(spark, d).select("unit_id", "doc_id", "source_slug", "title", "content")
-    joined = found.join(body, "unit_id").join(_questions(spark, d).select("question_id", "terms"), "question_id")
+    joined = _pooled(spark, d).join(body, "unit_id").join(_questions(spark, d).select("question_id", "terms"), "question_id")
     scored = retrieval.with_coverage(joined)
-    hybrid = F.round(retrieval.hybrid_score(F.lit(None).cast("double"), F.col("coverage"), F.col("title_coverage")), 9)
+    hybrid = F.round(retrieval.hybrid_score(F.col("dense_score"), F.col("coverage"), F.col("title_coverage")), 9)
     order = Window.partitionBy("question_id").orderBy(F.col("hybrid").desc(), "unit_id")
     return scored.withColumn("hybrid", hybrid).withColumn("rank", F.row_number().over(order))
 
@@ -357,10 +406,10 @@ def R15_select_evidence(spark, d):
 @query(f"""SELECT q.question_id, coalesce(c.candidates, 0) AS candidates, coalesce(e.evidence, 0) AS evidence, round(coalesce(e.best, 0.0), 6) AS best_coverage,
     CASE WHEN c.candidates IS NULL THEN 'no_source' WHEN e.evidence IS NULL OR NOT e.strong THEN 'weak_evidence' ELSE 'sufficient' END AS verdict
     FROM v_questions q LEFT JOIN (SELECT question_id, count(*) AS candidates FROM ({_HYBRID}) h GROUP BY 1) c ON c.question_id = q.question_id
-    LEFT JOIN (SELECT question_id, count(*) AS evidence, bool_or(n_terms = 1 AND title_coverage = 1) AS strong, max(coverage) AS best FROM ({_EVIDENCE}) e GROUP BY 1) e ON e.question_id = q.question_id""")
+    LEFT JOIN (SELECT question_id, count(*) AS evidence, bool_or(dense >= 0.72 OR (n_terms = 1 AND title_coverage = 1) OR (dense >= 0.55 AND (n_terms = 1 OR coverage >= 0.5))) AS strong, max(coverage) AS best FROM ({_EVIDENCE}) e GROUP BY 1) e ON e.question_id = q.question_id""")
 def R17_sufficiency(spark, d):
     ranked = _ranked(spark, d)
-    strong = retrieval.is_strong(F.lit(None).cast("double"), F.size("terms"), F.col("coverage"), F.col("title_coverage"))
+    strong = retrieval.is_strong(F.col("dense_score"), F.size("terms"), F.col("coverage"), F.col("title_coverage"))
     evidence = retrieval.select_evidence(ranked).withColumn("strong", strong)
     out = retrieval.sufficiency(view(spark, d, "v_questions"), ranked, evidence)
     return out.withColumn("best_coverage", F.round("best_coverage", 6))
@@ -523,12 +572,12 @@ def D13_sessionize(spark, d):
 
 def _first_ranks(spark, d):
     v = view(spark, d, "v_vectors")
-    truth = v.filter("is_query").select(F.col("vec_id").alias("query_id"), "label").join(v.filter("NOT is_query").select("vec_id", "label"), "label")
-    ranks = evaluation.rank_of(_nearest(spark, d, 10), truth.select("query_id", "vec_id"), "query_id", "vec_id")
+    truth = v.filter("is_query").select(F.col("vec_id").alias("query_id"), "label").join(v.select("vec_id", "label"), "label").filter("vec_id <> query_id")
+    ranks = evaluation.rank_of(_others(spark, d, 10), truth.select("query_id", "vec_id"), "query_id", "vec_id")
     return v.filter("is_query").select(F.col("vec_id").alias("query_id"), "label").join(ranks, "query_id", "left")
 
 
-_RANKS = f"SELECT q.vec_id AS query_id, q.label AS label, min(t.rank) AS first_rank FROM v_vectors q LEFT JOIN ({_TOP}) t ON t.query_id = q.vec_id AND t.rank <= 10 AND t.label = t.query_label WHERE q.is_query GROUP BY 1, 2"
+_RANKS = f"SELECT q.vec_id AS query_id, q.label AS label, min(t.rank) AS first_rank FROM v_vectors q LEFT JOIN ({_REST}) t ON t.query_id = q.vec_id AND t.rank <= 10 AND t.label = t.query_label WHERE q.is_query GROUP BY 1, 2"
 
 
 @query(f"SELECT query_id, label, CAST(first_rank AS INT) AS first_rank FROM ({_RANKS}) r")

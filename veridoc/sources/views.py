@@ -24,12 +24,12 @@ VIEWS = {
         FROM documents WHERE doc_id % 13 <> 0
         UNION ALL
         SELECT doc_id + 1000000 AS doc_id, source AS source_slug, coalesce(text, '') AS body FROM documents WHERE doc_id % 17 = 0""",
-    "v_questions": "SELECT item_id AS question_id, substr(text, 1, 80) AS question FROM benchmark",
+    "v_questions": "SELECT item_id AS question_id, text AS question FROM benchmark",
     "v_question_log": """
         SELECT conv_id * 1000 + turn AS question_id, conv_id AS session_id, turn, text AS question,
                lag(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id
         FROM conversations WHERE role = 'user'""",
-    "v_vectors": "SELECT vec_id, embedding, label, vec_id % 25 = 0 AS is_query FROM embeddings",
+    "v_vectors": "SELECT vec_id, embedding, label, vec_id % 20 = 0 AS is_query FROM embeddings",
     "v_usage": """
         SELECT event_id, ts, user_id AS session_id,
                CASE event_type WHEN 'error' THEN 'timeout' WHEN 'signup' THEN 'cache_hit' WHEN 'purchase' THEN 'budget_exceeded' ELSE 'success' END AS status,
@@ -59,18 +59,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval units: lines of at least 25 characters, numbered within their document."""
+    """Retrieval units: lines that are not blank, numbered within their document."""
     docs = view(spark, sf_dir, "v_docs")
     lines = docs.select("doc_id", "source_slug", "title", "status", F.posexplode(F.split("body", "\n")).alias("pos", "content"))
-    lines = lines.filter(F.length("content") >= 25)
-    return lines.select((F.col("doc_id") * 100000 + F.col("pos")).alias("unit_id"), "doc_id", "source_slug", "title", "status", "pos", "content")
+    lines = lines.filter(F.col("content").rlike(r"\S"))
+    return lines.select((F.col("doc_id") * (1 << 24) + F.col("pos")).alias("unit_id"), "doc_id", "source_slug", "title", "status", "pos", "content")
 
 
 UNITS_SQL = """
-    SELECT doc_id * 100000 + pos AS unit_id, doc_id, source_slug, title, status, pos, content
+    SELECT doc_id * 16777216 + pos AS unit_id, doc_id, source_slug, title, status, pos, content
     FROM (SELECT doc_id, source_slug, title, status, unnest(string_split(body, chr(10))) AS content,
                  generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM v_docs) l
-    WHERE length(content) >= 25"""
+    WHERE regexp_matches(content, '\\S')"""
 
 
 def oracle(sql: str) -> str:
