@@ -1,0 +1,99 @@
+"""Rules of dialogue, answer assembly, calibration and user models against small fixtures and plain Python."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from veridoc.operators import assembly, calibration, dialogue, governance, models
+
+PHRASES = {"hello": "hello", "hello there": "there", "thank you": "thanks", "good bye": "bye"}
+
+
+def courtesy(message):
+    """Plain reading of the rule: the longest phrase at each place, else a filler word."""
+    rest, kinds = message, []
+    while rest:
+        hit = next((p for p in sorted(PHRASES, key=len, reverse=True) if rest == p or rest.startswith(p + " ")), None)
+        if hit:
+            kinds += [] if PHRASES[hit] in kinds else [PHRASES[hit]]
+            rest = rest[len(hit) :].strip()
+        else:
+            word, _, rest = rest.partition(" ")
+            if word != "so":
+                return None
+    return kinds or None
+
+
+def test_small_talk_against_plain_reading(spark):
+    messages = ["hello", "hello there", "Hello, there!", "hello thank you", "so", "", "so hello so hello", "hello you", "thank you good bye", "helloo", "hello therefore", None]
+    df = spark.createDataFrame([(m,) for m in messages], "m string")
+    got = [r["k"] for r in df.select(dialogue.small_talk("m", PHRASES, ["so"]).alias("k")).collect()]
+    plain = [None if m is None else courtesy(" ".join("".join(ch if ch.isalnum() else " " for ch in m.lower()).split())) for m in messages]
+    assert got == plain
+
+
+def test_reply_invites_unless_leaving(spark):
+    kinds = [["hello"], ["hello", "thanks"], ["hello", "bye"]]
+    df = spark.createDataFrame([(k,) for k in kinds], "k array<string>")
+    reply = dialogue.courtesy_reply(F.col("k"), {"hello": "Hi", "thanks": "Sure", "bye": "Bye"}, "What?", "More?", ["thanks"])
+    assert [r[0] for r in df.select(reply).collect()] == ["Hi. What?", "Hi. Sure. More?", "Hi. Bye"]
+
+
+def test_general_reply_drops_questions_and_long_texts(spark):
+    df = spark.createDataFrame([("Fine. How are you? Good.",), ("Really?",), ("x" * 401,), (None,)], "t string")
+    got = [r[0] for r in df.select(dialogue.general_reply(F.col("t"), F.lit("Ask?"), F.lit("no"))).collect()]
+    assert got == ["Fine.Good. Ask?", "no", "no", "no"]  # the blank before a question goes with it
+
+
+def test_extractive_draft(spark):
+    text = "Fasting while travelling is allowed for the traveller. He makes the days of fasting up later in the year. Nothing else is said here at all."
+    rows = [(1, 7, 1, "E1", 1, 0.9, 1.0, ["fast", "travel"], text), (1, 8, 2, "E2", 2, 0.9, 1.0, ["fast", "travel"], text), (2, 7, 1, "E1", 1, 0.5, 1.0, ["fast", "travel"], text)]
+    evidence = spark.createDataFrame(rows, "question_id int, doc_id int, rank int, ref string, priority int, dense double, coverage double, terms array<string>, content string")
+    asked = spark.createDataFrame([(1, "ar"), (2, "ar"), (3, "en")], "question_id int, language string")
+    got = {r["question_id"]: r for r in assembly.generate_extractive(asked, evidence).collect()}
+    first = got[1]
+    assert not first["insufficient"] and first["refs"] == ["E1", "E2"] and first["note"] is None
+    assert [(c["role"], c["text"].split()[0], c["ref"]) for c in first["claims"]] == [("summary", "Fasting", "E1"), ("detail", "He", "E1")]
+    assert got[2]["insufficient"] and got[2]["claims"] is None and got[3]["insufficient"] and "cross-lingual" in got[3]["note"]
+
+
+def test_rerun_rules(spark):
+    e = spark.createDataFrame([(q, r, p) for q in (1, 2, 3, 4) for r, p in (("E1", 1), ("E2", None))] + [(5, "E1", None)], "question_id int, ref string, priority int")
+    answering = spark.createDataFrame([(1, "E1"), (2, "E2"), (3, "E1")], "question_id int, ref string")
+    claims = spark.createDataFrame([(1, 1, "E2"), (2, 1, "E2"), (3, 1, "E1"), (3, 1, "E2"), (4, 1, "E1"), (5, 1, "E1")], "question_id int, ordinal int, ref string")
+    conflicts = spark.createDataFrame([(4, True), (5, True)], "question_id int, conflict boolean")
+    got = dict(map(tuple, assembly.needs_priority_rerun(e, answering, claims, conflicts).collect()))
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
+
+
+def test_phase_latency_is_nearest_rank(spark):
+    times = [5, 1, 1, 9, 7, None, 3]
+    df = spark.createDataFrame([("llm", t) for t in times] + [("none", 100)], "mode string, retrieval int")
+    row = calibration.phase_latency(df, ["retrieval"]).collect()[0]
+    real = sorted(t for t in times if t is not None)
+    assert (row["min"], row["median"], row["p95"], row["max"]) == (1, real[2], real[5], 9)
+
+
+def test_failure_without_original(spark):
+    df = spark.createDataFrame([("a", "formal", None, True, False, 0.9)], "item string, variant string, first_rank int, sufficient boolean, in_evidence boolean, term_coverage double")
+    assert calibration.failure_class(df).collect()[0]["failure"] == "vocabulary"
+
+
+def test_cache_keeps_the_newest(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "key string, created_at int")
+    new = spark.createDataFrame([("a", 3), ("a", 2), ("c", 5)], "key string, created_at int")
+    assert sorted(map(tuple, governance.cache_store(old, new).collect())) == [("a", 3), ("b", 1), ("c", 5)]
+
+
+def test_user_models(spark):
+    df = spark.createDataFrame([(1, "q", "t", "abc", 1), (1, "q", "t", None, 2), (1, "q", "t", "a", 3)], "question_id int, question string, title string, content string, unit_id int")
+
+    def embedder():
+        return lambda texts: np.array([[len(t), 0.0] for t in texts])
+
+    def reranker():
+        return lambda pairs: [len(held) for _, held in pairs]
+
+    vectors = [r["embedding"] for r in models.embed_with(df, embedder, "passage", 2).collect()]
+    assert vectors == [[1.0, 0.0]] * 3
+    ranked = {r["unit_id"]: r["rank"] for r in models.rerank_with(df, reranker).collect()}
+    assert ranked == {1: 1, 3: 2, 2: 3}

@@ -122,3 +122,17 @@ def outcome_rates(answers: DataFrame, variant: str) -> DataFrame:
     rate = lambda o: F.round(100 * F.avg((F.col("outcome") == o).cast("int")), 6).alias(o)
     out = answers.rollup(variant).agg(F.count(F.lit(1)).alias("n"), *map(rate, ("answer", "abstention", "clarification", "escalation")))
     return out.withColumn(variant, F.coalesce(F.col(variant).cast("string"), F.lit("all")))
+
+
+def cache_store(cache: DataFrame, entries: DataFrame, key: str = "key") -> DataFrame:
+    """The cache with the entries in place of older ones of their key; of several entries with one key the newest is kept."""
+    newest = Window.partitionBy(key).orderBy(F.col("created_at").desc())
+    fresh = entries.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select(*cache.columns)
+    return cache.join(fresh, key, "left_anti").select(*cache.columns).unionByName(fresh)
+
+
+def source_detail(sources: DataFrame, documents: DataFrame, slug: str, most: int = 500, source: str = "source_slug") -> DataFrame:
+    """One source with its first ``most`` documents by title."""
+    listed = documents.filter(F.col(source) == slug).orderBy("title", "doc_id").limit(most)
+    own = sources.filter(F.col("slug") == slug)
+    return own.join(listed.withColumnRenamed(source, "slug").drop("status", "priority"), "slug", "left")
