@@ -25,7 +25,7 @@ SUFFIXES = ("ها", "ان", "ات", "ون", "ين", "يه", "ه", "ي")
 # Honorific ligatures, foldings and digit tables.
 LIGATURES = {"ﷺ": " صلى الله عليه وسلم ", "ﷻ": " جل جلاله ", "ﷲ": " الله "}
 DIACRITICS = r"[ؐ-ًؚ-ٰٟۖ-ۭ]"
-FOLD_FROM, FOLD_TO = "آأإٱىةؤئ", "ااااي" + "هوي"
+FOLD_FROM, FOLD_TO = "آأإٱىةؤئ", "اااايهوي"
 DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 
 # Patterns of personal data and secrets.

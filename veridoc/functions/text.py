@@ -194,3 +194,28 @@ def term_overlap(terms: Column, sentence_stems: Column) -> Column:
 def coverage(terms: Column, text_terms: Column) -> Column:
     """Share of distinct terms present; 0 without terms."""
     return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(terms, text_terms)) / F.size(terms))
+
+
+def locate_verbatim(haystack: str | Column, needle: str | Column) -> Column:
+    """The haystack's own first wording that equals the needle once both are normalised, with the marks that trail it.
+
+    The needle becomes a pattern in which each letter admits its unfolded forms and marks, each blank any run of punctuation.
+    Null without a match or needle.  Ligatures and compatibility forms inside the haystack are not seen through.
+    """
+    mark = f"(?:{V.DIACRITICS}|ـ)"
+    forms: dict[str, str] = {" ": rf"(?:(?!{mark})[^\p{{L}}\p{{N}}_]{mark}*)+"}
+    for source, target in zip(V.FOLD_FROM + V.DIGITS_FROM, V.FOLD_TO + V.DIGITS_TO):
+        forms[target] = forms.get(target, f"[{target}]")[:-1] + source + "]"
+    form = F.create_map(*(F.lit(x) for kv in forms.items() for x in kv))
+
+    def find(wanted: Column) -> Column:
+        letters = F.transform(F.split(wanted, ""), lambda c: F.concat(F.coalesce(form[c], c), F.lit(f"{mark}*")))
+        return F.when(wanted != "", F.regexp_substr(_col(haystack), F.concat(F.lit("(?iu)"), F.array_join(letters, ""))))
+
+    return bind(normalize(needle), find)
+
+
+def person_core(stem: Column) -> Column:
+    """A stem without the affixes of person; at least three letters stay."""
+    bare = F.regexp_replace(F.regexp_replace(stem, "^ف(?=[تين].{3,}$)", ""), "^[تينا](?=.{3,}$)", "")
+    return F.regexp_replace(bare, "^(.{3,}?)(?:كم|هم|ها|وا|ك|ت|و)$", "$1")

@@ -422,3 +422,9 @@ def D3_source_detail(spark, d):
     sources = view(spark, d, "v_sources")
     slug = sources.agg(F.min("slug")).first()[0]  # one value
     return g.source_detail(sources, view(spark, d, "v_docs").select("source_slug", "doc_id", "title"), slug).select("slug", "doc_id", "title")
+
+
+@query(r"SELECT conv_id, turn, nullif(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g'), '') AS found FROM conversations")
+def T18_locate_verbatim(spark, d):
+    spaced = F.replace(F.split("text", "\n")[0], F.lit(" "), F.lit(" , "))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.locate_verbatim("text", spaced).alias("found"))
