@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import assembly, calibration, dialogue, governance, models, verification
+from veridoc.operators.chunking import chunk_text
+from veridoc.operators import assembly, calibration, dialogue, governance, ingest, models, verification
 
 PHRASES = {"hello": "hello", "hello there": "there", "thank you": "thanks", "good bye": "bye"}
 
@@ -126,3 +127,22 @@ def test_person_core_against_plain_reading(spark):
     stems = ["".join(p) + tail for n in (1, 2, 3) for p in itertools.product("فتيقا", repeat=n) for tail in ("", "ر", "رس", "كم", "سها", "روا", "رك", "دت", "و")]
     df = spark.createDataFrame([(s,) for s in stems], "s string")
     assert [r[0] for r in df.select(text.person_core(F.col("s"))).collect()] == [person_core(s) for s in stems]
+
+
+def test_index_replaces_units_of_its_documents(spark):
+    long = "A sentence about fasting on a journey. " * 60
+    docs = spark.createDataFrame([(1, "T", long, "a"), (2, "U", "Short body of one line that stays.", "b"), (3, "V", "", "c")], "doc_id long, title string, body string, source_slug string")
+    sources = spark.createDataFrame([("a", "approved"), ("b", "blocked"), ("c", "pending")], "slug string, status string")
+    first = ingest.index_documents(docs, None, 8, "m1").cache()
+    want = sorted((i, k, c) for i, _, body, _ in map(tuple, docs.collect()) for k, c in enumerate(chunk_text(body)))
+    assert sorted(map(tuple, first.select("doc_id", "ordinal", "content").collect())) == want
+    again = ingest.reindex(docs.withColumn("body", F.upper("body")), sources, first, 8, "m2")
+    models_of = {(r["doc_id"], r["model"], r["content"].isupper()) for r in again.collect()}
+    assert models_of == {(1, "m2", True), (2, "m1", False)}  # a blocked source keeps its old units
+    row = first.filter("doc_id = 2").collect()[0]
+    assert row["normalized"] == "short body of one line that stays" and abs(sum(x * x for x in row["embedding"]) - 1) < 1e-9
+
+
+def test_json_records_need_their_main_field(spark):
+    df = spark.createDataFrame([(1, '{"id": 5, "t": "x"}'), (2, '{"t": "y"}'), (3, "no json"), (4, None)], "n int, json string")
+    assert list(map(tuple, ingest.parse_api_json(df, "id int, t string", "id").collect())) == [(1, 5, "x")]

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.functions.text import normalize, search_text, stems
+from veridoc.functions.vectors import hash_embed
+from veridoc.operators.chunking import chunks
+
 
 def content_hash(question: Column, answer: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(question, F.lit("")), F.lit("\n\n"), F.coalesce(answer, F.lit(""))), 256)
@@ -136,3 +140,31 @@ def write_results(tables: dict[str, DataFrame], path: str, batch: str) -> None:
     """One Parquet write per table under a batch folder, so that a rerun of the batch replaces only itself."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+
+
+def index_documents(docs: DataFrame, indexed: DataFrame | None, dim: int, model: str) -> DataFrame:
+    """The index with the documents' units in place of older ones: content, normalised text, search text, vector and model.
+
+    docs: (doc_id, title, body).  A document without units loses its old ones.  ``indexed`` is a frame this function returned.
+    """
+    cut = chunks(docs).join(docs.select("doc_id", "title"), "doc_id")
+    words = F.concat_ws(" ", "title", "content")
+    fresh = cut.select(
+        "doc_id", "ordinal", "content", normalize("content").alias("normalized"), search_text(words).alias("search"),
+        hash_embed(F.array_distinct(stems(F.concat_ws("\n", "title", "content"))), dim).alias("embedding"), F.lit(model).alias("model"),
+    )
+    if indexed is None:
+        return fresh
+    return indexed.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def reindex(docs: DataFrame, sources: DataFrame, indexed: DataFrame | None, dim: int, model: str, slug: str | None = None) -> DataFrame:
+    """The index after all documents of sources that are not blocked, or of one such source, were indexed anew."""
+    open_ = sources.filter("status <> 'blocked'") if slug is None else sources.filter((F.col("slug") == slug) & (F.col("status") != "blocked"))
+    return index_documents(docs.join(open_.select(F.col("slug").alias("source_slug")), "source_slug", "left_semi"), indexed, dim, model)
+
+
+def parse_api_json(rows: DataFrame, schema: str, main: str, column: str = "json") -> DataFrame:
+    """Rows with the fields of their JSON text; those without the main field, or with text that is no such record, are left out."""
+    parsed = rows.withColumn("_record", F.from_json(column, schema))
+    return parsed.filter(F.col(f"_record.{main}").isNotNull()).select(*(c for c in rows.columns if c != column), "_record.*")

@@ -10,7 +10,7 @@ from veridoc.operators import assembly as a
 from veridoc.operators import calibration as c
 from veridoc.operators import dialogue as dlg
 from veridoc.operators import governance as g
-from veridoc.operators import retrieval
+from veridoc.operators import ingest, retrieval
 from veridoc.plans.queries import _COST, _RANKS, _TERMS, _TOP, DISTINCT, STEMS, _first_ranks, _nearest, _priced, _questions, _ranked, query, table
 from veridoc.sources.views import view
 
@@ -428,3 +428,14 @@ def D3_source_detail(spark, d):
 def T18_locate_verbatim(spark, d):
     spaced = F.replace(F.split("text", "\n")[0], F.lit(" "), F.lit(" , "))
     return table(spark, d, "conversations").select("conv_id", "turn", text.locate_verbatim("text", spaced).alias("found"))
+
+
+@query()
+def S12_reindex(spark, d):
+    units = ingest.reindex(view(spark, d, "v_docs"), view(spark, d, "v_sources"), None, 64, "hash")
+    return units.select("doc_id", "ordinal", F.length("content").alias("n_chars"), "model")
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
+def S24_parse_api_json(spark, d):
+    return ingest.parse_api_json(table(spark, d, "events").select("event_id", "props"), "k long", "k", "props")
