@@ -7,8 +7,8 @@ Gumbel value for the whole group, and the next sample starts from the best group
 segmentations in descending perturbed order, with inclusion scores 1 - exp(-exp(log p - kappa)), kappa being the value of
 the next best group.  All random numbers are hashes of the row key, so a rerun repeats them.
 
-The text is cut in front of each run of space marks, which no piece crosses, so a lattice is made once per distinct word;
-the words of many documents are walked in lockstep.
+The text is cut in front of each run of space marks, which no piece crosses, so lattices are made per distinct word and
+the most used ones are kept; the words of many documents are walked in lockstep.
 
 Defined cases: null and empty texts have one segmentation, without pieces, of log-probability 0; a text with fewer than
 SAMPLES segmentations gives them all with inclusion 1; characters outside the vocabulary become byte pieces; repeated
@@ -35,7 +35,7 @@ SAMPLES = 3
 MARK = "▁"  # stands for a space
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ZIPF_SHIFT = 2.7
-WORD_CACHE = 80_000
+WORD_CACHE = 120_000  # words whose lattices a worker holds at most between two blocks, some 80 MB
 MASK = (1 << 64) - 1
 RESULT = "doc_id long, sample int, log_prob double, perturbed double, inclusion double, n_pieces long, ids_crc32 long, ids binary, decoded_ok boolean"
 
@@ -54,7 +54,7 @@ class Lattices:
     """Lattices of distinct words, in flat arrays.
 
     A node is a place in a word; its edges are pieces with conditional log-probabilities ``log_q`` and upper ends ``cum`` of
-    their shares, offset by the node number so that one search over all nodes picks an edge.
+    their shares.  None of these numbers depends on which other words are held.
     """
 
     def __init__(self, path: str, limit: int = WORD_CACHE):
@@ -80,23 +80,57 @@ class Lattices:
                 prefixes[int(h[0])] = i if k == len(text) else prefixes.get(int(h[0]), -1)
         self.prefix = np.array(sorted(prefixes), np.uint64)
         self.prefix_id = np.array([prefixes[h] for h in sorted(prefixes)], np.int64)
+        at = np.searchsorted(self.prefix, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))  # by the first 20 bits
+        self.fullest = int(np.diff(np.append(at, len(self.prefix))).max())
+        self.prefix = np.append(self.prefix, np.zeros(self.fullest, np.uint64))
+        self.prefix_id = np.append(self.prefix_id, np.full(self.fullest, -1))
+        self.bucket = at
         self.raw = [b""] * size
         for i in normal:
             self.raw[i] = model.id_to_piece(i).encode()
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
+        self.bytes = pa.array(self.raw, pa.binary())
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
         self.word: dict[str, int] = {}
-        self.start = np.zeros(0, np.int64)  # first node of a word
+        self.used = np.zeros(0)  # how often a word was met, older uses counting less
+        self.start = np.zeros(1, np.int64)  # first node of a word, and the number of nodes
         self.first = np.zeros(1, np.int64)  # first edge of a node
         self.log_q, self.cum = np.zeros(0), np.zeros(0)
         self.to = np.zeros(0, np.int32)  # node an edge leads to; -1 at the word's end
         self.id0, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int16)
         self.ids = np.zeros(0, np.uint32)
 
+    def numbers(self, split: list[list[str]]) -> list[np.ndarray]:
+        """Word numbers of texts cut into words; new words are learnt, and only then may seldom used ones go."""
+        if len(self.word) > self.limit:
+            self.shrink()
+        found = [list(map(self.word.get, words)) for words in split]
+        self.learn(list(dict.fromkeys(w for words, at in zip(split, found, strict=True) if None in at for w, k in zip(words, at, strict=True) if k is None)))
+        out = []
+        for words, at in zip(split, found, strict=True):
+            out.append(np.array(list(map(self.word.__getitem__, words)) if None in at else at, np.int64))
+        self.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *out]), minlength=len(self.used))
+        return out
+
+    def shrink(self) -> None:
+        """Forget all but the half of ``limit`` words used most."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+        names = list(self.word)
+        self.word = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.used = self.used[keep] / 2
+        node, at = ranges(self.start[keep], self.start[keep + 1])
+        edge, place = ranges(self.first[node], self.first[node + 1])
+        ids, n_ids = self.spell(edge), self.n_ids[edge]
+        moved = np.full(self.start[-1] + 1, -1, self.to.dtype)  # an edge to -1 reads the last entry
+        moved[node] = np.arange(len(node))
+        self.start, self.first, self.to = at, place, moved[self.to[edge]]
+        self.log_q, self.cum = self.log_q[edge], self.cum[edge]
+        self.ids, self.n_ids, self.id0 = ids, n_ids, (np.cumsum(n_ids, dtype=np.int32) - n_ids).astype(np.int32)
+
     def _edges(self, points: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         """(place, length, id) of every piece found; lengths grow together and stop where no piece has the prefix."""
         at = np.arange(len(points))
@@ -104,8 +138,11 @@ class Lattices:
         found = []
         for b in range(1, self.longest + 1):
             h = extend(h, points[at + b - 1])
-            k = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
+            k = self.bucket[h >> np.uint64(44)]
             live = self.prefix[k] == h
+            for _ in range(self.fullest - 1):
+                k += ~live
+                live |= self.prefix[k] == h
             ids = self.prefix_id[k]
             hit = live & (ids >= 0)
             found.append((at[hit], np.full(int(hit.sum()), b), ids[hit]))
@@ -127,16 +164,18 @@ class Lattices:
         bare[place[length == 1]] = False
         bare = np.flatnonzero(bare)  # characters outside the vocabulary: one edge of byte pieces
         spelled = [[self.byte[x] for x in chr(points[i]).encode("utf-8", "surrogatepass")] for i in bare.tolist()]
-        log_p = np.concatenate([self.log_ps[ids], np.array([sum(self.log_ps[i] for i in w) for w in spelled])])
-        n_ids = np.concatenate([np.ones(len(ids), np.int64), np.array([len(w) for w in spelled], np.int64)])
+        log_p = np.concatenate([np.array([sum(self.log_ps[i] for i in w) for w in spelled]), self.log_ps[ids]])
+        n_ids = np.concatenate([np.array([len(w) for w in spelled], np.int64), np.ones(len(ids), np.int64)])
         id0 = held + np.cumsum(n_ids) - n_ids
-        ids = np.concatenate([ids, np.array([i for w in spelled for i in w], np.int64)])
-        place, length = np.concatenate([place, bare]), np.concatenate([length, np.ones(len(bare), np.int64)])
-        to = place + length
+        ids = np.concatenate([np.array([i for w in spelled for i in w], np.int64), ids])
+        place, length = np.concatenate([bare, place]), np.concatenate([np.ones(len(bare), np.int64), length])
+        order = np.argsort(place, kind="stable")  # lengths ascend already
+        place, log_p, n_ids, id0 = place[order], log_p[order], n_ids[order], id0[order]
+        to = place + length[order]
         last = to == end[place]
         # Backward masses, from each word's end: nodes at the same distance together.
         far = (end - np.arange(m))[place]
-        order = np.argsort(far * (m + 1) + place, kind="stable")
+        order = np.argsort(far.astype(np.min_scalar_type(int(sizes.max()))), kind="stable")  # short numbers sort by radix
         mass = np.zeros(m + 1)
         target = np.where(last, m, to)
         steps = np.searchsorted(far[order], np.arange(1, int(sizes.max()) + 2))
@@ -147,33 +186,35 @@ class Lattices:
             top = np.maximum.reduceat(value, cut)
             size = np.diff(np.append(cut, len(own)))
             mass[place[own[cut]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), cut))
-        order = np.argsort(place * (self.longest + 1) + length)
-        place, target = place[order], target[order]
-        log_q = log_p[order] + mass[target] - mass[place]
+        log_q = log_p + mass[target] - mass[place]
         cut = np.flatnonzero(np.diff(place, prepend=-1))
-        total = np.cumsum(np.exp(log_q))
-        total -= np.repeat(np.append(0.0, total[cut[1:] - 1]), np.diff(np.append(cut, len(place))))
-        cum = base + place + np.minimum(total, 1.0)
-        cum[np.append(cut[1:], len(place)) - 1] = base + np.arange(m) + 1.0
+        stop = np.append(cut[1:], len(place))
+        cum = np.exp(log_q)
+        at = cut + 1
+        while len(at := at[at < stop[place[at - 1]]]):  # sums within a node, all nodes in step
+            cum[at] += cum[at - 1]
+            at = at + 1
+        cum[stop - 1] = 1.0
         for w in words:
             self.word[w] = len(self.word)
         add = lambda x, y: np.concatenate([x, y.astype(x.dtype)])
         edges = self.first[-1]
-        self.start = add(self.start, base + ends - sizes)
+        self.used = add(self.used, np.zeros(len(words)))
+        self.start = add(self.start, base + ends)
         self.first = np.concatenate([self.first[:-1], edges + cut, [edges + len(place)]])
         self.log_q, self.cum = add(self.log_q, log_q), add(self.cum, cum)
         self.to = add(self.to, np.where(target == m, -1, base + target))
-        self.id0, self.n_ids, self.ids = add(self.id0, id0[order]), add(self.n_ids, n_ids[order]), add(self.ids, ids)
+        self.id0, self.n_ids, self.ids = add(self.id0, id0), add(self.n_ids, n_ids), add(self.ids, ids)
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Draw a segmentation of each word from its node on: (word number, node, edge) of every decision, in order."""
         word = np.arange(len(node))
         found, step = [], 0
         while len(node):
-            share = node + uniform(key, 2 * step)
+            share = uniform(key, 2 * step)
             edge = self.first[node]
             open_ = np.arange(len(node))
-            while len(open_):  # the last edge of a node ends at node + 1, which no share passes
+            while len(open_):  # the last edge of a node ends at 1, which no share passes
                 open_ = open_[self.cum[edge[open_]] < share[open_]]
                 edge[open_] += 1
             found.append((word, node, edge))
@@ -196,10 +237,18 @@ class Lattices:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
-        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
+        if not len(ids):
+            return ""
+        text = self.bytes.take(pa.array(ids)).buffers()[2].to_pybytes().decode("utf-8", "surrogatepass")
         return text.replace(MARK, " ").removeprefix(" ")
 
 
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and where each begins there (and the last ends)."""
+    at = np.append(0, np.cumsum(stop - start))
+    return np.arange(at[-1]) + np.repeat(start - at[:-1], stop - start), at
+
+
 def uniform(key: np.ndarray, stream: int) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit keys."""
     return ((mix(key + np.uint64(stream)) >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
@@ -281,13 +330,8 @@ class _Search:
 
 def sample_texts(texts: list[str], keys: list[int], lat: Lattices, k: int = SAMPLES) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """Per normalized text: (log p, value, inclusion, edges) of up to k distinct segmentations, best first."""
-    if len(lat.word) > lat.limit:
-        lat.clear()
-    split = [WORD.findall(t) for t in texts]
-    lat.learn(list(dict.fromkeys(w for ws in split for w in ws if w not in lat.word)))
-    searches = []
-    for ws, key in zip(split, keys, strict=True):
-        searches.append(_Search(key & (1 << 59) - 1, lat.start[[lat.word[w] for w in ws]] if ws else np.zeros(0, np.int64)))
+    found = lat.numbers([WORD.findall(t) for t in texts])
+    searches = [_Search(key & (1 << 59) - 1, lat.start[at]) for at, key in zip(found, keys, strict=True)]
     for turn in range(k):
         jobs = []  # (search, prefix, value, decisions kept, nodes to walk, their word numbers)
         for s in searches:
