@@ -57,3 +57,9 @@ def test_redact(spark, source, types):
     assert set(got["types"]) == types
     if not types:
         assert got["text"] == source
+
+
+def test_sentences_are_trimmed_whatever_their_place(spark):
+    told = "0 is where this counting begins.  1 follows it after a while here.   2 comes at the very end of all."
+    row = spark.createDataFrame([(told,)], "t string").select(text.split_sentences("t").alias("s")).first()
+    assert row["s"] == ["0 is where this counting begins.", "1 follows it after a while here.", "2 comes at the very end of all."]

@@ -38,3 +38,10 @@ NATIONAL_ID = r"^[12]\d{9}$"
 # Letters that tell languages of one script apart.
 URDU, TURKISH, HAUSA = "[ٹڈڑںےۓھہۂ]", "[ğĞşŞıİ]", "[ɓɗƙƴƁƊƘƳ]"
 LATIN_INTERFACES = ("tr", "id", "ms", "uz", "ha")
+
+# Sentences of a transcript that are not the speaker's own words, the label that leads his, footnote marks.
+DIALOGUE_QUESTION = r"^\s*(السؤال|سؤال|س|المقدم|السائل)\s*[:：]"
+CITATION_ONLY = r"^\s*[\(\[].*[\)\]]\s*\.?\s*$"
+BIBLIOGRAPHIC = r"^\s*[\(\[]?\s*(رواه|أخرجه|اخرجه|متفق عليه|نشرت?\s+في|من برنامج|مجموع فتاوى|انظر|سورة\s)"
+ANSWER_LABEL = r"^\s*(الجواب|الشيخ|ج)\s*[:：]\s*"
+FOOTNOTE = r"\s*\[\d+\]\s*"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import sanitize, split_sentences, stems, term_overlap
+from veridoc.functions.text import quotable_sentences, sanitize, stems, term_overlap
 
 WINDOW, SUMMARY_OVERLAP, DETAIL_OVERLAP, DETAIL_SCORE, DETAILS = 4, 0.66, 0.34, 0.35, 3
 GROUPS = {"input": "question", "language": "question", "retrieval": "evidence", "generation": "answer", "verification": "check", "gate": "check"}
@@ -19,8 +19,8 @@ def priority_window(evidence: DataFrame, query: str = "question_id") -> DataFram
 
 
 def score_sentences(evidence: DataFrame, text: str = "content", terms: str = "terms", similarity: Column | None = None) -> DataFrame:
-    """Sentences with overlap and score: 0.6 similarity, 0.3 overlap, 0.05 for an early place and 0.05 for a high rank."""
-    cut = evidence.select("*", F.posexplode(split_sentences(text)).alias("idx", "sentence"))
+    """Quotable sentences with overlap and score: 0.6 similarity, 0.3 overlap, 0.05 for an early place and 0.05 for a high rank."""
+    cut = evidence.select("*", F.posexplode(quotable_sentences(text)).alias("idx", "sentence"))
     overlap = term_overlap(F.col(terms), stems("sentence"))
     place = F.when(F.col("idx") == 0, 1.0).when(F.col("idx") == 1, 0.5).otherwise(0.0)
     near = F.lit(0.0) if similarity is None else similarity

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import sanitize
+from veridoc.functions.text import concise, sanitize
 from veridoc.operators.answering import also_answered, pick_details, pick_summary, priority_window, score_sentences
 
 MIN_DENSE, RELATED_COVERAGE, TRACED = 0.83, 0.75, 20
@@ -40,16 +40,17 @@ def generate_extractive(questions: DataFrame, evidence: DataFrame, query: str =
     sentences = score_sentences(window, similarity=F.col("dense") if similarity is None else similarity)
     top = pick_summary(sentences, query)
     more = pick_details(sentences, top, query)
-    rows = top.select(query, F.lit(0).alias("k"), F.lit("summary").alias("role"), F.col("sentence").alias("text"), "ref").unionByName(
-        more.select(query, F.col("ordinal").alias("k"), F.lit("detail").alias("role"), F.col("sentence").alias("text"), "ref")
+    shown = concise("sentence", F.col("terms"))
+    rows = top.select(query, F.lit(0).alias("k"), F.lit("summary").alias("role"), shown.alias("text"), "ref").unionByName(
+        more.select(query, F.col("ordinal").alias("k"), F.lit("detail").alias("role"), shown.alias("text"), "ref")
     )
     claims = _listed(rows, query, "k", F.struct("role", "text", "ref"), "claims")
     refs = answering_refs(evidence.withColumn("n_terms", F.size("terms")), query, least)
     out = questions.join(claims, query, "left").join(refs, query, "left")
     arabic = F.col("language").startswith("ar")
     note = F.when(~arabic, "cross-lingual match cannot be verified").when(F.col("claims").isNull(), "no sentence addresses the key terms")
-    shown = arabic & F.col("claims").isNotNull()
-    return out.select(query, (~shown).alias("insufficient"), note.alias("note"), F.when(shown, F.col("claims")).alias("claims"), F.when(shown, F.col("refs")).alias("refs"))
+    told = arabic & F.col("claims").isNotNull()
+    return out.select(query, (~told).alias("insufficient"), note.alias("note"), F.when(told, F.col("claims")).alias("claims"), F.when(told, F.col("refs")).alias("refs"))
 
 
 def needs_priority_rerun(evidence: DataFrame, answering: DataFrame, claims: DataFrame, conflicts: DataFrame, query: str = "question_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from veridoc.functions.text import normalize, split_sentences, tokens
+from veridoc.functions.text import locate_verbatim, normalize, split_sentences, tokens
 from veridoc.operators.verification import is_verbatim
 
 # Fixed values.
@@ -23,6 +23,7 @@ INTRODUCTION = r'^([^:«"\n]{0,90}?[:：]\s*)'
 CLOSING = r"\s*(?:اهـ|ا\.هـ|انتهى(?:\s+كلامه)?)[.\s]*$"
 QUOTES = "«»\"“”'"
 MIN_TOKENS, WINDOW = 4, 6
+OWN_FIRST, DOCUMENTS = 4, 8
 
 
 def attributed_source(messages: DataFrame, names: DataFrame, query: str = "message_id", text: str = "message") -> DataFrame:
@@ -91,3 +92,28 @@ def decide(matches: DataFrame, query: str = "message_id") -> DataFrame:
     chosen = F.when(a.isNull() & ~sure(b), F.lit(None)).when(a.isNull() | (~a["_v"].isin("verbatim", "meaning", "contradicted") & sure(b)), b).otherwise(a)
     out = matches.select(query).distinct().join(per, query, "left")
     return out.select(query, F.coalesce(final, F.lit("not_found")).alias("verdict"), chosen["passage"].alias("passage"), F.round(chosen["coverage"], 2).alias("coverage"))
+
+
+def candidate_documents(ranked: DataFrame, own: DataFrame, query: str = "message_id", document: str = "doc_id") -> DataFrame:
+    """(query, document, rank) of the first DOCUMENTS distinct documents: the named source's OWN_FIRST best units before all others.
+
+    ranked, own: (query, document, rank), units found everywhere and in the named source alone.
+    """
+    lead = own.filter(F.col("rank") <= OWN_FIRST).select(query, document, F.lit(0).alias("turn"), "rank")
+    both = lead.unionByName(ranked.select(query, document, F.lit(1).alias("turn"), "rank"))
+    first = both.groupBy(query, document).agg(F.min(F.struct("turn", "rank")).alias("at"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy("at", document))
+    return first.withColumn("place", place).filter(F.col("place") <= DOCUMENTS).select(query, document, F.col("place").alias("rank"))
+
+
+def attribution_report(messages: DataFrame, matches: DataFrame, query: str = "message_id") -> DataFrame:
+    """Verdict, passage, the passage's own wording of a verbatim claim, and rounded coverage, for every message (query, claim, named).
+
+    Claims of fewer than MIN_TOKENS words are not judged: verdict too_short.  matches: (query, source_slug, passage, coverage, rank[, label]).
+    """
+    asked = messages.select(query, "claim", "named", (F.size(tokens("claim")) < MIN_TOKENS).alias("_short"))
+    judged = decide(matches.join(asked.filter(~F.col("_short")).drop("_short"), query), query)
+    out = asked.join(judged, query, "left")
+    verdict = F.when(F.col("_short"), "too_short").otherwise(F.coalesce("verdict", F.lit("not_found")))
+    quote = F.when(F.col("verdict") == "verbatim", locate_verbatim("passage", "claim"))
+    return out.select(query, "claim", "named", verdict.alias("verdict"), "passage", quote.alias("quote"), "coverage")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,3 +64,34 @@ def ingest_stream(snapshots: DataFrame, path: str, keys: list[str], columns: lis
         merged.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+
+
+def split_late(events: DataFrame, delay: str, batch: str = "batch", ts: str = "ts") -> DataFrame:
+    """Rows with ``late``: older than the newest time of all earlier batches by more than ``delay``.
+
+    A table of one row per batch carries the newest time forward; the rows themselves only meet it in a join.
+    """
+    newest = events.groupBy(batch).agg(F.max(ts).alias("_newest"))
+    before = F.max("_newest").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1))
+    marks = newest.select(batch, (before - F.expr(f"INTERVAL {delay}")).alias("_mark"))
+    joined = events.join(marks, batch, "left")
+    return joined.withColumn("late", F.coalesce(F.col(ts) < F.col("_mark"), F.lit(False))).drop("_mark")
+
+
+def late_rows_aside(events: DataFrame, path: str, delay: str, checkpoint: str, ts: str = "ts"):
+    """Write a stream's rows below ``path``: on time to ``late=false``, those ``delay`` behind earlier batches to ``late=true``.
+
+    Each batch overwrites its own folder, so a rerun batch repeats itself; it reads the newest time so far from the one-row table
+    of the batch before.  Returns the started query.
+    """
+
+    def put(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        mark = spark.read.parquet(f"{path}/marks/b={number - 1}").first()["newest"] if number else None
+        limit = F.lit(mark) - F.expr(f"INTERVAL {delay}") if mark is not None else F.lit(None).cast("timestamp")
+        flagged = rows.withColumn("late", F.coalesce(F.col(ts) < limit, F.lit(False)))
+        flagged.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/b={number}")
+        newest = rows.agg(F.greatest(F.max(F.col(ts).cast("timestamp")), F.lit(mark).cast("timestamp")).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/marks/b={number}")
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
