@@ -100,7 +100,7 @@ def A9_attribution_report(spark, d):
 _CONFIG_ROWS = ", ".join(f"('{n}', {p}, {str(i).lower()}, {str(c).lower()}, '{by}')" for n, p, i, c, by in retrieval.CONFIGS)
 
 
-@query(f"""WITH e AS (SELECT query_id AS question_id, vec_id AS unit_id, rank AS dense_rank, round(score, 6) AS dense_score, CASE WHEN vec_id % 3 > 0 THEN 1 + vec_id % 40 END AS sparse_rank,
+@query(f"""WITH e AS (SELECT query_id AS question_id, vec_id AS unit_id, rank AS dense_rank, round(score, 9) AS dense_score, CASE WHEN vec_id % 3 > 0 THEN 1 + vec_id % 40 END AS sparse_rank,
       CASE WHEN vec_id % 4 > 0 THEN 1 + vec_id % 30 END AS sparse_idf_rank, (vec_id % 5) / 4.0 AS coverage, (vec_id % 9) / 8.0 AS coverage_idf, (vec_id % 2) / 1.0 AS title_coverage FROM ({_TOP}) t WHERE rank <= 64),
     c(config, pool, by_idf, cover_idf, kind) AS (VALUES {_CONFIG_ROWS}),
     x AS (SELECT *, CASE WHEN dense_rank <= pool THEN dense_rank END AS dr, CASE WHEN (CASE WHEN by_idf THEN sparse_idf_rank ELSE sparse_rank END) <= pool THEN CASE WHEN by_idf THEN sparse_idf_rank ELSE sparse_rank END END AS sr FROM e, c),
@@ -110,7 +110,7 @@ _CONFIG_ROWS = ", ".join(f"('{n}', {p}, {str(i).lower()}, {str(c).lower()}, '{by
 def R23_rank_configs(spark, d):
     i = F.col("vec_id")
     found = _nearest(spark, d, 64).select(
-        F.col("query_id").alias("question_id"), i.alias("unit_id"), F.col("rank").alias("dense_rank"), F.round("score", 6).alias("dense_score"),
+        F.col("query_id").alias("question_id"), i.alias("unit_id"), F.col("rank").alias("dense_rank"), F.round("score", 9).alias("dense_score"),
         F.when(i % 3 > 0, 1 + i % 40).alias("sparse_rank"), F.when(i % 4 > 0, 1 + i % 30).alias("sparse_idf_rank"),
         (i % 5 / 4.0).alias("coverage"), (i % 9 / 8.0).alias("coverage_idf"), (i % 2 / 1.0).alias("title_coverage"),
     )
