@@ -237,10 +237,11 @@ class Lattices:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
-        if not len(ids):
-            return ""
-        text = self.bytes.take(pa.array(ids)).buffers()[2].to_pybytes().decode("utf-8", "surrogatepass")
-        return text.replace(MARK, " ").removeprefix(" ")
+        return self.spelled(ids).decode("utf-8", "surrogatepass").replace(MARK, " ").removeprefix(" ")
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The normalized text of ids, in UTF-8."""
+        return self.bytes.take(pa.array(ids)).buffers()[2].to_pybytes() if len(ids) else b""
 
 
 def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +281,7 @@ class _Search:
     def __init__(self, key: int, words: np.ndarray):
         self.key, self.words = key, words
         self.paths: list = []  # (log p, value, word of decision, node, edge)
-        self.groups: list = []  # per path: values of the groups at its decisions; None where spent
+        self.groups: list = []  # per path: log waiting times of the groups at its decisions, the least first; infinite where spent
         self.extra: list = []  # (value, path, decision, edges already taken)
 
     def add(self, lat: Lattices, word: np.ndarray, node: np.ndarray, edge: np.ndarray, value: float, fresh: int) -> None:
@@ -288,16 +289,18 @@ class _Search:
         q = lat.log_q[edge]
         before = np.cumsum(q) - q
         k = len(self.paths)
-        groups = np.full(len(q), -np.inf)
+        groups = np.full(len(q), np.inf)
         if fresh < len(q):
             keys = mix(np.uint64(self.key) + np.uint64(k << 40) + np.arange(fresh, len(q), dtype=np.uint64) + np.uint64(1 << 60))
-            groups[fresh:] = truncated(before[fresh:] + log_rest(q[fresh:]), value, uniform(keys, 1))
+            groups[fresh:] = np.log(-np.log(uniform(keys, 1))) - before[fresh:] - log_rest(q[fresh:])
         self.paths.append((float(q.sum()), value, word, node, edge))
         self.groups.append(groups)
 
     def best(self) -> tuple[float, int, int, list[int]] | None:
         """Value, path, decision and taken edges of the best group."""
-        top = max(((float(g.max()), p, int(g.argmax())) for p, g in enumerate(self.groups) if len(g)), default=(-np.inf, 0, 0))
+        first = [(p, int(g.argmin())) for p, g in enumerate(self.groups) if len(g)]
+        # A group's value falls with its waiting time, so only the least one of a path need be turned into a value.
+        top = max(((-float(np.logaddexp(-self.paths[p][1], self.groups[p][d])), p, d) for p, d in first), default=(-np.inf, 0, 0))
         more = max(self.extra, key=lambda x: x[0], default=None)
         if more is not None and more[0] > top[0]:
             return more
@@ -312,7 +315,7 @@ class _Search:
         if any(got is x for x in self.extra):
             self.extra = [x for x in self.extra if x is not got]
         else:
-            self.groups[p][d] = -np.inf
+            self.groups[p][d] = np.inf
         _, _, word, node, edge = self.paths[p]
         left = np.array([e for e in range(lat.first[node[d]], lat.first[node[d] + 1]) if e not in taken])
         q = lat.log_q[left]
@@ -385,11 +388,11 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, id_col:
                 texts = [normalized(t) for t in batch.column(2)[a:b].to_pylist()]
                 rows = []
                 for doc, text, found in zip(ids[a:b], texts, sample_texts(texts, keys[a:b], lat, k), strict=True):
-                    plain = text.replace(MARK, " ").removeprefix(" ")
+                    plain = text.encode("utf-8", "surrogatepass")
                     for n, (log_p, value, inclusion, edges) in enumerate(found, 1):
                         got = lat.spell(edges) if len(edges) else np.zeros(0, np.uint32)
                         raw = got.astype("<u4").tobytes()
-                        rows.append((doc, n, log_p, value, inclusion, len(got), zlib.crc32(raw), raw, lat.decode(got) == plain))
+                        rows.append((doc, n, log_p, value, inclusion, len(got), zlib.crc32(raw), raw, lat.spelled(got) == plain))
                 kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
                 names = [c.split()[0] for c in RESULT.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
