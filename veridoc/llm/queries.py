@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, binary_ids, chat, exact_dedup, html_extract, packing, quality, spm_sampling, toxicity, weighted_minhash
+from . import (
+    alignment, backoff_lm, binary_ids, chat, exact_dedup, html_extract, lexical_search, line_dedup, packing, quality, spm_sampling, toxicity, weighted_minhash,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +102,25 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten of them hold."""
+    found = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' ids of all documents, linked by the places where both end."""
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_and_score(table(spark, sf_dir, "documents"), *files)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -141,14 +162,44 @@ s AS (SELECT t.doc_id, count(*) AS n, sum(CASE
 SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(coalesce(s.total / s.n, 0.0), 6) AS mean_log_score FROM documents d LEFT JOIN s USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+r AS (SELECT row_number() OVER () AS row, doc_id, lines FROM l),
+e AS (SELECT row, doc_id, i, lines[i] AS line,
+    translate(trim(lines[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM r, unnest(range(1, len(lines) + 1)) AS p(i)),
+f AS (SELECT key FROM e WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10)
+SELECT any_value(e.doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM e LEFT JOIN f ON f.key = e.key GROUP BY row
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents),
+q AS (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+qt AS (SELECT item, any_value(item_id) AS item_id, term, count(*) AS times FROM q GROUP BY item, term),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(l)) AS BIGINT) AS n_terms FROM d WHERE len(l) > 0),
+p AS (SELECT row, any_value(doc_id) AS doc_id, any_value(len(l)) AS n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, l, unnest(l) AS term FROM d) GROUP BY row, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, s WHERE term IN (SELECT term FROM qt) GROUP BY term, n_docs),
+scored AS (SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM p JOIN w USING (term) JOIN qt USING (term), s GROUP BY item, row)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS FIRST) <= 10
+"""
+
 
 def queries() -> dict:
     found = (
         op1_packing, op2_chat, op3_spm_sampling, op4_quality, op5_toxicity, op6_lm_scoring, op7_binary_ids, op8_near_dedup, op9_exact_dedup,
-        op10_html_extract,
+        op10_html_extract, op11_line_dedup, op12_alignment, op13_lexical_search,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op6_lm_scoring": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_chat": OP2_SQL, "op6_lm_scoring": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_line_dedup": OP11_SQL, "op13_lexical_search": OP13_SQL}
