@@ -11,7 +11,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from . import fixed_values as V
 
-PUNCTUATION = r"[^\p{L}\p{N}_\s]"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
+ARABIC_BLOCKS = "[\u0600-\u06ff\ufdf0-\ufdff]"
 LONG_NEEDLE = 500
 
 
@@ -52,9 +53,11 @@ def normalize(c: str | Column, compose: bool = False) -> Column:
 
     ``compose`` adds compatibility composition, which leaves the JVM; skip it where the corpus was composed at ingest.
     """
-    text = expand_ligatures(F.coalesce(_col(c), F.lit("")))
-    text = fold_digits(fold_letters(strip_diacritics(nfkc(text) if compose else text)))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), PUNCTUATION, " "), r"(?U)\s+", " "))
+    text = F.coalesce(_col(c), F.lit(""))
+    text = nfkc(expand_ligatures(text)) if compose else text
+    # Letters to fold, marks and ligatures are all of these two blocks, which most texts do not touch.
+    folded = bind(text, lambda t: F.when(t.rlike(ARABIC_BLOCKS), fold_digits(fold_letters(strip_diacritics(expand_ligatures(t))))).otherwise(t))
+    return F.trim(F.regexp_replace(F.lower(folded), NOT_WORD, " "))
 
 
 def tokens(c: str | Column, compose: bool = False) -> Column:
@@ -79,13 +82,28 @@ def light_stem(token: Column) -> Column:
     return F.when(token.rlike("[ء-ي]"), t).otherwise(english_stem(token))
 
 
+def stem_words(text: Column) -> Column:
+    """``light_stem`` of every word of a text whose words stand between single blanks: each rule runs once over the text."""
+    start, end = "(?<![^ ])", "(?![^ ])"
+
+    def arabic(t: Column) -> Column:
+        t = F.regexp_replace(t, f"{start}([^ ء-ي]{{3,}}?)(?:ing|ed|es|s){end}", "$1")
+        t = F.regexp_replace(t, f"{start}و(?=[^ ]{{3}})", "")
+        t = F.regexp_replace(t, f"{start}(?:{'|'.join(V.PREFIXES)})(?=[^ ]{{2}})", "")
+        return reduce(lambda e, s: F.regexp_replace(e, f"(?<=[^ ]{{2}}){s}{end}", ""), V.SUFFIXES, t)
+
+    other = lambda t: F.regexp_replace(t, f"(?=[ies])(?<=[^ ]{{3}})(?:ing|ed|es|s){end}", "")
+    return bind(text, lambda t: F.when(t.rlike("[ء-ي]"), arabic(t)).otherwise(other(t)))
+
+
 def stems(c: str | Column, drop_noise: bool = False, compose: bool = False) -> Column:
     """Stems of the content tokens, in order, with repeats."""
     def keep(t: Column) -> Column:
         fine = (F.length(t) >= 2) & ~is_stopword(t)
         return fine & ~t.isin(*V.QUERY_NOISE) if drop_noise else fine
 
-    return F.filter(F.transform(F.filter(tokens(c, compose), keep), light_stem), lambda t: F.length(t) >= 2)
+    words = F.array_join(F.filter(F.split(normalize(c, compose), " "), keep), " ")
+    return F.filter(F.split(stem_words(words), " "), lambda t: F.length(t) >= 2)
 
 
 def content_terms(c: str | Column, drop_noise: bool = False, compose: bool = False) -> Column:
