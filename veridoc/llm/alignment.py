@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' ids by the byte offsets at which tokens of both end.
 
 Encoder A is a byte-level BPE, encoder B a piece BPE whose pieces never join words; both read a space and the text.  Such a
-text is cut before single spaces behind a visible character, where tokens of both always end, and each distinct chunk is
-encoded and aligned once.  In a chunk the shorter list of token ends drives an exponential and then binary search into the
-longer one (:func:`gallop`); the common ends slice groups, and the differences of their ranks are the overlapping ranges.
+text is cut before spaces behind a visible character and before marks behind a letter, where tokens of both always end, and
+each distinct chunk is encoded and aligned once.  In a chunk the shorter list of token ends drives an exponential and then
+binary search into the longer one (:func:`gallop`); the common ends slice groups, and the differences of their ranks are the
+overlapping ranges.
 
 A document is stored as its distinct linked id pairs with the number of links of each.  How many documents hold a pair is
 summed over these rows; scores come from one more pass over them, with the counts of a bounded range of A ids (at most
@@ -18,11 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import os
-from bisect import bisect_left
-from collections import Counter
+import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import accumulate, count, repeat
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ from .common import write_table
 from .tokens import _spans, blocks
 
 MARK = "▁"  # stands for a space in B's pieces
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+LATIN = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 CACHE_CHUNKS = 300_000
 ROUND_PAIRS = 4_000_000  # pairs whose counts one broadcast holds: at most 52 MB
 COUNT_ROWS = 4_000_000
@@ -41,25 +43,49 @@ BLOCK_BYTES = 2_000_000
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, links binary"
 
 
-def gallop(short: list[int], long: list[int]) -> list[tuple[int, int]]:
-    """(place in ``short``, place in ``long``) of every value that both ascending lists hold."""
-    found, low, n = [], 0, len(long)
-    for i, x in enumerate(short):
-        step = 1
-        while low + step < n and long[low + step] < x:
-            step *= 2
-        low = bisect_left(long, x, low + step // 2 if step > 1 else low, min(low + step + 1, n))
-        if low == n:
-            break
-        if long[low] == x:
-            found.append((i, low))
-            low += 1
-    return found
-
-
-def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """(rank in a, rank in b) of the common values, by galloping through the longer list."""
-    return gallop(a, b) if len(a) <= len(b) else [(i, j) for j, i in gallop(b, a)]
+def gallop(ends: np.ndarray, first: np.ndarray, stop: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each value its place in the ascending run ``ends[first:stop]``, or -1: steps double until the value is passed, then halve.
+
+    All values take their steps together.
+    """
+    low, step = first.copy(), np.ones(len(first), np.int64)
+    going = np.arange(len(first))
+    while len(going):
+        at = low[going] + step[going]
+        going = going[at < stop[going]]
+        going = going[ends[low[going] + step[going]] < value[going]]
+        step[going] *= 2
+    high = np.minimum(low + step, stop - 1)
+    low = np.where(step > 1, low + step // 2, low)
+    going = np.flatnonzero(low < high)
+    while len(going):
+        middle = (low[going] + high[going]) // 2
+        less = ends[middle] < value[going]
+        low[going] = np.where(less, middle + 1, low[going])
+        high[going] = np.where(less, high[going], middle)
+        going = going[low[going] < high[going]]
+    return np.where((first < stop) & (ends[np.minimum(low, len(ends) - 1)] == value), low, -1)
+
+
+def common_ends(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in a, places in b) of the values common to both lists of each text; ``n_a`` and ``n_b`` are the lists' lengths.
+
+    In every text the shorter list drives the search through the longer one.
+    """
+    start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    found = []
+    for short, n_short, from_short, long, n_long, from_long, mine in (
+        (a, n_a, start_a, b, n_b, start_b, n_a <= n_b), (b, n_b, start_b, a, n_a, start_a, n_a > n_b),
+    ):
+        place = _spans(from_short[mine], n_short[mine])
+        own = np.repeat(np.flatnonzero(mine), n_short[mine])
+        other = gallop(long, from_long[own], from_long[own] + n_long[own], short[place]) if len(place) else place
+        hit = other >= 0
+        found.append((place[hit], other[hit]))
+    (in_a, in_b), (back_b, back_a) = found
+    in_a, in_b = np.concatenate([in_a, back_a]), np.concatenate([in_b, back_b])
+    order = np.argsort(in_a)
+    return in_a[order], in_b[order]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,7 +96,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Aligner:
-    """Aligned chunks, kept by number; when more than ``limit`` are known, all are forgotten before the next block."""
+    """Aligned chunks, kept by number; when more than ``limit`` are known, those met in one block only are forgotten."""
 
     def __init__(self, byte_level: str, pieces: str, limit: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,62 +106,110 @@ class Aligner:
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=pieces)
-        of = byte_alphabet()
-        self.a_bytes = {i: bytes(of.get(c, 0) for c in piece) for piece, i in self.a.get_vocab().items()}
+        of, vocab = byte_alphabet(), self.a.get_vocab()
+        spelled = [b""] * (max(vocab.values()) + 1)
+        for piece, i in vocab.items():
+            spelled[i] = bytes(of.get(c, 0) for c in piece)
         self.n_b = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(self.n_b)]
-        if any(MARK in p.lstrip(MARK) for p in names):
+        words = [p for i, p in enumerate(names) if not self.b.is_byte(i)]
+        if any(MARK in p.lstrip(MARK) for p in words):
             raise ValueError("pieces of the second vocabulary join words")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
+        #: Marks that no piece has behind a letter, and a letter that is a piece: in front of them a text is cut as well.
+        self.marks = np.zeros(256, bool)
+        self.marks[[ord(m) for m in ".,;:!?" if not any(re.search(f"{LETTER}[{m}]", p) for p in words)]] = True
+        self.lead = "x"
+        self.marks &= self.b.piece_to_id(MARK + self.lead) != self.b.unk_id()
+        self.a_bytes = pa.array(spelled, pa.binary())
+        self.b_bytes = pa.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)], pa.binary())
+        self.a_names, self.b_names = (pa.array(map(str, range(n)), pa.string()) for n in (len(spelled), self.n_b))
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.met = np.zeros(0, np.int64)  # blocks that held the chunk
         self.sizes = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, 1 where the tokens do not spell the chunk
-        self.shown: list[str] = []
-        self.starts = np.zeros(0, np.int64)
+        self.shown = pa.array([], pa.string())
         self.counts = np.zeros(0, np.int64)
         self.pairs = np.zeros(0, np.int64)
         self.links = np.zeros(0, np.int64)
 
-    def _align(self, chunk: str, a: list[int], b: list[int]) -> tuple[tuple[int, ...], str, Counter]:
-        """Sizes, printed groups and links by pair of one chunk."""
-        spelled = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        raw = chunk.encode()
-        if b"".join(spelled[0]) != raw or b"".join(spelled[1]) != raw:
-            return (0, 0, 0, 0, 1), "", Counter()
-        ends = [list(accumulate(map(len, s))) for s in spelled]
-        links: Counter = Counter()
-        groups, i, j, n_links = [], 0, 0, 0
-        for p, q in common_ends(*ends):
-            left, right = a[i : p + 1], b[j : q + 1]
-            i, j = p + 1, q + 1
-            groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            n_links += len(left) * len(right)
-            if len(left) == len(right) == 1:
-                links[left[0] * self.n_b + right[0]] += 1
-                continue
-            of_b = Counter(right)
-            for x, m in Counter(left).items():
-                for y, n in of_b.items():
-                    links[x * self.n_b + y] += m * n
-        return (len(a), len(b), len(groups), n_links, 0), ";".join(groups), links
-
-    def learn(self, chunks: list[str]) -> None:
+    def shrink(self) -> None:
+        """Drop the chunks met in one block, or all where that leaves too many."""
+        often = self.met > 1
+        if often.sum() > self.limit // 2:
+            return self.clear()
+        names = [c for c, k in zip(self.known, often.tolist(), strict=True) if k]  # a dict keeps the order of its numbers
+        at = _spans((np.cumsum(self.counts) - self.counts)[often], self.counts[often])
+        self.known = dict(zip(names, count()))
+        self.pairs, self.links, self.counts = self.pairs[at], self.links[at], self.counts[often]
+        self.sizes, self.shown, self.met = self.sizes[often], self.shown.filter(pa.array(often)), np.ones(len(names), np.int64)
+
+    def _encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         # B puts a space in front of what it reads, but not of nothing: a space at the end of a text is a piece of its own.
-        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        b = [i if c != " " else [self.b.piece_to_id(MARK)] for c, i in zip(chunks, b, strict=True)]
-        found = list(map(self._align, chunks, a, b))
-        counts = np.array([len(f[2]) for f in found], np.int64)
+        # A chunk that begins with a mark is read behind a letter.
+        b = self.b.encode([c[1:] if c[0] == " " else self.lead + c for c in chunks], num_threads=1)
+        lone = [self.b.piece_to_id(MARK)]
+        return a, [lone if c == " " else i if c[0] == " " else i[1:] for c, i in zip(chunks, b, strict=True)]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode and align new chunks, all of them together."""
+        encoded = self._encode(chunks)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in encoded)
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in zip(encoded, (n_a, n_b), strict=True))
+        raw = pa.array(chunks, pa.string()).cast(pa.binary())
+        bad, width = np.zeros(len(chunks), bool), []
+        for ids, n, spelled in ((a, n_a, self.a_bytes), (b, n_b, self.b_bytes)):
+            parts = spelled.take(pa.array(ids))
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), parts), b"")
+            bad |= ~pc.equal(whole, raw).to_numpy(zero_copy_only=False).astype(bool)
+            width.append(pc.binary_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+        for k, (ids, n) in enumerate(((a, n_a), (b, n_b))):  # chunks that are not spelled have no tokens
+            keep = ~np.repeat(bad, n)
+            width[k] = width[k][keep]
+            if k:
+                b, n_b = ids[keep], np.where(bad, 0, n)
+            else:
+                a, n_a = ids[keep], np.where(bad, 0, n)
+        in_a, in_b = common_ends(np.cumsum(width[0]), n_a, np.cumsum(width[1]), n_b)
+        # A group is what lies between two common ends; every chunk's end is one, so no group spans two chunks.
+        of_a, of_b = np.diff(in_a, prepend=-1), np.diff(in_b, prepend=-1)
+        chunk = np.repeat(np.arange(len(chunks)), n_a)[in_a]
+        groups = np.bincount(chunk, minlength=len(chunks))
+        n_links = np.bincount(chunk, of_a * of_b, len(chunks)).astype(np.int64)
+        text = [
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), names.take(pa.array(ids))), ",")
+            for ids, n, names in ((a, of_a, self.a_names), (b, of_b, self.b_names))
+        ]
+        shown = pc.binary_join_element_wise(*text, "|")
+        shown = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(groups)).astype(np.int32)), shown), ";")
+        owner, pair, links = self._pairs(a, b, of_a, of_b, chunk)
+        counts = np.bincount(owner, minlength=len(chunks))
         self.known.update(zip(chunks, count(len(self.known))))
-        self.starts = np.append(self.starts, len(self.pairs) + np.cumsum(counts) - counts)
+        self.met = np.append(self.met, np.zeros(len(chunks), np.int64))
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, groups, n_links, bad], 1)])
+        self.shown = pa.concat_arrays([self.shown, shown])
         self.counts = np.append(self.counts, counts)
-        self.sizes = np.concatenate([self.sizes, np.array([f[0] for f in found], np.int64)])
-        self.shown += [f[1] for f in found]
-        self.pairs = np.append(self.pairs, np.fromiter((k for f in found for k in f[2]), np.int64, counts.sum()))
-        self.links = np.append(self.links, np.fromiter((v for f in found for v in f[2].values()), np.int64, counts.sum()))
+        self.pairs, self.links = np.append(self.pairs, pair), np.append(self.links, links)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(chunk, pair, links) of the distinct pairs of each chunk: every distinct A id of a group with every distinct B id."""
+        sides = []
+        for ids, n in ((a, of_a), (b, of_b)):
+            key, times = np.unique(np.repeat(np.arange(len(n)), n) << 32 | ids, return_counts=True)
+            sides.append((key & 0xFFFFFFFF, times, np.bincount(key >> 32, minlength=len(n))))
+        (x, x_times, n_x), (y, y_times, n_y) = sides
+        each = np.repeat(n_y, n_x)  # partners of each distinct A id
+        left = np.repeat(np.arange(len(x)), each)
+        right = _spans(np.repeat(np.cumsum(n_y) - n_y, n_x), each)
+        key = np.repeat(chunk, n_x * n_y) << 32 | x[left] * self.n_b + y[right]
+        order = np.argsort(key, kind="stable")
+        key, links = key[order], (x_times[left] * y_times[right])[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        key, links = key[new], np.add.reduceat(links, new) if len(new) else links
+        return key >> 32, key & 0xFFFFFFFF, links
 
     def chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of each chunk, chunks of each text); every text begins with its space."""
@@ -146,7 +220,8 @@ class Aligner:
         visible = (one > 0x20) & (one != 0x7F)
         # Behind characters that may be white space there is no cut: those of two bytes with C2, of three with E1, E2 and E3.
         visible &= ~((one >= 0x80) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3))))
-        cut = (data == 0x20) & visible
+        letter = LATIN[one] | (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)
+        cut = (data == 0x20) & visible | self.marks[data] & letter
         cut[: offsets[0]] = False
         cut[offsets[:-1]] = True
         at = np.flatnonzero(cut)
@@ -158,12 +233,13 @@ class Aligner:
             base = len(self.known)
             self.learn([names[i] for i in np.flatnonzero(numbers < 0)])
             numbers[numbers < 0] = base + np.arange((numbers < 0).sum())
+        self.met[numbers] += 1
         return numbers[coded.indices.to_numpy()], np.diff(np.searchsorted(at, offsets))
 
     def align(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(sizes of each text, its printed groups, distinct pairs of each text, all pairs in order of text and pair, links of each)."""
         if len(self.known) > self.limit:
-            self.clear()
+            self.shrink()
         texts = pc.fill_null(texts, "").cast(pa.string())
         spaced = pc.binary_join_element_wise("", texts, " ")
         number, per = self.chunks(spaced)
@@ -177,13 +253,13 @@ class Aligner:
         mine = good[doc]
         doc, number = doc[mine], number[mine]
         lists = pa.ListArray.from_arrays(
-            pa.array(np.append(0, np.cumsum(np.where(good, per, 0))).astype(np.int32)), pa.array(self.shown, pa.string()).take(pa.array(number))
+            pa.array(np.append(0, np.cumsum(np.where(good, per, 0))).astype(np.int32)), self.shown.take(pa.array(number))
         )
         shown = pc.binary_join(lists, ";").to_pylist()
         seen, times = np.unique(doc * len(self.counts) + number, return_counts=True)
         doc, number = seen // max(len(self.counts), 1), seen % max(len(self.counts), 1)
         n = self.counts[number]
-        at = _spans(self.starts[number], n)
+        at = _spans((np.cumsum(self.counts) - self.counts)[number], n)
         key = np.repeat(doc, n) << 32 | self.pairs[at]
         value = np.repeat(times, n) * self.links[at]
         order = np.argsort(key, kind="stable")
