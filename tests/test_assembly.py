@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import text
 from veridoc.operators.chunking import chunk_text
-from veridoc.operators import assembly, calibration, dialogue, governance, ingest, models, verification
+from veridoc.operators import assembly, calibration, dialogue, evaluation, governance, ingest, models, usage, verification
 
 PHRASES = {"hello": "hello", "hello there": "there", "thank you": "thanks", "good bye": "bye"}
 
@@ -146,3 +146,44 @@ def test_index_replaces_units_of_its_documents(spark):
 def test_json_records_need_their_main_field(spark):
     df = spark.createDataFrame([(1, '{"id": 5, "t": "x"}'), (2, '{"t": "y"}'), (3, "no json"), (4, None)], "n int, json string")
     assert list(map(tuple, ingest.parse_api_json(df, "id int, t string", "id").collect())) == [(1, 5, "x")]
+
+
+def test_scans_split_a_key_that_holds_everything(spark):
+    """Running totals, places and percentiles equal plain ones, with one key holding all rows, ties, nulls and empty input."""
+    import random
+
+    from veridoc.operators import scan
+
+    rng = random.Random(4)
+    rows = [("a" if i % 10 else None, rng.randrange(40), i, rng.choice([None, 1, 2, 3])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, v long").repartition(5)
+    got = {r["i"]: (r["s"], r["m"]) for r in scan.running(df, ["k"], ["t", "i"], {"s": ("v", "sum"), "m": ("v", "max")}, 8).collect()}
+    for k in ("a", None):
+        total, most = 0, None
+        for _, _, i, v in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            assert got[i] == (total, most)
+            total, most = total + (v or 0), v if most is None else max(most, v or 0)
+    placed = scan.numbered(df, ["t", "i"], "place", parts=8).collect()
+    assert [r["i"] for r in sorted(placed, key=lambda r: r["place"])] == [i for _, _, i, _ in sorted(rows, key=lambda r: (r[1], r[2]))]
+    parts = df.select(scan.part_of(df, ["t", "i"], 8).alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 2 * 3000 / 8
+    found = {r["k"]: r for r in scan.values_at(df, "k", "t", {"mid": (F.col("n") + 1) / 2}, 8).collect()}
+    for k in ("a", None):
+        ts = sorted(t for x, t, _, _ in rows if x == k)
+        assert found[k]["mid"] == ts[-(-(len(ts) + 1) // 2) - 1] and (found[k]["n"], found[k]["min"], found[k]["max"]) == (len(ts), ts[0], ts[-1])
+    assert scan.numbered(df.filter("false"), ["t"], "place").count() == 0
+    medians = {r["k"]: r["median"] for r in evaluation.interpolated_median(df, "k", "v").collect()}
+    import statistics
+
+    assert medians["a"] == statistics.median(v for k, _, _, v in rows if k == "a" and v is not None)
+
+
+def test_budget_stands_still_after_a_refusal(spark):
+    rows = [(i, 1, i % 4 != 3, 0.4 if i % 2 else None, i // 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "event_id long, t long, api_call boolean, cost double, q long").withColumn("ts", F.timestamp_seconds(F.col("t") + F.col("event_id")))
+    got = [tuple(r) for r in usage.budget_gate(df, 5).orderBy("event_id").collect()]
+    assert [g[1] for g in got] == [0, 1, 2, 3, 3, 4, 5, 5, 5, 5, 5, 5] and [g[3] for g in got] == [False] * 6 + [True, False, True, True, True, False]
+    by_cost = usage.budget_gate(df, 0, 0.8).orderBy("event_id").collect()
+    assert [r["spent"] for r in by_cost] == [0, 0, 0.4, 0.4, 0.4, 0.4, 0.8, 0.8, 0.8, 0.8, 0.8, 0.8] and [r["refused"] for r in by_cost][6] and not any(r["refused"] for r in by_cost[:6])
+    own = usage.budget_gate(df, 0, 0.8, pending="q").orderBy("event_id").collect()
+    assert [r["spent"] for r in own][:7] == [0, 0, 0.4, 0.4, 0.4, 0.4, 0.8]

@@ -4,6 +4,7 @@ import datetime
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
@@ -17,13 +18,13 @@ from veridoc.streaming import logs, stateful
 def test_map_leads_back_to_the_source(spark, sf):
     texts = ["  Él — «وَاحِد» آخَر ٣!", "", None, "a\n\tb", "!!", "قال ﷺ خيرًا", "x" * 3]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    rows = df.select("i", "t", text.normalize("t").alias("n"), text.normalize_with_map("t").alias("m")).collect()
+    rows = df.select("i", "t", text.normalize("t", compose=True).alias("n"), text.normalize_with_map("t").alias("m")).collect()
     for r in rows:
         assert r["m"]["norm"] == r["n"] and len(r["m"]["origin"]) == len(r["n"])
         for c, at in zip(r["n"], r["m"]["origin"], strict=True):
             assert not c.isalnum() or not c.isascii() or r["t"][at].lower() == c or r["t"][at].isdigit()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert docs.filter(text.normalize_with_map("text")["norm"] != text.normalize("text")).isEmpty()
+    assert docs.filter(text.normalize_with_map("text")["norm"] != text.normalize("text", compose=True)).isEmpty()
 
 
 def test_quotable_sentences(spark):
@@ -136,3 +137,34 @@ def test_quotes_are_found_at_any_length(spark):
     got = {r["i"]: r["f"] for r in df.select("i", text.locate_verbatim("h", F.col("n")).alias("f")).collect()}
     long = " ".join(f"Word{i}, (said) نعَم" for i in range(7, 300))
     assert got == {0: "Word3, (said) نعَم", 1: long, 2: None, 3: words, 4: None, 5: None}
+
+
+def test_quotes_see_through_ligatures_and_composition_at_any_length(spark):
+    """A needle of 10, 500 or 5,000 characters is found through spelled-out ligatures, presentation forms and loose marks alike."""
+    said = "قال النبي ﷺ إنما الأعمال بالنيات ﻻ غير e\u0301te\u0301 "
+    hay = said * 120
+    spelled = "قال النبي صلى الله عليه وسلم انما الاعمال بالنيات لا غير été "
+    needles = [spelled[:10], (spelled * 12)[:500].strip(), (spelled * 100)[:5000].strip(), spelled.replace("غير", "خير")]
+    df = spark.createDataFrame([(i, hay, n) for i, n in enumerate(needles)], "i int, h string, n string")
+    got = {r["i"]: r["f"] for r in df.select("i", text.locate_verbatim("h", "n").alias("f")).collect()}
+    assert got[3] is None and all(got[i] and hay.startswith(got[i]) for i in range(3))
+    assert [len(needles[i]) >= n for i, n in enumerate((10, 495, 4990))] == [True] * 3 and "ﷺ" in got[1] and "ﻻ" in got[2]
+
+
+@pytest.mark.parametrize("pool", [(0x600, 0x700), (0xFB50, 0xFC50), (0x1100, 0x1200), (0xFF00, 0xFFEF), (32, 0x370), (0x900, 0xD80)])
+def test_origins_compose_as_whole_texts(pool):
+    import random
+    import unicodedata
+
+    from veridoc.functions import fixed_values, origins
+
+    rng = random.Random(pool[0])
+    for _ in range(900):
+        t = "".join(chr(rng.randrange(*pool)) if rng.random() < 0.8 else rng.choice(" ﷺ\u0301Σa") for _ in range(rng.randrange(30)))
+        whole = t
+        for a, b in fixed_values.LIGATURES.items():
+            whole = whole.replace(a, b)
+        whole = origins.MARKS.sub("", unicodedata.normalize("NFKC", whole)).translate(origins.FOLD).lower()
+        want = " ".join("".join(c if c == "_" or c.isalnum() else " " for c in whole).split())
+        norm, start, stop = origins.with_origins(t)
+        assert norm == want and list(start) == sorted(start) and len(norm) == len(start) == len(stop) and all(a < b for a, b in zip(start, stop, strict=True))

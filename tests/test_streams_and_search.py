@@ -44,5 +44,27 @@ def test_approximate_search_recall(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     rest = v.filter("vec_id % 25 <> 0")
-    exact, near = retrieval.knn_exact(q, rest, 5), ann.knn_ann(q, rest, 5, 64)
+    exact, near = retrieval.knn_exact(q, rest, 5), ann.knn_ann(q, rest, 5)
     assert evaluation.recall(near, exact, "query_id", "vec_id").collect()[0]["recall"] >= 0.9
+
+
+def test_inverted_file_bounds_are_exact_and_cells_are_few(spark):
+    """All cells visited, the result is the exact one, ties and zero vectors included; grouped vectors need few cells."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    middles = rng.standard_normal((25, 16)) * 4
+    rows = [(i, (middles[i % 25] + rng.standard_normal(16)).tolist()) for i in range(2000)] + [(2000, [0.0] * 16), (2001, None)]
+    rows += [(3000 + i, rows[i][1]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    q = v.filter("vec_id % 37 = 0").withColumnRenamed("vec_id", "query_id")
+    want = retrieval.knn_exact(q, v.filter("embedding IS NOT NULL"), 7)
+    index = ann.build_index(v, 7)
+    pairs = ann.candidates(q, index, 7, len(index.centres))
+    got = ann.rescore(pairs, q, v, 7)
+    key = lambda df: sorted((r["query_id"], r["vec_id"], round(r["score"], 8), r["rank"]) for r in df.collect())
+    assert key(got) == key(want) and pairs.count() < 3 * want.count()
+    assert index.probes <= len(index.centres) // 3
+    near = evaluation.recall(ann.knn_ann(q, v, 7), want, "query_id", "vec_id").first()["recall"]
+    assert near >= 0.95
+    assert ann.knn_ann(q, v.filter("false"), 7).count() == 0 and ann.knn_ann(q.filter("false"), v, 7).count() == 0

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from . import fixed_values as V
+from .origins import locate_verbatim, normalize_with_map  # noqa: F401
 
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 ARABIC_BLOCKS = "[\u0600-\u06ff\ufdf0-\ufdff]"
-LONG_NEEDLE = 500
 
 
 def _col(c: str | Column) -> Column:
@@ -215,65 +215,12 @@ def coverage(terms: Column, text_terms: Column) -> Column:
     return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(terms, text_terms)) / F.size(terms))
 
 
-def locate_verbatim(haystack: str | Column, needle: str | Column) -> Column:
-    """The haystack's own first wording that equals the needle once both are normalised, with the marks that trail it.
-
-    A needle of up to LONG_NEEDLE characters becomes a pattern in which each letter admits its unfolded forms and marks, each blank
-    any run of punctuation; a longer one, too deep for a pattern, is sought in the text normalised with its origins.  Null without a
-    match or needle.  Compatibility forms are not seen through, ligatures by the second way alone.
-    """
-    marks = V.DIACRITICS[:-1] + "ـ]"
-    blanks = r"[[^\p{L}\p{N}_]ـ]++"  # behind a letter, whose marks are taken already
-    forms: dict[str, str] = {" ": blanks}
-    for source, target in zip(V.FOLD_FROM + V.DIGITS_FROM, V.FOLD_TO + V.DIGITS_TO):
-        forms[target] = forms.get(target, f"[{target}]")[:-1] + source + "]"
-    form = F.create_map(*(F.lit(x) for kv in forms.items() for x in kv))
-    text = _col(haystack)
-
-    def by_pattern(wanted: Column) -> Column:
-        letters = F.transform(F.split(wanted, ""), lambda c: F.when(c == " ", blanks).otherwise(F.concat(F.coalesce(form[c], c), F.lit(f"{marks}*+"))))
-        return F.regexp_substr(text, F.concat(F.lit("(?iu)"), F.array_join(letters, "")))
-
-    def by_origin(wanted: Column) -> Column:
-        def cut(m: Column) -> Column:
-            at = F.instr(m["norm"], wanted)
-            first, last = F.get(m["origin"], at - 1), F.get(m["origin"], at + F.length(wanted) - 2)
-            tail = F.regexp_extract(F.substring(text, last + 2, F.length(text)), f"^{marks}*", 0)
-            return F.when(at > 0, F.concat(F.substring(text, first + 1, last - first + 1), tail))
-
-        return bind(normalize_with_map(text), cut)
-
-    short = lambda w: F.length(w) <= LONG_NEEDLE
-    return bind(normalize(needle), lambda w: F.when((w != "") & short(w), by_pattern(w)).when(w != "", by_origin(w)))
-
-
 def person_core(stem: Column) -> Column:
     """A stem without the affixes of person; at least three letters stay."""
     bare = F.regexp_replace(F.regexp_replace(stem, "^ف(?=[تين].{3,}$)", ""), "^[تينا](?=.{3,}$)", "")
     return F.regexp_replace(bare, "^(.{3,}?)(?:كم|هم|ها|وا|ك|ت|و)$", "$1")
 
 
-def normalize_with_map(c: str | Column) -> Column:
-    """Struct of the normalized text and, for each of its characters, the place (from 0) of the character it came from.
-
-    Every character is normalized by itself, so a letter whose lower case depends on its neighbours may differ from ``normalize``;
-    compatibility forms are seen through only where the text was composed before.
-    """
-    letters = F.split(F.coalesce(_col(c), F.lit("")), "")
-
-    def spread(letter: Column, at: Column) -> Column:
-        plain = F.lower(fold_digits(fold_letters(strip_diacritics(expand_ligatures(letter)))))
-        shown = F.split(F.regexp_replace(plain, rf"(?U)[^\p{{L}}\p{{N}}_]", " "), "")
-        return F.transform(F.filter(shown, lambda x: x != ""), lambda x: F.struct(x.alias("c"), at.alias("i")))
-
-    def tidy(found: Column) -> Column:
-        single = F.filter(found, lambda x, k: (x["c"] != " ") | ((k > 0) & (F.get(found, k - 1)["c"] != " ")))
-        return bind(single, lambda s: F.when(F.get(s, F.size(s) - 1)["c"] == " ", F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s))
-
-    kept = bind(F.flatten(F.transform(letters, spread)), tidy)
-    return bind(kept, lambda s: F.struct(F.array_join(F.transform(s, lambda x: x["c"]), "").alias("norm"), F.transform(s, lambda x: x["i"]).alias("origin")))
-
-
 def quotable_sentences(c: str | Column, least: int = 25) -> Column:
     """Sentences without questions of a presenter, bare citations and references; speaker labels are cut, short rests dropped."""
     aside = lambda s: s.rlike(V.DIALOGUE_QUESTION) | s.rlike(V.CITATION_ONLY) | s.rlike(V.BIBLIOGRAPHIC)
@@ -283,8 +230,7 @@ def quotable_sentences(c: str | Column, least: int = 25) -> Column:
 
 def cut_long(c: str | Column, most: int = 260) -> Column:
     """Pieces of at most ``most`` characters: cut behind the last mark of the second half, else at a space, else hard."""
-    half = (most + 1) // 2 - 1
-    piece = rf"(?s)\G\s*(?:.{{1,{most}}}\z|.{{{half},{most - 1}}}[؛،;,]|.{{1,{most - 1}}} |.{{{most}}})"
+    piece = rf"(?s)\G\s*(?:.{{1,{most}}}\z|.{{{most // 2},{most - 1}}}[؛،;,]|.{{1,{most - 1}}} |.{{{most}}})"
     return F.filter(F.transform(F.regexp_extract_all(F.trim(_col(c)), F.lit(piece), F.lit(0)), lambda p: F.trim(p)), lambda p: p != "")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .text import bind
 
@@ -34,10 +37,16 @@ def hash_bucket(term: Column, dim: int) -> Column:
 
 def hash_embed(terms: Column, dim: int) -> Column:
     """Unit vector of term counts per hash bucket."""
-    def counts(buckets: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
 
-    return bind(F.transform(terms, lambda t: hash_bucket(t, dim)), lambda buckets: unit(counts(buckets)))
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def histogram(buckets: pd.Series) -> pd.Series:
+        sizes = np.fromiter((0 if b is None else len(b) for b in buckets), np.int64, len(buckets))
+        flat = np.concatenate([b for b, n in zip(buckets, sizes, strict=True) if n] or [np.zeros(0, np.int64)]).astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + flat, minlength=len(sizes) * dim).reshape(-1, dim).astype(float)
+        length = np.sqrt((counts**2).sum(1, keepdims=True))
+        return pd.Series(list(counts / np.where(length == 0, 1, length)))
+
+    return histogram(F.transform(terms, lambda t: hash_bucket(t, dim)))
 
 
 def dim_check(df: DataFrame, column: str, dim: int) -> DataFrame:

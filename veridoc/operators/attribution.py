@@ -5,12 +5,13 @@ Fixed values: the limit of relatedness and the negations that turn a quotation's
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from veridoc.functions.text import locate_verbatim, normalize, split_sentences, tokens
 from veridoc.operators.verification import is_verbatim
@@ -45,30 +46,90 @@ def split_claim(text: Column, names_in_lead: Column) -> Column:
     return F.trim(F.btrim(body, F.lit(QUOTES)))
 
 
-@F.pandas_udf(DoubleType())
-def ordered_coverage(claims: pd.Series, passages: pd.Series) -> pd.Series:
-    """Share of the claim's words in matching blocks of the passage, in order."""
-    def one(claim, passage) -> float:
-        if not len(claim):
-            return 0.0
-        blocks = SequenceMatcher(None, list(claim), list(passage), autojunk=False).get_matching_blocks()
-        return sum(b.size for b in blocks) / len(claim)
+def common_runs(claim: list[str], passage: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in claim, place in passage, length of the equal run that ends there) wherever the two hold the same word.
 
-    return pd.Series([one(c, p) for c, p in zip(claims, passages, strict=True)], dtype="float64")
+    Made once for a claim and a whole text; a window of the text is a range of places.
+    """
+    places = defaultdict(list)
+    for i, word in enumerate(claim):
+        places[word].append(i)
+    i, j, run = [], [], []
+    before: dict[int, int] = {}
+    for at, word in enumerate(passage):
+        here = {k: before.get(k - 1, 0) + 1 for k in places.get(word, ())}
+        i += here
+        j += [at] * len(here)
+        run += here.values()
+        before = here
+    return np.array(i, np.int64), np.array(j, np.int64), np.array(run, np.int64)
+
+
+def covered(runs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, start: int, stop: int) -> int:
+    """Words of a claim of ``n`` words in matching blocks of the passage's words ``start`` to ``stop``, in order.
+
+    The longest block is taken first, of equal ones the earliest in the claim, then in the passage; then what lies before and
+    behind it on both sides.
+    """
+    total, todo = 0, [(runs, 0, n, start, stop)]
+    while todo:
+        (i, j, run), low, high, left, right = todo.pop()
+        inside = (i >= low) & (i < high) & (j >= left) & (j < right)
+        i, j, run = i[inside], j[inside], run[inside]
+        if not len(i):
+            continue
+        size = np.minimum(run, np.minimum(i - low, j - left) + 1)
+        k = np.lexsort((j, i, -size))[0]
+        m = int(size[k])
+        a, b = int(i[k]) - m + 1, int(j[k]) - m + 1
+        total += m
+        todo += [((i, j, run), low, a, left, b), ((i, j, run), a + m, high, b + m, right)]
+    return total
+
+
+def best_window(claim: list[str], sentences: list[list[str]], most: int) -> tuple[int, int, float]:
+    """(first sentence from 0, number of sentences, coverage) of the window that covers the claim best; the shortest, then earliest."""
+    n, count = len(claim), len(sentences)
+    words = [w for s in sentences for w in s]
+    edges = np.concatenate([[0], np.cumsum([len(s) for s in sentences])]).astype(np.int64)
+    runs = common_runs(claim, words)
+    hits = np.searchsorted(np.unique(runs[1]), edges)  # words of the passage that the claim holds, up to each sentence
+    best = (0, 1, -1)
+    for size in range(1, min(most, count) + 1):
+        for at in range(count - size + 1):
+            bound = min(n, int(hits[at + size] - hits[at]))
+            if bound > best[2]:
+                got = covered(runs, n, int(edges[at]), int(edges[at + size])) if bound else 0
+                if got > best[2]:
+                    best = (at, size, got)
+    return best[0], best[1], best[2] / n if n else 0.0
+
+
+def ordered_coverage(claim: list[str], passage: list[str]) -> float:
+    """Share of the claim's words in matching blocks of the passage, in order; 0 without words."""
+    return covered(common_runs(claim, passage), len(claim), 0, len(passage)) / len(claim) if claim else 0.0
+
+
+WINDOWS = StructType([StructField("at", IntegerType()), StructField("size", IntegerType()), StructField("coverage", DoubleType())])
+
+
+@F.pandas_udf(WINDOWS)
+def find_window(claims: pd.Series, passages: pd.Series, most: pd.Series) -> pd.DataFrame:
+    rows = [best_window(list(c), [list(s) for s in p], int(m)) for c, p, m in zip(claims, passages, most, strict=True)]
+    return pd.DataFrame(rows, columns=["at", "size", "coverage"])
 
 
 def closest_passages(pairs: DataFrame, key: list[str], claim: str = "claim", content: str = "content") -> DataFrame:
-    """Per pair the window of up to WINDOW sentences that covers the claim best; the shortest, then earliest, wins."""
+    """Per pair the window of up to WINDOW sentences that covers the claim best; the shortest, then earliest, wins.
+
+    ``key`` names a pair; the windows of a pair are compared where its row stands, on one table of common runs.
+    """
     sentences = split_sentences(content)
-    cut = pairs.withColumn("_s", F.when(F.size(sentences) == 0, F.array(content)).otherwise(sentences))
+    cut = pairs.withColumn("_s", F.when(F.size(sentences) == 0, F.array(F.coalesce(content, F.lit("")))).otherwise(sentences))
     most = F.least(F.greatest(F.size(split_sentences(claim)), F.lit(1)) + 1, F.lit(WINDOW))
-    sized = cut.withColumn("_size", F.explode(F.sequence(F.lit(1), F.least(most, F.size("_s")))))
-    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_s") - F.col("_size") + 1)))
-    placed = placed.withColumn("passage", F.array_join(F.slice("_s", F.col("_at"), F.col("_size")), " "))
-    scored = placed.withColumn("coverage", ordered_coverage(tokens(claim), tokens("passage")))
-    order = Window.partitionBy(*key).orderBy(F.col("coverage").desc(), "_size", "_at")
-    best = scored.withColumn("_k", F.row_number().over(order)).filter("_k = 1")
-    return best.drop("_s", "_size", "_at", "_k")
+    found = cut.withColumn("_w", find_window(tokens(claim), F.transform("_s", lambda s: tokens(s)), most))
+    passage = F.array_join(F.slice("_s", F.col("_w.at") + 1, F.col("_w.size")), " ")
+    return found.select(*pairs.columns, passage.alias("passage"), F.col("_w.coverage").alias("coverage"))
 
 
 def decide(matches: DataFrame, query: str = "message_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.operators.scan import values_at
+
 from veridoc.operators.evaluation import bucket
 
 VOCABULARY_COVERAGE, CURRENT_WEIGHT = 0.5, 0.25
@@ -177,15 +179,10 @@ def compare_embedders(ranks: DataFrame, model: str = "model", variant: str = "va
 def phase_latency(timings: DataFrame, phases: list[str], mode: str = "mode") -> DataFrame:
     """min, median, p95 and max of each phase over the questions that reached generation; a missing time is left out.
 
-    The percentiles are taken from counts of each distinct time, so no task holds more than the distinct times of a phase.
+    The percentiles are taken from counts of each distinct time, scanned in parts.
     """
-    long = timings.filter(F.col(mode) != "none").unpivot([], phases, "phase", "ms").filter("ms IS NOT NULL")
-    counts = long.groupBy("phase", "ms").agg(F.count(F.lit(1)).alias("c"))
-    total = F.sum("c").over(Window.partitionBy("phase"))
-    upto = F.sum("c").over(Window.partitionBy("phase").orderBy("ms"))
-    placed = counts.withColumn("n", total).withColumn("upto", upto)
-    at = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * share), F.col("ms")))
-    return placed.groupBy("phase").agg(F.min("ms").alias("min"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("ms").alias("max"))
+    long = timings.filter(F.col(mode) != "none").unpivot([], phases, "phase", "ms")
+    return values_at(long, "phase", "ms", {"median": F.ceil(F.col("n") * 0.5), "p95": F.ceil(F.col("n") * 0.95)}).drop("n")
 
 
 def cost_projection(calls: DataFrame, questions: int | Column, repeats: float = 0.0, task: str = "task") -> DataFrame:

@@ -1,77 +1,95 @@
-"""Chunking of documents: paragraphs packed to a size with a sentence of overlap, every piece verbatim."""
+"""Chunking of a question and its answer: kept whole if short, else paragraphs packed to a size with a sentence of overlap."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-WHOLE, PACK, OVERLAP = 1300, 900, 300
+WHOLE, PACK, OVERLAP, SHORT = 1300, 900, 300, 25
 CUTS = "؛،;,"
 SENTENCE = re.compile(r"(?<=[.!?؟])\s+|\n+")
 
 
+@lru_cache
+def _piece(most: int) -> re.Pattern:
+    """What one piece takes: up to the last mark that stands in the second half, else up to the last space, else all that fits."""
+    return re.compile(rf"(?s:.{{{most // 2},{most - 1}}}[{CUTS}]|.{{1,{most - 1}}} |.{{{most}}})")
+
+
 def split_long(text: str, most: int = PACK) -> list[str]:
-    """Pieces of at most ``most`` characters, cut behind the last mark of the second half, else at a space, else hard."""
-    out = []
+    """Verbatim pieces of at most ``most`` characters."""
+    out, text = [], text.strip()
     while len(text) > most:
-        window = text[:most]
-        mark = max(window.rfind(c) for c in CUTS) + 1
-        at = mark if mark >= most / 2 else window.rfind(" ") if window.rfind(" ") > 0 else most
-        out.append(text[:at].strip())
-        text = text[at:].strip()
+        end = _piece(most).match(text).end()
+        out.append(text[:end].strip())
+        text = text[end:].strip()
     return [*out, text] if text else out
 
 
-def sentences(text: str) -> list[str]:
-    return [s.strip() for s in SENTENCE.split(text) if s and s.strip()]
-
-
-def units(text: str, most: int = PACK) -> list[str]:
-    """Paragraphs; long ones as runs of sentences of at most ``most`` characters."""
-    out = []
-    for paragraph in re.split(r"\n\s*\n", text):
-        paragraph = paragraph.strip()
-        if len(paragraph) <= most:
-            out += [paragraph] if paragraph else []
-            continue
-        held = ""
-        for s in sentences(paragraph):
-            for piece in split_long(s, most):
-                if held and len(held) + 1 + len(piece) > most:
-                    out.append(held)
-                    held = piece
-                else:
-                    held = f"{held} {piece}" if held else piece
-        out += [held] if held else []
+def sentences(text: str, least: int = SHORT) -> list[str]:
+    """Sentences; one shorter than ``least`` joins the next, a short last one the one before."""
+    out: list[str] = []
+    for part in filter(None, map(str.strip, SENTENCE.split(text))):
+        if out and len(out[-1]) < least:
+            out[-1] += f" {part}"
+        else:
+            out.append(part)
+    if len(out) > 1 and len(out[-1]) < least:
+        last = out.pop()
+        out[-1] += f" {last}"
     return out
 
 
-def chunk_text(text: str | None) -> list[str]:
-    """Chunks of one text; null and blank texts have none."""
-    text = (text or "").strip()
-    if len(text) <= WHOLE:
-        return [text] if text else []
+def paragraphs(text: str, most: int = PACK) -> list[str]:
+    """Paragraphs between blank lines; long ones as runs of sentences of at most ``most`` characters."""
     out: list[str] = []
-    held = ""
-    for u in units(text):
-        if held and len(held) + 2 + len(u) > PACK:
-            out.append(held)
-            last = sentences(held)[-1]
-            held = f"{last}\n\n{u}" if len(last) <= OVERLAP and last != held else u
-        else:
-            held = f"{held}\n\n{u}" if held else u
-    return [*out, held] if held else out
+    for paragraph in filter(None, map(str.strip, text.split("\n\n"))):
+        whole = len(paragraph) <= most
+        run = ""
+        for piece in [paragraph] if whole else [p for s in sentences(paragraph) for p in split_long(s, most)]:
+            if run and len(run) + 1 + len(piece) > most:
+                out.append(run)
+                run = ""
+            run = f"{run} {piece}" if run else piece
+        out += [run] if run else []
+    return out
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
+def chunk_text(answer: str | None, question: str | None = None, most: int = PACK) -> list[str]:
+    """Chunks of a question and its answer; none if both are null or blank.
+
+    The question is the first unit.  A chunk after the first begins with the last sentence of the unit before it, unless
+    that sentence is longer than OVERLAP or the unit is the question.
+    """
+    question, answer = (question or "").strip(), answer or ""
+    full = f"{question}\n\n{answer}".strip()
+    if len(full) <= WHOLE:
+        return [full] if full else []
+    out: list[str] = []
+    held: list[str] = []  # units of the open chunk, the overlap first
+    own = 0  # those that are not overlap
+    for unit in [question] * bool(question) + paragraphs(answer, most):
+        if own and sum(len(u) + 2 for u in held) + len(unit) > most:
+            out.append("\n\n".join(held))
+            tail = sentences(held[-1])[-1:] if held[-1] != question else []
+            held, own = [t for t in tail if len(t) <= OVERLAP], 0
+        held.append(unit)
+        own += 1
+    return [*out, "\n\n".join(held)] if own else out
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", question_col: str | None = None) -> DataFrame:
     """(doc_id, ordinal, content) of every document; no shuffle."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(i, k, c) for i, t in zip(pdf[id_col], pdf[text_col], strict=True) for k, c in enumerate(chunk_text(t))]
+            asked = pdf[question_col] if question_col else [None] * len(pdf)
+            rows = [(i, k, c) for i, t, q in zip(pdf[id_col], pdf[text_col], asked, strict=True) for k, c in enumerate(chunk_text(t, q))]
             yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "content"])
 
-    return docs.select(id_col, text_col).mapInPandas(cut, "doc_id long, ordinal int, content string")
+    used = dict.fromkeys([id_col, text_col, *([question_col] if question_col else [])])
+    return docs.select(*used).mapInPandas(cut, "doc_id long, ordinal int, content string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridoc.operators.scan import numbered, values_at
+
 
 def rank_of(ranked: DataFrame, accepted: DataFrame, query: str, item: str) -> DataFrame:
     """First rank of an accepted item per query."""
@@ -20,27 +22,27 @@ def topk_rates(ranks: DataFrame, variant: str, ks: tuple[int, ...] = (1, 3, 5))
 
 def nearest_rank_percentiles(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Nearest-rank percentiles by key: the smallest value with at least that share at or below it."""
-    cols = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(s * 100)}") for s in shares]
-    return df.groupBy(key).agg(F.min(value).alias("min"), *cols, F.max(value).alias("max"))
+    places = {f"p{round(s * 100)}": F.greatest(F.ceil(F.col("n") * F.lit(s)), F.lit(1)) for s in shares}
+    return values_at(df, key, value, places).drop("n")
 
 
 def truncated_p95(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The value at place floor(0.95 n) in order."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    return df.withColumn("_n", n).withColumn("_p", place).filter(F.col("_p") == F.floor(F.col("_n") * 95 / 100)).select(key, F.col(value).alias("p95"))
+    """The value at place floor(0.95 n) in order; keys of one value have none."""
+    found = values_at(df, key, value, {"p95": F.floor(F.col("n") * 95 / 100)})
+    return found.filter(F.col("p95").isNotNull()).select(key, "p95")
+
+
+def interpolated_median(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median): the middle value, or the mean of the two in the middle."""
+    n = F.col("n")
+    found = values_at(df, key, value, {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1})
+    return found.select(key, "n", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def split_items(items: DataFrame, item: str) -> DataFrame:
-    """Alternate items by rank of their id: tuning, validation.  Rank needs only counts of smaller ids, so it is computed
-    from per-range counts rather than by one global sort."""
-    parts = items.select(item).distinct().repartitionByRange(item).withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(item))
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = parts.withColumn("_local", local).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
-    half = F.when((F.col("_before") + F.col("_local")) % 2 == 1, "tuning").otherwise("validation")
-    return placed.select(item, half.alias("half"))
+    """Alternate items by rank of their id: tuning, validation."""
+    placed = numbered(items.select(item).distinct(), [item], "_place")
+    return placed.select(item, F.when(F.col("_place") % 2 == 1, "tuning").otherwise("validation").alias("half"))
 
 
 def bucket(rank: Column, in_evidence: Column) -> Column:

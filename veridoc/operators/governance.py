@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.operators.scan import numbered
+
 MIN_CLAIM_TOKENS = 4
 
 
@@ -29,8 +31,9 @@ def audit_filter(audit: DataFrame, what: str = "all", action: str = "action") ->
 
 
 def admin_sources(sources: DataFrame) -> DataFrame:
-    """Sources by priority, those without one last, then slug."""
-    return sources.orderBy(F.col("priority").asc_nulls_last(), "slug")
+    """Sources with their place: by priority, those without one last, then slug."""
+    last = sources.withColumn("_none", F.col("priority").isNull())
+    return numbered(last, ["_none", "priority", "slug"], "place").drop("_none")
 
 
 def outcome_counts(answers: DataFrame, at: str, as_of: Column, days: int = 30) -> DataFrame:

@@ -150,8 +150,8 @@ def index_documents(docs: DataFrame, indexed: DataFrame | None, dim: int, model:
     cut = chunks(docs).join(docs.select("doc_id", "title"), "doc_id")
     words = F.concat_ws(" ", "title", "content")
     fresh = cut.select(
-        "doc_id", "ordinal", "content", normalize("content").alias("normalized"), search_text(words).alias("search"),
-        hash_embed(F.array_distinct(stems(F.concat_ws("\n", "title", "content"))), dim).alias("embedding"), F.lit(model).alias("model"),
+        "doc_id", "ordinal", "content", normalize("content", compose=True).alias("normalized"), search_text(words, compose=True).alias("search"),
+        hash_embed(F.array_distinct(stems(F.concat_ws("\n", "title", "content"), compose=True)), dim).alias("embedding"), F.lit(model).alias("model"),
     )
     if indexed is None:
         return fresh

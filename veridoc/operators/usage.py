@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.operators.scan import running
+
 COOLDOWN_SECONDS = 60
 
 
@@ -53,24 +55,37 @@ def usage_report(usage: DataFrame) -> DataFrame:
     return report.withColumn("status", F.coalesce("status", F.lit("all")))
 
 
-def budget_gate(usage: DataFrame, max_calls: int) -> DataFrame:
-    """Each call with the calls made before it that day, refused from ``max_calls`` on; 0 switches the limit off.
+def budget_gate(usage: DataFrame, max_calls: int = 0, max_cost: float = 0.0, pending: str | None = None) -> DataFrame:
+    """Each call with the calls and the cost made before it that day; refused once either limit is reached; 0 switches a limit off.
 
-    Days are the partitions, so a day's calls are one sorted run.
+    From the first refusal of a day on every call of that day is refused, so both totals stand still.  ``pending`` names the question
+    a call belongs to: costs count when their question is over, so those of the question's own earlier calls are left out.
+    Costs are summed in nano-units, so that no order of adding matters.
     """
-    day = F.date_trunc("DAY", F.col("ts"))
-    before = Window.partitionBy(day).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    made = F.coalesce(F.sum(F.col("api_call").cast("long")).over(before), F.lit(0))
-    refused = F.lit(max_calls > 0) & F.col("api_call") & (made >= max_calls)
-    return usage.select("event_id", made.alias("made"), refused.alias("refused"))
+    nano = F.coalesce(F.round(F.col("cost") * 1e9).cast("long"), F.lit(0)) if "cost" in usage.columns else F.lit(0).cast("long")
+    rows = usage.select(
+        "event_id", "ts", "api_call", F.date_trunc("DAY", F.col("ts")).alias("day"), (F.col(pending) if pending else F.lit(0)).alias("asked"),
+        F.col("api_call").cast("long").alias("call"), F.when(F.col("api_call"), nano).otherwise(0).alias("nano"),
+    )
+    before = running(rows, ["day"], ["ts", "event_id"], {"calls": ("call", "sum"), "spent": ("nano", "sum")})
+    if pending:
+        own = Window.partitionBy("day", "asked").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+        before = before.withColumn("spent", F.col("spent") - F.coalesce(F.sum("nano").over(own), F.lit(0)))
+    full = (F.lit(max_calls > 0) & (F.col("calls") >= max_calls)) | (F.lit(max_cost > 0) & (F.col("spent") >= round(max_cost * 1e9)))
+    told = before.withColumn("refused", F.col("api_call") & full)
+    first = told.filter("refused").groupBy(F.col("day").alias("_day")).agg(F.min_by(F.struct("calls", "spent", "ts", "event_id"), F.struct("ts", "event_id")).alias("stop"))
+    told = told.join(first, F.col("day") == F.col("_day"), "left")  # a row for each day
+    late = F.coalesce(F.struct("ts", "event_id") >= F.struct("stop.ts", "stop.event_id"), F.lit(False))
+    held = lambda name: F.when(late, F.col(f"stop.{name}")).otherwise(F.col(name))
+    return told.select("event_id", held("calls").alias("made"), (held("spent") / 1e9).alias("spent"), (F.col("api_call") & (F.col("refused") | late)).alias("refused"))
 
 
 def cooldown_filter(usage: DataFrame, failed: Column, seconds: int = COOLDOWN_SECONDS, key: str = "model") -> DataFrame:
     """Calls refused because a failure of the same model happened within ``seconds`` before them."""
     at = F.col("ts").cast("timestamp").cast("double")
-    before = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(failed, at)).over(before)
-    return usage.select("event_id", F.coalesce(at - last < seconds, F.lit(False)).alias("refused"))
+    rows = usage.select("event_id", "ts", key, at.alias("_at"), F.when(failed, at).alias("_failed"))
+    last = running(rows, [key], ["ts", "event_id"], {"_last": ("_failed", "max")})
+    return last.select("event_id", F.coalesce(F.col("_at") - F.col("_last") < seconds, F.lit(False)).alias("refused"))
 
 
 def routing_simulation(answers: DataFrame) -> DataFrame:

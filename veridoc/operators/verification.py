@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import locate_verbatim, normalize, quote_segments
+from veridoc.functions.origins import locate_each
+from veridoc.functions.text import normalize, quote_segments
 
 MIN_QUOTE_CHARS, MIN_SUPPORT = 12, 0.6
 
@@ -81,5 +82,4 @@ def is_verbatim(claim_tokens: Column, passage_tokens: Column, negations: list[st
 
 def source_quote(answer: Column, quote: Column) -> Column:
     """The source's own wording of each quoted segment found, joined by an ellipsis; null if none is."""
-    found = F.filter(F.transform(quote_segments(quote), lambda s: locate_verbatim(answer, s)), lambda s: s.isNotNull())
-    return F.nullif(F.array_join(found, " … "), F.lit(""))
+    return F.nullif(F.array_join(locate_each(answer, quote_segments(quote)), " … "), F.lit(""))

@@ -43,7 +43,7 @@ def G7_answering_refs(spark, d):
 
 @query()
 def G8_generate_extractive(spark, d):
-    evidence = retrieval.select_evidence(_ranked(spark, d)).withColumn("dense", F.col("dense_score"))
+    evidence = retrieval.relevant_evidence(_ranked(spark, d)).withColumn("dense", F.col("dense_score"))
     sources = view(spark, d, "v_sources").select(F.col("slug").alias("source_slug"), "priority")
     asked = view(spark, d, "v_questions").select("question_id", F.lit("ar").alias("language"))
     out = a.generate_extractive(asked, evidence.join(sources, "source_slug", "left"), least=0.3)
@@ -424,9 +424,9 @@ def D3_source_detail(spark, d):
     return g.source_detail(sources, view(spark, d, "v_docs").select("source_slug", "doc_id", "title"), slug).select("slug", "doc_id", "title")
 
 
-@query(r"SELECT conv_id, turn, nullif(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g'), '') AS found FROM conversations")
+@query(r"SELECT conv_id, turn, nullif(regexp_replace(coalesce(text, ''), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g'), '') AS found FROM conversations")
 def T18_locate_verbatim(spark, d):
-    spaced = F.replace(F.split("text", "\n")[0], F.lit(" "), F.lit(" , "))
+    spaced = F.replace("text", F.lit(" "), F.lit(" , "))
     return table(spark, d, "conversations").select("conv_id", "turn", text.locate_verbatim("text", spaced).alias("found"))
 
 

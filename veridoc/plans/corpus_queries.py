@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridoc.functions import text
 from veridoc.operators import attribution as A
 from veridoc.operators import ingest, retrieval, verification
-from veridoc.plans.queries import _TOP, NORM, _nearest, _questions, _ranked, query, table
+from veridoc.plans.queries import _TOP, NORM, _approved, _nearest, query, table
 from veridoc.sources import snapshots
 from veridoc.sources.views import view
 from veridoc.streaming import logs, stateful
@@ -69,9 +69,9 @@ def S26_route_urls(spark, d):
     return ingest.route_urls(urls, sites, "page_id", 5).select("page_id", "slug", "page")
 
 
-@query(r"""SELECT doc_id, nullif(regexp_replace(split_part(body, chr(10), 1), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g'), '') AS found FROM v_docs""")
+@query(r"""SELECT doc_id, nullif(regexp_replace(body, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g'), '') AS found FROM v_docs""")
 def X6_source_quote(spark, d):
-    spaced = F.replace(F.replace(F.split("body", "\n")[0], F.lit("..."), F.lit(" ")), F.lit(" "), F.lit(" , "))
+    spaced = F.replace(F.regexp_replace("body", r"\.\.\.|…", " "), F.lit(" "), F.lit(" , "))
     return view(spark, d, "v_docs").select("doc_id", verification.source_quote(F.col("body"), spaced).alias("found"))
 
 
@@ -87,14 +87,32 @@ def A7_candidate_documents(spark, d):
     return A.candidate_documents(e, own)
 
 
+def _messages(spark, d):
+    """Statements that name a source, some of them another than the one that holds their words."""
+    n = F.col("question_id") % 20
+    said = F.concat(F.lit("src"), n.cast("string"), F.lit(" said in a letter: \""), F.substring("question", 1, 120), F.lit("\""))
+    return view(spark, d, "v_questions").select(F.col("question_id").alias("message_id"), F.when(n < 15, said).otherwise(F.substring("question", 1, 120)).alias("message"))
+
+
 @query()
 def A9_attribution_report(spark, d):
-    asked = _questions(spark, d).select(F.col("question_id").alias("message_id"), F.col("question").alias("claim"), F.lit(None).cast("string").alias("named"))
-    found = _ranked(spark, d).filter("rank <= 8").select(F.col("question_id").alias("message_id"), "source_slug", "content", "rank")
-    pairs = found.join(asked.select("message_id", "claim"), "message_id")
-    matches = A.closest_passages(pairs, ["message_id", "rank"]).drop("claim")
-    out = A.attribution_report(asked, matches)
-    return out.select("message_id", "verdict", F.sha2(F.coalesce("quote", F.lit("")), 256).alias("quote_hash"), "coverage")
+    """From messages to verdicts: the named source, the claim, documents of that source and of all, windows, verdict."""
+    names = view(spark, d, "v_sources").select(F.col("slug").alias("source_slug"), F.expr("cast(substr(slug, 4) AS int)").alias("ord"), F.col("slug").alias("name"))
+    asked = A.attributed_source(_messages(spark, d), names, text="message")
+    lead = F.regexp_extract("message", A.INTRODUCTION, 1)
+    asked = asked.withColumn("claim", A.split_claim(F.col("message"), F.col("named").isNotNull() & F.contains(lead, F.col("named")))).drop("message")
+    units = _approved(spark, d)
+    terms = retrieval.query_terms(asked.select(F.col("message_id").alias("question_id"), F.col("claim").alias("question"), "named"))
+    hits = retrieval.sparse_hits(terms, retrieval.postings(units))
+    placed = hits.join(units.select("unit_id", "doc_id", "source_slug"), "unit_id").join(terms.select("question_id", "named"), "question_id")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("hits").desc(), "unit_id"))).filter(F.col("rank") <= 24)
+    found = [ranked(df).select(F.col("question_id").alias("message_id"), "doc_id", "rank") for df in (placed, placed.filter("source_slug = named"))]
+    docs = A.candidate_documents(*found).join(view(spark, d, "v_docs").select("doc_id", "source_slug", F.col("body").alias("content")), "doc_id")
+    pairs = docs.join(asked.select("message_id", "claim"), "message_id")
+    matches = A.closest_passages(pairs, ["message_id", "rank"]).select("message_id", "doc_id", "source_slug", "passage", "coverage")
+    by_cover = F.row_number().over(Window.partitionBy("message_id").orderBy(F.col("coverage").desc(), "doc_id"))
+    out = A.attribution_report(asked, matches.withColumn("rank", by_cover).drop("doc_id"))
+    return out.select("message_id", "named", "verdict", F.sha2(F.coalesce("quote", F.lit("")), 256).alias("quote_hash"), "coverage")
 
 
 _CONFIG_ROWS = ", ".join(f"('{n}', {p}, {str(i).lower()}, {str(c).lower()}, '{by}')" for n, p, i, c, by in retrieval.CONFIGS)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import chunking, classify, evaluation, retrieval, usage, verification
-from veridoc.plans.queries import _EVIDENCE, _POOL, _RANKS, NORM, _first_ranks, _nearest, _pooled, _ranked, query, table
+from veridoc.operators import ann, chunking, classify, evaluation, retrieval, usage, verification
+from veridoc.plans.queries import _EVIDENCE, _POOL, _RANKS, _TOP, NORM, _first_ranks, _nearest, _pooled, _ranked, query, table
 from veridoc.sources.views import units, view
 
 LEXICON = """SELECT 'topic' AS kind, 'alpha' AS topic, 1 AS ord, 'the' AS term UNION ALL SELECT 'topic', 'beta', 2, 'la' UNION ALL SELECT 'topic', 'gamma', 3, 'of the'
@@ -67,10 +67,23 @@ def K3_chunks(spark, d):
     return c.select("doc_id", "ordinal", F.length("content").alias("chars"), F.sha2("content", 256).alias("content_hash"))
 
 
-@query("SELECT 0 AS broken")
-def K3_chunks_are_bounded(spark, d):
-    too_long = chunking.chunks(view(spark, d, "v_docs")).filter(F.length("content") > chunking.WHOLE)
-    return too_long.agg(F.count(F.lit(1)).cast("int").alias("broken"))
+@query(r"""SELECT doc_id, CASE WHEN length(q) <= 1300 THEN 1 END AS whole, true AS bounded, true AS verbatim, true AS gapless, true AS from_end_to_end FROM (
+    SELECT doc_id, trim(CASE WHEN trim(title) <> '' THEN concat(trim(title), chr(10), chr(10), body) ELSE body END, chr(32) || chr(9) || chr(10) || chr(13)) AS q FROM v_docs) d WHERE q <> ''""")
+def K3_chunk_invariants(spark, d):
+    """Chunks of title and body: one if short, else bounded, of verbatim units, numbered without gaps, from the text's first to its last words."""
+    docs = view(spark, d, "v_docs").select("doc_id", "title", "body")
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    cut = chunking.chunks(docs, question_col="title").join(docs.select("doc_id", bare(F.concat_ws(" ", "title", "body")).alias("all")), "doc_id")
+    units_of = F.filter(F.transform(F.split("content", "\n\n"), bare), lambda u: u != "")
+    per = cut.withColumn("units", units_of).groupBy("doc_id", "all").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.length("content")).alias("most"), (F.max("ordinal") == F.count(F.lit(1)) - 1).alias("gapless"),
+        F.bool_and(F.forall("units", lambda u: F.contains(F.col("all"), u))).alias("verbatim"),
+        F.min_by(bare("content"), "ordinal").alias("first"), F.max_by(bare("content"), "ordinal").alias("last"),
+    )
+    short = (F.col("n") == 1) & (F.col("most") <= chunking.WHOLE)
+    ends = F.startswith("all", F.substring("first", 1, 20)) & F.endswith("all", F.expr("right(last, 20)"))
+    limit = F.when(F.col("n") == 1, chunking.WHOLE).otherwise(chunking.PACK + chunking.OVERLAP + 2)
+    return per.select("doc_id", F.when(short, 1).alias("whole"), (F.col("most") <= limit).alias("bounded"), "verbatim", "gapless", ends.alias("from_end_to_end"))
 
 
 @query(f"SELECT question_id, unit_id, round(coalesce(1.0 / (60 + sparse_rank), 0.0) + coalesce(1.0 / (60 + dense_rank), 0.0), 9) AS rrf FROM ({_POOL}) e")
@@ -80,7 +93,7 @@ def R10_rrf(spark, d):
 
 @query(f"SELECT question_id, count(*) % 4 <> 0 AS valid FROM ({_EVIDENCE}) e GROUP BY question_id")
 def X1_citation_valid(spark, d):
-    e = retrieval.select_evidence(_ranked(spark, d)).select("question_id", "ref")
+    e = retrieval.relevant_evidence(_ranked(spark, d)).select("question_id", "ref")
     claims = e.groupBy("question_id").agg(F.collect_list("ref").alias("refs"), F.count(F.lit(1)).alias("n"))
     wrong = F.when(F.col("n") % 4 == 0, F.array_append("refs", F.lit("E99"))).otherwise(F.col("refs"))
     found = verification.citation_valid(claims.select("question_id", F.lit(0).alias("claim_id"), wrong.alias("refs")), e)
@@ -111,7 +124,7 @@ def D5_overview_totals(spark, d):
 
 @query(f"SELECT doc_id, source_slug, count(*) AS cited FROM ({_EVIDENCE}) e GROUP BY 1, 2")
 def D8_citations(spark, d):
-    e = retrieval.select_evidence(_ranked(spark, d))
+    e = retrieval.relevant_evidence(_ranked(spark, d))
     return e.groupBy("doc_id", "source_slug").agg(F.count(F.lit(1)).alias("cited"))
 
 
@@ -161,14 +174,33 @@ def S27_search_domains(spark, d):
     return table(spark, d, "pages").select(F.regexp_extract("url", "https?://([^/:?#]+)", 1).alias("domain")).distinct()
 
 
-def _approximate(spark, d):
-    from veridoc.operators import ann
-
+def _asked(spark, d):
     v = view(spark, d, "v_vectors")
-    q = v.filter("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
-    return ann.knn_ann(q, v.select("vec_id", "embedding"), 10, 64)
+    return v.filter("is_query").select(F.col("vec_id").alias("query_id"), "embedding"), v.select("vec_id", "embedding")
+
+
+def _approximate(spark, d):
+    return ann.knn_ann(*_asked(spark, d), 10)
 
 
 @query()
 def V7_knn_ann(spark, d):
     return _approximate(spark, d).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM ({_TOP}) t WHERE rank <= 10")
+def V7_all_cells(spark, d):
+    """With every cell visited, the bounds of the codes leave the exact result."""
+    found = ann.knn_ann(*_asked(spark, d), 10, probes=ann.CELLS)
+    return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) AS queries, true AS recall_reached, true AS few_scored FROM v_vectors WHERE is_query")
+def V7_recall_and_work(spark, d):
+    """Whether the search finds 0.95 of the true neighbours and scores at most a tenth of all pairs exactly."""
+    q, v = _asked(spark, d)
+    pairs = ann.candidates(q, ann.build_index(v), 10)
+    recall = evaluation.recall(ann.rescore(pairs, q, v, 10), _nearest(spark, d, 10), "query_id", "vec_id")
+    work = pairs.agg(F.count(F.lit(1)).alias("scored")).join(v.agg(F.count(F.lit(1)).alias("vectors")))  # single rows
+    few = F.col("scored") <= F.col("queries") * F.col("vectors") / 10
+    return recall.join(work).select("queries", (F.col("recall") >= 0.95).alias("recall_reached"), few.alias("few_scored"))

@@ -390,29 +390,38 @@ def R11_hybrid_retrieval(spark, d):
     )
 
 
+_RELEVANT = "((n_terms < 2 AND title_coverage = 1) OR (dense >= 0.5 AND (coverage >= 0.34 OR dense >= 0.62)))"
+_STRONG = "(dense >= 0.72 OR (n_terms < 2 AND title_coverage = 1) OR (dense >= 0.55 AND (n_terms < 2 OR coverage >= 0.5)))"
 _EVIDENCE = f"""SELECT *, concat('E', row_number() OVER (PARTITION BY question_id ORDER BY rank)) AS ref FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY best DESC, rank) AS turn FROM (
     SELECT *, row_number() OVER (PARTITION BY question_id, doc_id, best ORDER BY rank) AS place, max(best) OVER (PARTITION BY question_id, doc_id) AS owns FROM (
       SELECT *, CASE WHEN f = 1 AND row_number() OVER (PARTITION BY question_id, f = 1 ORDER BY rank) <= 6 THEN 1 ELSE 0 END AS best FROM (
-        SELECT *, row_number() OVER (PARTITION BY question_id, source_slug ORDER BY rank) AS f FROM ({_HYBRID}) h) a) b) c
+        SELECT *, row_number() OVER (PARTITION BY question_id, source_slug ORDER BY rank) AS f FROM ({_HYBRID}) h WHERE {_RELEVANT}) a) b) c
   WHERE best = 1 OR place + owns <= 2) e WHERE turn <= 6"""
 
 
 @query(f"SELECT question_id, unit_id, CAST(rank AS BIGINT) AS rank, ref FROM ({_EVIDENCE}) e")
 def R15_select_evidence(spark, d):
-    return retrieval.select_evidence(_ranked(spark, d)).select("question_id", "unit_id", F.col("rank").cast("long").alias("rank"), "ref")
+    return retrieval.relevant_evidence(_ranked(spark, d)).select("question_id", "unit_id", F.col("rank").cast("long").alias("rank"), "ref")
 
 
-@query(f"""SELECT q.question_id, coalesce(c.candidates, 0) AS candidates, coalesce(e.evidence, 0) AS evidence, round(coalesce(e.best, 0.0), 6) AS best_coverage,
+@query(f"SELECT question_id, unit_id, {_RELEVANT} AS relevant, {_STRONG} AS strong FROM ({_HYBRID}) h")
+def R14_relevant(spark, d):
+    r = _ranked(spark, d)
+    own = {name: retrieval.judged(test, r) for name, test in (("relevant", retrieval.is_relevant), ("strong", retrieval.is_strong))}
+    return r.select("question_id", "unit_id", *(c.alias(n) for n, c in own.items()))
+
+
+@query(f"""SELECT q.question_id, coalesce(c.candidates, 0) AS candidates, coalesce(c.dense_hits, 0) AS dense_hits, coalesce(c.sparse_hits, 0) AS sparse_hits,
+    coalesce(e.evidence, 0) AS evidence, round(coalesce(c.dense, 0.0), 6) AS best_dense, round(coalesce(c.best, 0.0), 6) AS best_coverage,
     CASE WHEN c.candidates IS NULL THEN 'no_source' WHEN e.evidence IS NULL OR NOT e.strong THEN 'weak_evidence' ELSE 'sufficient' END AS verdict
-    FROM v_questions q LEFT JOIN (SELECT question_id, count(*) AS candidates FROM ({_HYBRID}) h GROUP BY 1) c ON c.question_id = q.question_id
-    LEFT JOIN (SELECT question_id, count(*) AS evidence, bool_or(dense >= 0.72 OR (n_terms = 1 AND title_coverage = 1) OR (dense >= 0.55 AND (n_terms = 1 OR coverage >= 0.5))) AS strong, max(coverage) AS best FROM ({_EVIDENCE}) e GROUP BY 1) e ON e.question_id = q.question_id""")
+    FROM v_questions q LEFT JOIN (SELECT question_id, count(*) AS candidates, count(dense_rank) AS dense_hits, count(sparse_rank) AS sparse_hits, max(dense) AS dense,
+      max(CASE WHEN n_terms >= 2 THEN coverage END) AS best FROM ({_HYBRID}) h GROUP BY 1) c ON c.question_id = q.question_id
+    LEFT JOIN (SELECT question_id, count(*) AS evidence, bool_or({_STRONG}) AS strong FROM ({_EVIDENCE}) e GROUP BY 1) e ON e.question_id = q.question_id""")
 def R17_sufficiency(spark, d):
     ranked = _ranked(spark, d)
-    strong = retrieval.is_strong(F.col("dense_score"), F.size("terms"), F.col("coverage"), F.col("title_coverage"))
-    evidence = retrieval.select_evidence(ranked).withColumn("strong", strong)
-    out = retrieval.sufficiency(view(spark, d, "v_questions"), ranked, evidence)
-    return out.withColumn("best_coverage", F.round("best_coverage", 6))
+    out = retrieval.sufficiency(view(spark, d, "v_questions"), ranked, retrieval.relevant_evidence(ranked))
+    return out.withColumn("best_coverage", F.round("best_coverage", 6)).withColumn("best_dense", F.round("best_dense", 6))
 
 
 @query(f"SELECT term, df, round(ln(1 + (SELECT count(*) FROM ({_APPROVED}) n) / df), 6) AS idf FROM (SELECT term, count(DISTINCT unit_id) AS df FROM ({_POST}) p GROUP BY term) x")
@@ -522,10 +531,19 @@ def U5_usage_report(spark, d):
     return usage.usage_report(view(spark, d, "v_usage"))
 
 
-@query("""SELECT event_id, CAST(made AS BIGINT) AS made, api_call AND made >= 40 AS refused FROM (
-    SELECT event_id, api_call, coalesce(sum(CAST(api_call AS INT)) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS made FROM v_usage) b""")
+@query(f"""WITH p AS (SELECT event_id, api_call, date_trunc('day', ts) AS day, ts,
+      coalesce(sum(CAST(api_call AS INT)) OVER w, 0) AS calls, coalesce(sum(n) OVER w, 0) - coalesce(sum(n) OVER o, 0) AS spent FROM (
+        SELECT *, CASE WHEN api_call THEN coalesce(CAST(round({_COST} * 1e9) AS BIGINT), 0) ELSE 0 END AS n FROM v_usage) u
+      WINDOW w AS (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        o AS (PARTITION BY date_trunc('day', ts), session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT day, min((ts, event_id)) AS stop, arg_min(calls, (ts, event_id)) AS calls, arg_min(spent, (ts, event_id)) AS spent
+      FROM p WHERE api_call AND (calls >= 40 OR spent >= 9000000) GROUP BY day)
+    SELECT p.event_id, CAST(CASE WHEN (p.ts, p.event_id) >= s.stop THEN s.calls ELSE p.calls END AS BIGINT) AS made,
+      round(CASE WHEN (p.ts, p.event_id) >= s.stop THEN s.spent ELSE p.spent END / 1e9, 9) AS spent, p.api_call AND coalesce((p.ts, p.event_id) >= s.stop, false) AS refused
+    FROM p LEFT JOIN s ON s.day = p.day""")
 def U10_budget_gate(spark, d):
-    return usage.budget_gate(view(spark, d, "v_usage"), 40)
+    told = usage.budget_gate(_priced(spark, d), 40, 0.009, pending="session_id")
+    return told.withColumn("spent", F.round("spent", 9))
 
 
 @query("""SELECT event_id, coalesce(epoch(ts) - last < 600, false) AS refused FROM (SELECT event_id, ts, max(CASE WHEN status = 'timeout' THEN epoch(ts) END)
