@@ -103,7 +103,7 @@ def A9_attribution_report(spark, d):
     asked = asked.withColumn("claim", A.split_claim(F.col("message"), F.col("named").isNotNull() & F.contains(lead, F.col("named")))).drop("message")
     units = _approved(spark, d)
     terms = retrieval.query_terms(asked.select(F.col("message_id").alias("question_id"), F.col("claim").alias("question"), "named"))
-    hits = retrieval.sparse_hits(terms, retrieval.postings(units))
+    hits = retrieval.sparse_hits(terms, retrieval.postings(units, only=terms.select(F.explode("terms").alias("term"))))
     placed = hits.join(units.select("unit_id", "doc_id", "source_slug"), "unit_id").join(terms.select("question_id", "named"), "question_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("hits").desc(), "unit_id"))).filter(F.col("rank") <= 24)
     found = [ranked(df).select(F.col("question_id").alias("message_id"), "doc_id", "rank") for df in (placed, placed.filter("source_slug = named"))]

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import text
 from veridoc.operators import governance as g
-from veridoc.operators import retrieval
-from veridoc.plans.queries import _APPROVED, _POST, _SPARSE, _TERMS, _TOP, NORM, _approved, _nearest, _questions, _sparse, query, table
+from veridoc.operators import retrieval, sparse
+from veridoc.plans.queries import _APPROVED, _POST, _SPARSE, _TERMS, _TOP, NORM, _approved, _asked_terms, _nearest, _questions, _sparse, query, table
 from veridoc.sources.views import view
 
 _CLAIM = "SELECT question_id, turn AS ordinal, question AS text, turn % 3 = 0 AS supported, question_id % 2 = 0 AS valid, turn % 2 = 0 AS grounded, CASE WHEN turn % 4 = 0 THEN 'verbatim' ELSE 'not_checked' END AS entailment FROM v_question_log"
@@ -152,12 +152,16 @@ def R21_weighted_coverage(spark, d):
     return _weighted(spark, d).select("question_id", "unit_id", F.round("weighted_coverage", 6).alias("weighted_coverage"))
 
 
-@query(f"SELECT question_id, unit_id, row_number() OVER (PARTITION BY question_id ORDER BY weighted_coverage DESC, unit_id) AS place FROM ({_WEIGHTED}) w")
+@query(f"""SELECT question_id, unit_id, CAST(score AS BIGINT) AS score, place FROM (SELECT question_id, unit_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, unit_id) AS place FROM (
+    SELECT q.question_id, p.unit_id, sum(w) AS score FROM (SELECT question_id, unnest(terms) AS term FROM ({_TERMS}) x) q
+    JOIN (SELECT term, unit_id, CAST(round(ln(1 + (SELECT count(*) FROM ({_APPROVED}) n) / count(*) OVER (PARTITION BY term)) * 1000000) AS BIGINT) AS w FROM ({_POST}) p) p ON p.term = q.term GROUP BY 1, 2) s) r WHERE place <= 64""")
 def R22_sparse_by_idf(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("question_id").orderBy(F.col("weighted_coverage").desc(), "unit_id")
-    return _weighted(spark, d).select("question_id", "unit_id", F.row_number().over(order).cast("long").alias("place"))
+    """The 64 best of all units that hold a term of the question, by the idf of the terms they hold."""
+    units = _approved(spark, d)
+    index = sparse.blocked_index(units)
+    terms = sparse.weighted_terms(_asked_terms(spark, d), sparse.term_counts(index), units.count())
+    found = sparse.search(terms, index, 64, present=True)
+    return found.select("question_id", "unit_id", "score", F.col("rank").cast("long").alias("place"))
 
 
 @query(f"""SELECT query_id, label AS doc_id, vec_id, concat('E', row_number() OVER (PARTITION BY query_id ORDER BY rank)) AS ref FROM (

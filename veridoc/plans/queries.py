@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import pii, text, vectors
 from veridoc.functions.fixed_values import QUERY_NOISE, STOPWORDS
-from veridoc.operators import evaluation, ingest, retrieval, usage, verification
+from veridoc.functions.shared import written
+from veridoc.operators import evaluation, ingest, retrieval, sparse, usage, verification
 from veridoc.sources.views import oracle, units, view
 
 FLAGSHIP = "R11_hybrid_retrieval"
@@ -303,7 +304,11 @@ def _questions(spark, d):
 
 
 def _sparse(spark, d):
-    return retrieval.sparse_search(_questions(spark, d), retrieval.postings(_approved(spark, d)))
+    return retrieval.sparse_search(_questions(spark, d), retrieval.postings(_approved(spark, d), only=_asked_terms(spark, d)))
+
+
+def _asked_terms(spark, d):
+    return _questions(spark, d).select("question_id", F.explode("terms").alias("term"))
 
 
 @query(f"SELECT unit_id, doc_id, source_slug, CAST(priority AS INT) AS priority FROM ({_APPROVED}) a")
@@ -317,6 +322,15 @@ def R5_sparse_search(spark, d):
     return found.select("question_id", "unit_id", "hits", F.col("rank").cast("long").alias("rank"), "sparse_score")
 
 
+@query(_SPARSE)
+def R5_pruned_search(spark, d):
+    """The same by an index in blocks, of which only those are read that may reach the best."""
+    index = sparse.blocked_index(_approved(spark, d))
+    found = sparse.search(_asked_terms(spark, d).withColumn("weight", F.lit(1).cast("long")), index, retrieval.CANDIDATES)
+    score = F.round(retrieval.cover_density(F.col("score")), 9).alias("sparse_score")
+    return found.select("question_id", "unit_id", F.col("score").alias("hits"), F.col("rank").cast("long").alias("rank"), score)
+
+
 DIM = 64
 _BUCKETS = f"CAST(concat('0x', substr(sha256(term), 1, 8)) AS BIGINT) % {DIM} AS b, CAST(count(*) AS DOUBLE) AS c"
 _QB = f"SELECT question_id, {_BUCKETS} FROM (SELECT question_id, unnest({DISTINCT.format(STEMS.format('question'))}) AS term FROM v_questions) t GROUP BY 1, 2"
@@ -336,9 +350,10 @@ _HYBRID = f"SELECT *, s AS hybrid, row_number() OVER (PARTITION BY question_id O
 
 
 def _embedded(spark, d):
-    """Questions and approved units with their term-hash vectors."""
+    """Questions, and approved units with their stems and term-hash vectors, written once for all that reads them."""
     q = _questions(spark, d).withColumn("embedding", vectors.hash_embed(text.content_terms("question"), DIM))
-    return q, _approved(spark, d).withColumn("embedding", vectors.hash_embed(text.content_terms("content"), DIM))
+    u = _approved(spark, d).select("unit_id", "doc_id", "source_slug", "title", "content", text.stems("content").alias("stems"))
+    return q, written(u.withColumn("embedding", vectors.hash_embed(F.array_distinct("stems"), DIM)), "unit-index")
 
 
 @query(f"""SELECT q.question_id, r.i AS bucket, round(coalesce(x.c / x.n, 0.0), 6) AS weight FROM v_questions q, range({DIM}) r(i)
@@ -355,9 +370,10 @@ def R3_dense_search(spark, d):
     return found.select("question_id", "unit_id", F.round("dense_score", 9).alias("dense_score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _pooled(spark, d):
-    q, u = _embedded(spark, d)
-    sparse = retrieval.sparse_search(q, retrieval.postings(u))
+def _pooled(spark, d, index=None):
+    q, u = index or _embedded(spark, d)
+    only = q.select(F.explode("terms").alias("term"))
+    sparse = retrieval.sparse_search(q, retrieval.postings(u, only=only))
     both = [df.select(key, F.col("embedding").alias(name)) for df, key, name in ((q, "question_id", "_q"), (u, "unit_id", "_u"))]
     carried = F.round(vectors.cosine(F.col("_q"), F.col("_u")), retrieval.DIGITS).alias("dense_score")
     sparse = sparse.join(both[0], "question_id").join(both[1], "unit_id").select("question_id", "unit_id", "hits", "rank", "sparse_score", carried)
@@ -374,9 +390,9 @@ def _ranked(spark, d):
     """Candidates of both searches with coverage and hybrid rank."""
     from pyspark.sql import Window
 
-    body = units(spark, d).select("unit_id", "doc_id", "source_slug", "title", "content")
-    joined = _pooled(spark, d).join(body, "unit_id").join(_questions(spark, d).select("question_id", "terms"), "question_id")
-    scored = retrieval.with_coverage(joined)
+    q, u = index = _embedded(spark, d)
+    joined = _pooled(spark, d, index).join(u.drop("embedding"), "unit_id").join(q.select("question_id", "terms"), "question_id")
+    scored = retrieval.with_coverage(joined).drop("stems")
     hybrid = F.round(retrieval.hybrid_score(F.col("dense_score"), F.col("coverage"), F.col("title_coverage")), 9)
     order = Window.partitionBy("question_id").orderBy(F.col("hybrid").desc(), "unit_id")
     return scored.withColumn("hybrid", hybrid).withColumn("rank", F.row_number().over(order))
