@@ -68,3 +68,47 @@ def test_inverted_file_bounds_are_exact_and_cells_are_few(spark):
     near = evaluation.recall(ann.knn_ann(q, v, 7), want, "query_id", "vec_id").first()["recall"]
     assert near >= 0.95
     assert ann.knn_ann(q, v.filter("false"), 7).count() == 0 and ann.knn_ann(q.filter("false"), v, 7).count() == 0
+
+
+def two_rounds(spark, tmp_path, df, split, stream, name):
+    """The rows of a stream over two folders of input, stopped and started again from its checkpoint in between."""
+    from veridoc.streaming import processors
+
+    processors.use_rocksdb(spark)
+    got = []
+    for k, part in enumerate((df.filter(split), df.filter(~split))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        source = spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+        query = stream(source).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-cp")).start(str(tmp_path / f"{name}-out"))
+        run(query)
+        got.append(spark.read.parquet(str(tmp_path / f"{name}-out")).count())
+    assert 0 < got[0] < got[1]
+    return spark.read.parquet(str(tmp_path / f"{name}-out"))
+
+
+def test_budget_stream_restarts_and_equals_the_batch(spark, tmp_path):
+    from veridoc.operators import usage
+    from veridoc.streaming import processors
+
+    rows = [(i, 1704100000 + i * 3000, i % 5 != 4, 0.25 if i % 3 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id long, t long, api_call boolean, cost double").withColumn("ts", F.timestamp_seconds("t"))
+    got = two_rounds(spark, tmp_path, df, F.col("event_id") < 55, lambda s: processors.budget_stream(s, 12, 2.0, "3 days"), "budget")
+    want = {r["event_id"]: tuple(r) for r in usage.budget_gate(df, 12, 2.0).collect()}
+    assert {r["event_id"]: tuple(r) for r in got.collect()} == want and any(r[3] for r in want.values())
+
+
+def test_cache_stream_counts_hits_over_a_restart(spark, tmp_path):
+    from veridoc.streaming import processors
+
+    rows = [(i, 1704100000 + i * 500, f"k{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, t long, key string").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["event_id"]: r for r in two_rounds(spark, tmp_path, df, F.col("event_id") < 31, lambda s: processors.cache_stream(s, 4000, late="3 days"), "cache").collect()}
+    stored, hits, last = {}, {}, {}
+    for i, t, k in rows:
+        hit = k in stored and t < stored[k] + 4000
+        if hit:
+            hits[k], last[k] = hits.get(k, 0) + 1, t
+        else:
+            stored[k] = t
+        assert (got[i]["hit"], got[i]["hits"]) == (hit, hits.get(k, 0))
+        assert (got[i]["last_hit"] and got[i]["last_hit"].timestamp()) == last.get(k)

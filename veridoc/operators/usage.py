@@ -75,7 +75,7 @@ def budget_gate(usage: DataFrame, max_calls: int = 0, max_cost: float = 0.0, pen
     told = before.withColumn("refused", F.col("api_call") & full)
     first = told.filter("refused").groupBy(F.col("day").alias("_day")).agg(F.min_by(F.struct("calls", "spent", "ts", "event_id"), F.struct("ts", "event_id")).alias("stop"))
     told = told.join(first, F.col("day") == F.col("_day"), "left")  # a row for each day
-    late = F.coalesce(F.struct("ts", "event_id") >= F.struct("stop.ts", "stop.event_id"), F.lit(False))
+    late = F.col("stop").isNotNull() & (F.struct("ts", "event_id") >= F.struct("stop.ts", "stop.event_id"))
     held = lambda name: F.when(late, F.col(f"stop.{name}")).otherwise(F.col(name))
     return told.select("event_id", held("calls").alias("made"), (held("spent") / 1e9).alias("spent"), (F.col("api_call") & (F.col("refused") | late)).alias("refused"))
 
