@@ -25,10 +25,10 @@ def token_variants(c: str | Column) -> Column:
 
 def term_hits(questions: DataFrame, lexicon: DataFrame, query: str = "question_id", text: str = "question") -> DataFrame:
     """(question, kind, topic, ord, term) of every lexicon term a question holds."""
-    terms = lexicon.select("kind", "topic", "ord", "term", normalize("term").alias("_n"))
+    terms = lexicon.select("kind", "topic", "ord", "term", normalize("term").alias("_n")).filter("_n <> ''")
     single, phrase = terms.filter(~F.col("_n").contains(" ")), terms.filter(F.col("_n").contains(" "))
     asked = questions.select(query, F.explode(token_variants(text)).alias("_v"))
-    bare = F.when(F.col("_n").startswith("ال") & (F.length("_n") > 4), F.substring("_n", 3, 100))
+    bare = F.when(F.col("_n").startswith("ال"), F.expr("substring(_n, 3)"))
     forms = single.withColumn("_v", F.explode(F.array_compact(F.array(F.col("_n"), bare))))
     one = asked.join(forms, "_v").select(query, "kind", "topic", "ord", "term").distinct()
     padded = questions.select(query, F.concat(F.lit(" "), normalize(text), F.lit(" ")).alias("_p"))
@@ -39,22 +39,39 @@ def term_hits(questions: DataFrame, lexicon: DataFrame, query: str = "question_i
     return one.unionByName(many.select(query, "kind", "topic", "ord", "term")).distinct()
 
 
+def matches(questions: DataFrame, lexicon: DataFrame, query: str = "question_id", text: str = "question") -> DataFrame:
+    """``questions`` with the lexicon terms each holds (``matched``), in the lexicon's order; equal terms of two entries come twice."""
+    hits = term_hits(questions, lexicon, query, text)
+    own = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "kind", "topic"))), lambda h: h["term"])
+    found = hits.groupBy(F.col(query).alias("_q")).agg(own.alias("matched"))
+    return questions.join(found, F.col(query) == F.col("_q"), "left").drop("_q").withColumn("matched", F.coalesce("matched", _NONE()))
+
+
+def _NONE() -> Column:  # noqa: N802
+    return F.array().cast("array<string>")
+
+
 def classify_sensitivity(questions: DataFrame, lexicon: DataFrame, query: str = "question_id", text: str = "question") -> DataFrame:
-    """One row per question: level, sorted topics and terms."""
+    """One row per question: level, topics, terms and markers, each in the order of the lexicon.
+
+    A high-risk term settles the level; topics and terms are then those of high risk alone, and markers are not looked at.
+    """
     hits = term_hits(questions, lexicon, query, text)
-    per = hits.groupBy(query).agg(
-        F.bool_or(F.col("kind") == "high_risk").alias("_risk"), F.bool_or(F.col("kind") == "personal").alias("_personal"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "topic", F.col("topic")))).alias("topics"),
-        F.array_sort(F.collect_set("term")).alias("terms"),
+    of = lambda kind, field: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", F.col(field).alias("x"))))), lambda h: h["x"])
+    per = hits.groupBy(F.col(query).alias("_q")).agg(
+        of("high_risk", "term").alias("_risk"), F.array_distinct(of("topic", "topic")).alias("_topics"),
+        of("topic", "term").alias("_terms"), of("personal", "term").alias("_markers"),
     )
-    some = F.size("topics") > 0
-    level = (
-        F.when(F.coalesce("_risk", F.lit(False)), "high_risk").when(some & F.col("_personal"), "personal_case")
-        .when(some, "sensitive_topic").otherwise("general")
+    out = questions.select(query).join(per, F.col(query) == F.col("_q"), "left")
+    for c in ("_risk", "_topics", "_terms", "_markers"):
+        out = out.withColumn(c, F.coalesce(c, _NONE()))
+    risk, some = F.size("_risk") > 0, F.size("_topics") > 0
+    level = F.when(risk, "high_risk").when(some & (F.size("_markers") > 0), "personal_case").when(some, "sensitive_topic").otherwise("general")
+    return out.select(
+        query, level.alias("level"), F.when(risk, F.array(F.lit("high_risk"))).otherwise(F.col("_topics")).alias("topics"),
+        F.when(risk, F.col("_risk")).otherwise(F.col("_terms")).alias("terms"), F.when(risk, _NONE()).otherwise(F.col("_markers")).alias("markers"),
     )
-    none = F.array().cast("array<string>")
-    out = questions.select(query).join(per, query, "left").withColumn("topics", F.coalesce("topics", none))
-    return out.select(query, level.alias("level"), "topics", F.coalesce("terms", none).alias("terms"))
 
 
 def max_level(a: Column, b: Column) -> Column:
@@ -64,23 +81,32 @@ def max_level(a: Column, b: Column) -> Column:
 
 
 def raise_with_labels(rules: DataFrame, labels: DataFrame, query: str = "question_id") -> DataFrame:
-    """An external label may only raise the level; topics are joined."""
-    l = labels.select(query, F.col("level").alias("_l"))
-    raised = max_level(F.col("level"), F.coalesce("_l", F.lit("general")))
-    return rules.join(l, query, "left").withColumn("level", raised).drop("_l")
+    """An external label (level, topics) may only raise the level; topics are joined and sorted.
+
+    A label of a sensitive topic or a personal case that names no topic counts as general.
+    """
+    own = F.coalesce("topics", _NONE()) if "topics" in labels.columns else _NONE()
+    l = labels.select(F.col(query).alias("_q"), F.col("level").alias("_l"), own.alias("_t"))
+    vague = F.col("_l").isin("sensitive_topic", "personal_case") & (F.size("_t") == 0)
+    joined = rules.join(l, F.col(query) == F.col("_q"), "left")
+    raised = max_level(F.col("level"), F.when(vague, "general").otherwise(F.coalesce("_l", F.lit("general"))))
+    topics = F.array_sort(F.array_union("topics", F.coalesce("_t", _NONE())))
+    return joined.withColumn("level", raised).withColumn("topics", topics).drop("_q", "_l", "_t")
 
 
 def missing_slot(questions: DataFrame, rules: DataFrame, query: str = "question_id", text: str = "question") -> DataFrame:
-    """First rule (by ord) with a trigger, its context if it has any, and no exception.
+    """First rule (by ord) with a trigger, its context if it has any, a first-person marker if it asks for one, and no exception.
 
-    rules: (rule, ord, role, term) with roles when, context, unless.
+    rules: (rule, ord, role, term) with roles when, context, unless, and first_person, whose terms are the markers; a rule without
+    rows of that role does not ask for one.
     """
-    needs = rules.groupBy("rule", "ord").agg(F.bool_or(F.col("role") == "context").alias("_needs"))
+    asks = lambda role: F.bool_or(F.col("role") == role)
+    needs = rules.groupBy("rule", "ord").agg(asks("context").alias("_context"), asks("first_person").alias("_person"))
     hits = term_hits(questions, rules.select(F.col("role").alias("kind"), F.col("rule").alias("topic"), "ord", "term"), query, text)
-    per = hits.groupBy(query, F.col("topic").alias("rule"), "ord").agg(*(F.bool_or(F.col("kind") == r).alias(r) for r in ("when", "context", "unless")))
-    fine = per.join(needs, ["rule", "ord"]).filter(F.col("when") & (~F.col("_needs") | F.col("context")) & ~F.col("unless"))
-    first = fine.groupBy(query).agg(F.min_by("rule", "ord").alias("rule"))
-    return questions.select(query).join(first, query, "left")
+    per = hits.groupBy(query, F.col("topic").alias("rule"), "ord").agg(*(F.bool_or(F.col("kind") == r).alias(r) for r in ("when", "context", "unless", "first_person")))
+    met = F.col("when") & (~F.col("_context") | F.col("context")) & (~F.col("_person") | F.col("first_person")) & ~F.col("unless")
+    first = per.join(needs, ["rule", "ord"]).filter(met).groupBy(F.col(query).alias("_q")).agg(F.min_by("rule", "ord").alias("rule"))
+    return questions.select(query).join(first, F.col(query) == F.col("_q"), "left").drop("_q")
 
 
 def route(questions: DataFrame) -> DataFrame:

@@ -20,9 +20,28 @@ def C2_term_hits(spark, d):
     return classify.term_hits(view(spark, d, "v_question_log"), spark.sql(LEXICON))
 
 
+_ARABIC = """SELECT 'topic' AS kind, 'prayer' AS topic, 3 AS ord, 'الصلاة' AS term UNION ALL SELECT 'topic', 'travel', 1, 'السفر' UNION ALL SELECT 'topic', 'fast', 2, 'صيام رمضان'
+    UNION ALL SELECT 'personal', 'me', 4, 'زوجي'"""
+
+
+@query("""SELECT question_id, array_to_string(list_filter([CASE WHEN question_id % 3 = 1 THEN 'السفر' END, CASE WHEN question_id % 2 = 0 THEN 'صيام رمضان' END,
+    CASE WHEN question_id % 3 <> 1 THEN 'الصلاة' END, CASE WHEN question_id % 5 = 0 THEN 'زوجي' END], lambda t: t IS NOT NULL), '|') AS matched FROM v_questions""")
+def C3_matches(spark, d):
+    """Questions led by Arabic words, with articles and conjunctions attached, against a lexicon: its terms in its order."""
+    i = F.col("question_id")
+    words = F.concat_ws(
+        " ", F.when(i % 5 == 0, "وزوجي"), F.when(i % 3 == 1, "بالسّفر").otherwise("للصلاة"), F.when(i % 2 == 0, "في صيامِ رمضانَ؟").otherwise("رمضان بلا صيام"), "question"
+    )
+    asked = view(spark, d, "v_questions").select("question_id", words.alias("question"))
+    return classify.matches(asked, spark.sql(_ARABIC)).select("question_id", F.array_join("matched", "|").alias("matched"))
+
+
 _LEVEL = f"""SELECT q.question_id, CASE WHEN h.risk THEN 'high_risk' WHEN h.n > 0 AND h.personal THEN 'personal_case' WHEN h.n > 0 THEN 'sensitive_topic' ELSE 'general' END AS level,
-    coalesce(h.topics, '') AS topics FROM v_question_log q LEFT JOIN (SELECT question_id, bool_or(kind = 'high_risk') AS risk, bool_or(kind = 'personal') AS personal,
-      count(*) FILTER (kind = 'topic') AS n, array_to_string(list_sort(list(DISTINCT topic) FILTER (kind = 'topic')), ',') AS topics FROM ({_HITS}) x GROUP BY 1) h ON h.question_id = q.question_id"""
+    coalesce(CASE WHEN h.risk THEN 'high_risk' ELSE h.topics END, '') AS topics, coalesce(CASE WHEN h.risk THEN h.risks ELSE h.terms END, '') AS terms,
+    coalesce(CASE WHEN NOT h.risk THEN h.markers END, '') AS markers
+    FROM v_question_log q LEFT JOIN (SELECT question_id, bool_or(kind = 'high_risk') AS risk, bool_or(kind = 'personal') AS personal, count(*) FILTER (kind = 'topic') AS n,
+      string_agg(topic, ',' ORDER BY ord) FILTER (kind = 'topic') AS topics, string_agg(term, ',' ORDER BY ord) FILTER (kind = 'topic') AS terms,
+      string_agg(term, ',' ORDER BY ord) FILTER (kind = 'high_risk') AS risks, string_agg(term, ',' ORDER BY ord) FILTER (kind = 'personal') AS markers FROM ({_HITS}) x GROUP BY 1) h ON h.question_id = q.question_id"""
 
 
 def _levels(spark, d):
@@ -31,22 +50,26 @@ def _levels(spark, d):
 
 @query(_LEVEL)
 def C4_classify_sensitivity(spark, d):
-    return _levels(spark, d).select("question_id", "level", F.array_join("topics", ",").alias("topics"))
+    return _levels(spark, d).select("question_id", "level", *(F.array_join(c, ",").alias(c) for c in ("topics", "terms", "markers")))
 
 
-@query(f"""SELECT question_id, CASE WHEN question_id % 3 = 0 AND level IN ('general', 'sensitive_topic') THEN 'personal_case' ELSE level END AS level FROM ({_LEVEL}) x""")
+@query(f"""SELECT question_id, CASE WHEN question_id % 6 = 0 AND level IN ('general', 'sensitive_topic') THEN 'personal_case' ELSE level END AS level,
+    array_to_string(list_sort(list_distinct(list_concat(CASE WHEN topics = '' THEN [] ELSE string_split(topics, ',') END, CASE WHEN question_id % 6 = 0 THEN ['alpha', 'zeta'] ELSE [] END))), ',') AS topics FROM ({_LEVEL}) x""")
 def C6_raise_with_labels(spark, d):
-    labels = view(spark, d, "v_question_log").filter("question_id % 3 = 0").select("question_id", F.lit("personal_case").alias("level"))
-    return classify.raise_with_labels(_levels(spark, d), labels).select("question_id", "level")
+    """Labels of a personal case: every second one without topics, so that it counts as general."""
+    topics = F.when(F.col("question_id") % 6 == 0, F.array(F.lit("zeta"), F.lit("alpha")))
+    labels = view(spark, d, "v_question_log").filter("question_id % 3 = 0").select("question_id", F.lit("personal_case").alias("level"), topics.alias("topics"))
+    return classify.raise_with_labels(_levels(spark, d), labels).select("question_id", "level", F.array_join("topics", ",").alias("topics"))
 
 
 RULES = """SELECT 'r1' AS rule, 1 AS ord, 'when' AS role, 'the' AS term UNION ALL SELECT 'r1', 1, 'context', 'and' UNION ALL SELECT 'r1', 1, 'unless', 'from'
-    UNION ALL SELECT 'r2', 2, 'when', 'la' UNION ALL SELECT 'r3', 3, 'when', 'of'"""
+    UNION ALL SELECT 'r2', 2, 'when', 'la'
+    UNION ALL SELECT 'r2', 2, 'first_person', 'el' UNION ALL SELECT 'r2', 2, 'first_person', 'and' UNION ALL SELECT 'r3', 3, 'when', 'of'"""
 
 
 @query(f"""SELECT q.question_id, r.rule FROM v_question_log q LEFT JOIN (SELECT question_id, arg_min(rule, ord) AS rule FROM (
     SELECT q.question_id, l.rule, l.ord FROM v_question_log q JOIN ({RULES}) l ON contains(concat(' ', {NORM.format("coalesce(q.question, '')")}, ' '), concat(' ', l.term, ' '))
-    GROUP BY 1, 2, 3 HAVING bool_or(l.role = 'when') AND (l.rule <> 'r1' OR bool_or(l.role = 'context')) AND NOT bool_or(l.role = 'unless')) x GROUP BY 1) r ON r.question_id = q.question_id""")
+    GROUP BY 1, 2, 3 HAVING bool_or(l.role = 'when') AND (l.rule <> 'r1' OR bool_or(l.role = 'context')) AND (l.rule <> 'r2' OR bool_or(l.role = 'first_person')) AND NOT bool_or(l.role = 'unless')) x GROUP BY 1) r ON r.question_id = q.question_id""")
 def C12_missing_slot(spark, d):
     return classify.missing_slot(view(spark, d, "v_question_log"), spark.sql(RULES))
 
