@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veridoc.operators import ann, evaluation, retrieval
+from veridoc.operators.index_store import IndexStore
 from veridoc.streaming import stateful
 
 
@@ -36,8 +37,40 @@ def test_cache_misses(spark, tmp_path):
 def test_ingest_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, "x", 1)], "id int, body string, fetched_at int")
     source = stream_of(spark, df, tmp_path, "snaps")
-    run(stateful.ingest_stream(source, str(tmp_path / "corpus"), ["id"], ["body", "fetched_at"], str(tmp_path / "cp")))
-    assert {r["id"]: r["body"] for r in spark.read.parquet(str(tmp_path / "corpus/version=0")).collect()} == {1: "new", 2: "x"}
+    run(stateful.ingest_stream(source, str(tmp_path / "corpus"), "id", str(tmp_path / "cp")))
+    later = spark.createDataFrame([(2, "older", 0), (1, "newest", 3), (3, "y", 1)], "id int, body string, fetched_at int")
+    later.coalesce(1).write.mode("append").parquet(str(tmp_path / "snaps"))
+    run(stateful.ingest_stream(source, str(tmp_path / "corpus"), "id", str(tmp_path / "cp")))
+    store = IndexStore(spark, str(tmp_path / "corpus"), "id")
+    assert {r["id"]: r["body"] for r in store.read().collect()} == {1: "newest", 2: "x", 3: "y"}
+
+
+def size_of(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_index_store_equals_a_rebuild_and_writes_what_changed(spark, tmp_path):
+    """Batches of changes, deletions and repeats: the rows are those of a rebuild; a broken-off run is invisible."""
+    import random
+
+    rng, now, store = random.Random(2), {}, IndexStore(spark, str(tmp_path / "index"))
+    for batch in range(7):
+        ids = range(2000) if not batch else rng.sample(range(2100), 20)
+        change = {i: [f"{i} {batch} {k} " + "x" * 200 for k in range(rng.randrange(0, 4))] for i in ids}
+        before = size_of(tmp_path / "index") if batch else 0
+        rows = spark.createDataFrame([(i, k, c) for i, cs in change.items() for k, c in enumerate(cs)], "doc_id int, ordinal int, content string").coalesce(2)
+        touched = spark.createDataFrame([(i,) for i in ids], "doc_id int").coalesce(1)
+        if batch == 4:  # broken off before the manifest was written
+            store._write((0, 4, 4), rows.withColumn("content", F.lit("wrong")), touched)
+            assert {(r["doc_id"], r["ordinal"], r["content"]) for r in store.read().collect()} == {(i, k, c) for i, cs in now.items() for k, c in enumerate(cs)}
+        now |= change
+        store.apply(rows, touched, batch)
+        store.apply(rows.withColumn("content", F.lit("again")), touched, batch)
+        got = [(r["doc_id"], r["ordinal"], r["content"]) for r in store.read().collect()]
+        assert len(got) == len(set(got)) and set(got) == {(i, k, c) for i, cs in now.items() for k, c in enumerate(cs)}
+        if batch in (2, 4, 6):  # no merge with the first run
+            assert size_of(tmp_path / "index") - before < before / 8
+    assert [r[1:] for r in store.runs()] == [(0, 3), (4, 5), (6, 6)]
 
 
 def test_approximate_search_recall(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions.text import normalize, search_text, stems
 from veridoc.functions.vectors import hash_embed
+from veridoc.operators.index_store import IndexStore
 from veridoc.operators.chunking import chunks
 
 
@@ -158,6 +159,12 @@ def index_documents(docs: DataFrame, indexed: DataFrame | None, dim: int, model:
     return indexed.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").select(*fresh.columns).unionByName(fresh)
 
 
+def update_index(store: IndexStore, docs: DataFrame, dim: int, model: str, batch: int, gone: DataFrame | None = None) -> None:
+    """Index the documents of a batch, and drop those in ``gone`` (doc_id), writing what belongs to them alone."""
+    touched = docs.select("doc_id") if gone is None else docs.select("doc_id").unionByName(gone.select("doc_id"))
+    store.apply(index_documents(docs, None, dim, model), touched, batch)
+
+
 def reindex(docs: DataFrame, sources: DataFrame, indexed: DataFrame | None, dim: int, model: str, slug: str | None = None) -> DataFrame:
     """The index after all documents of sources that are not blocked, or of one such source, were indexed anew."""
     open_ = sources.filter("status <> 'blocked'") if slug is None else sources.filter((F.col("slug") == slug) & (F.col("status") != "blocked"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
+from veridoc.functions.shared import shared_dir
 from veridoc.operators import attribution as A
 from veridoc.operators import ingest, retrieval, verification
+from veridoc.operators.index_store import IndexStore
 from veridoc.plans.queries import _TOP, NORM, _approved, _nearest, query, table
 from veridoc.sources import snapshots
 from veridoc.sources.views import view
@@ -147,3 +151,18 @@ def W6_redact_stream(spark, d):
 def W8_split_late(spark, d):
     arrived = table(spark, d, "events").withColumn("batch", F.col("event_id") * 7 % 100)
     return stateful.split_late(arrived, "10 DAYS").select("event_id", "late")
+
+
+@query(r"""SELECT doc_id, count(*) AS units, sha256(string_agg(content, chr(10) ORDER BY pos)) AS told FROM (
+    SELECT doc_id, unnest(string_split(body, chr(10))) AS content, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM v_docs_next) l
+    WHERE regexp_matches(content, '\S') GROUP BY doc_id""")
+def S11_incremental_index(spark, d):
+    """The lines of all documents indexed, then those of changed and new documents alone, and what is gone dropped: a rebuild's rows."""
+    old, new = view(spark, d, "v_docs").select("doc_id", "body"), view(spark, d, "v_docs_next").select("doc_id", "body")
+    lines = lambda docs: docs.select("doc_id", F.posexplode(F.split("body", "\n")).alias("pos", "content")).filter(F.col("content").rlike(r"\S"))
+    store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    store.apply(lines(old), old.select("doc_id"), 0)
+    changed = new.join(old, ["doc_id", "body"], "left_anti")
+    store.apply(lines(changed), changed.select("doc_id").unionByName(old.select("doc_id").join(new, "doc_id", "left_anti")), 1)
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")
+    return store.read().groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sha2(told, 256).alias("told"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veridoc.operators.ingest import upsert
+from veridoc.operators.index_store import IndexStore
 
 
 def daily_budget(calls: DataFrame, max_cost: float, late: str = "1 day") -> DataFrame:
@@ -49,21 +49,23 @@ def cache_misses(requests: DataFrame, key: str = "key", ttl: str = "1 hour") ->
     return timed.dropDuplicatesWithinWatermark([key])
 
 
-def ingest_stream(snapshots: DataFrame, path: str, keys: list[str], columns: list[str], checkpoint: str):
-    """Keep a Parquet corpus up to date from a stream of snapshots.
+def ingest_stream(snapshots: DataFrame, path: str, key: str, checkpoint: str):
+    """Keep a corpus up to date from a stream of snapshots (key, fetched_at, ...), the newest of a key counting.
 
-    Each batch writes a new version of the corpus beside the last one, so a rerun batch overwrites only its own version.
-    Returns the started query; the newest version is the largest ``version=`` folder.
+    Each batch adds one run to the :class:`~veridoc.operators.index_store.IndexStore` below ``path``: it writes its own documents
+    and, once in a while, a merge of runs, never the whole corpus.  A rerun batch changes nothing.  Returns the started query.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.groupBy(*keys).agg(F.max(F.struct("fetched_at", *[c for c in batch.columns if c not in (*keys, "fetched_at")])).alias("s"))
-        latest = latest.select(*keys, "s.*").select(*batch.columns)
-        merged = latest if number == 0 else upsert(spark.read.parquet(f"{path}/version={number - 1}"), latest, keys, columns)
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
+    def take(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c not in (key, "fetched_at")]
+        latest = batch.groupBy(key).agg(F.max(F.struct("fetched_at", *rest)).alias("s")).select(key, "s.*").select(*batch.columns)
+        store = IndexStore(batch.sparkSession, path, key)
+        older = store.read().select(key, F.col("fetched_at").alias("_at")) if store.runs() else None
+        if older is not None:  # a snapshot older than what is stored is left aside
+            latest = latest.join(older, key, "left").filter(F.col("_at").isNull() | (F.col("fetched_at") >= F.col("_at"))).drop("_at")
+        store.apply(latest, latest.select(key), number)
 
-    return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+    return snapshots.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).start()
 
 
 def split_late(events: DataFrame, delay: str, batch: str = "batch", ts: str = "ts") -> DataFrame:
