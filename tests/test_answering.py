@@ -34,7 +34,7 @@ def test_claims_prompts_and_questions(spark):
     assert [r["problem"] for r in A.validate_questions(q).orderBy("question_id").collect()] == [None, "too short"]
     t = spark.createDataFrame([(1, "gate", "ok"), (1, "verification", "failed")], "question_id int, stage string, status string")
     assert A.group_stages(t).collect()[0]["status"] == "blocked"
-    support = A.lexical_support(F.array(F.lit("a"), F.lit("b"), F.lit("q")), F.array(F.lit("q")), F.array(F.lit("a")))
+    support = A.lexical_support(F.lit("Yes, apples and bridges quickly"), F.lit("Apples here"), F.lit("quickly?"))
     assert spark.range(1).select(support.alias("s")).collect()[0]["s"] == 0.5
 
 
@@ -52,3 +52,16 @@ def test_records(spark, tmp_path):
     assert {(r["slug"], r["page"]) for r in ingest.route_urls(urls, sites, "q", 2).collect()} == {("s", "5"), ("t", "6")}
     ingest.write_results({"q": urls}, str(tmp_path / "out"), "b1")
     assert spark.read.parquet(str(tmp_path / "out/q")).count() == 4
+
+
+def test_lexical_support(spark):
+    """Affixes of person, noise, yes and no, the question's own words, other languages and missing evidence."""
+    rows = [
+        ("yes, travelling shortens prayers", "Prayers are shortened by those who travel.", "what about travel?", 0.667),
+        ("ships sail slowly", "The ship sails.", "", 0.667), ("تقصر الصلاة في بلدك", "المسافرون يقصروا الصلاة في بلده", "", 1.0),
+        ("the ruling is permissible", "nothing here", "", 1.0), ("ships sail", "السفن تبحر في البحر", "", 1.0), ("ships sail", "", "", 1.0), ("ships sail", None, None, 1.0),
+        ("dogs bark", "cats sleep", None, 0.0), (None, "cats", "x", 1.0),
+    ]
+    df = spark.createDataFrame(rows, "claim string, evidence string, question string, want double")
+    got = df.select("claim", "want", A.lexical_support(F.col("claim"), F.col("evidence"), F.col("question")).alias("got")).collect()
+    assert [(r["claim"], r["got"]) for r in got] == [(r["claim"], r["want"]) for r in got]

@@ -17,6 +17,9 @@ QUERY_NOISE = """
 what is the ruling on islam islamic allowed permissible can i is it
 """.split()
 
+# Words of an answer that state no fact.
+YES_NO = ("نعم", "yes", "no")
+
 # Letters that attach to the next word, article prefixes and suffixes of the light stemmer.
 CLITICS = "وفبل"
 PREFIXES = ("وال", "بال", "كال", "فال", "لل", "ال")

@@ -106,6 +106,11 @@ def stems(c: str | Column, drop_noise: bool = False, compose: bool = False) -> C
     return F.filter(F.split(stem_words(words), " "), lambda t: F.length(t) >= 2)
 
 
+def all_stems(c: str | Column, compose: bool = False) -> Column:
+    """Stems of all tokens, stop-words too."""
+    return F.filter(F.split(stem_words(normalize(c, compose)), " "), lambda t: t != "")
+
+
 def content_terms(c: str | Column, drop_noise: bool = False, compose: bool = False) -> Column:
     """Distinct stems in the order first seen."""
     return F.array_distinct(stems(c, drop_noise, compose))
@@ -239,6 +244,6 @@ def concise(sentence: str | Column, terms: Column, most: int = 260, least: int =
     text = _col(sentence)
     parts = F.flatten(F.transform(F.split(text, V.FOOTNOTE), lambda p: cut_long(p, most)))
     pieces = F.filter(F.transform(parts, lambda p: F.rtrim(p, F.lit(" ،,؛;"))), lambda p: F.length(p) >= least)
-    rated = F.transform(pieces, lambda p, k: F.struct(term_overlap(terms, stems(p)).alias("o"), (-k).alias("k"), p.alias("p")))
+    rated = F.transform(pieces, lambda p, k: F.struct(term_overlap(terms, all_stems(p)).alias("o"), (-k).alias("k"), p.alias("p")))
     short = (F.length(text) <= most) & ~text.rlike(V.FOOTNOTE)
     return F.when(short, text).otherwise(F.coalesce(F.array_max(rated)["p"], text))

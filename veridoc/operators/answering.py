@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import quotable_sentences, sanitize, stems, term_overlap
+from veridoc.functions import fixed_values as V
+from veridoc.functions.text import all_stems, bind, content_terms, detect_language, light_stem, person_core, quotable_sentences, sanitize, term_overlap
 
 WINDOW, SUMMARY_OVERLAP, DETAIL_OVERLAP, DETAIL_SCORE, DETAILS = 4, 0.66, 0.34, 0.35, 3
 GROUPS = {"input": "question", "language": "question", "retrieval": "evidence", "generation": "answer", "verification": "check", "gate": "check"}
@@ -21,7 +22,7 @@ def priority_window(evidence: DataFrame, query: str = "question_id") -> DataFram
 def score_sentences(evidence: DataFrame, text: str = "content", terms: str = "terms", similarity: Column | None = None) -> DataFrame:
     """Quotable sentences with overlap and score: 0.6 similarity, 0.3 overlap, 0.05 for an early place and 0.05 for a high rank."""
     cut = evidence.select("*", F.posexplode(quotable_sentences(text)).alias("idx", "sentence"))
-    overlap = term_overlap(F.col(terms), stems("sentence"))
+    overlap = term_overlap(F.col(terms), all_stems("sentence"))
     place = F.when(F.col("idx") == 0, 1.0).when(F.col("idx") == 1, 0.5).otherwise(0.0)
     near = F.lit(0.0) if similarity is None else similarity
     score = 0.6 * near + 0.3 * F.col("overlap") + 0.05 * place + 0.05 * (1 - (F.col("rank") - 1) / WINDOW)
@@ -74,11 +75,24 @@ def also_answered(answering: DataFrame, cited: DataFrame, query: str = "question
     return rest.withColumn("_k", F.row_number().over(Window.partitionBy(query, "url").orderBy("rank"))).filter("_k = 1").drop("_k")
 
 
-def lexical_support(claim_terms: Column, question_terms: Column, evidence_stems: Column) -> Column:
-    """Share of the claim's own terms found in the evidence, to three places; 1 if none are left."""
-    own = F.array_except(claim_terms, question_terms)
-    found = F.filter(own, lambda t: F.array_contains(evidence_stems, t))
-    return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.round(F.size(found) / F.size(own), 3))
+def lexical_support(claim: Column, evidence: Column, question: Column) -> Column:
+    """Share of the claim's own terms that the evidence holds, as a stem or but for affixes of person, to three places.
+
+    Own terms are those that are neither of the question nor query noise, yes or no.  Without own terms or evidence, and where
+    claim and evidence are of different languages, support is 1: the check does not apply.
+    """
+    allowed = F.array_union(content_terms(question), F.array(*(light_stem(F.lit(w)) for w in (*V.QUERY_NOISE, *V.YES_NO))))
+    own = F.array_except(content_terms(claim), allowed)
+
+    def share(terms: Column) -> Column:
+        held = F.array_distinct(all_stems(evidence))
+        cores = bind(held, lambda h: F.array_union(h, F.transform(h, lambda t: F.concat(F.lit("core "), person_core(t)))))
+        found = bind(cores, lambda h: F.filter(terms, lambda t: F.array_contains(h, t) | F.array_contains(h, F.concat(F.lit("core "), person_core(t)))))
+        return F.round(F.size(found) / F.size(terms), 3)
+
+    said = F.coalesce(evidence, F.lit(""))
+    applies = (F.trim(said) != "") & (detect_language(F.coalesce(claim, F.lit(""))) == detect_language(said))
+    return F.when(applies, bind(own, lambda t: F.when(F.size(t) == 0, F.lit(1.0)).otherwise(share(t)))).otherwise(F.lit(1.0))
 
 
 def validate_questions(questions: DataFrame, text: str = "question", least: int = 2, most: int = 1000) -> DataFrame:

@@ -40,6 +40,17 @@ def request_usage(usage: DataFrame, key: str) -> DataFrame:
     )
 
 
+def cache_key(provider: Column, model: Column, settings: Column, task: Column, system: Column, user: Column, schema: Column, max_tokens: Column, version: int = 1) -> Column:
+    """SHA-256 of the request as JSON with sorted keys.  ``settings`` and ``schema`` are JSON texts whose own keys are sorted."""
+    told = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    parts = {
+        "max_tokens": max_tokens.cast("string"), "model": told(model), "provider": told(provider), "schema": schema, "settings": settings,
+        "system": told(system), "task": told(task), "user": told(user), "v": F.lit(str(version)),
+    }
+    pieces = [F.concat(F.lit(f'"{name}": '), F.coalesce(value, F.lit("null"))) for name, value in sorted(parts.items())]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *pieces), F.lit("}")), 256)
+
+
 def today_totals(usage: DataFrame, as_of: Column) -> DataFrame:
     """Calls and cost since the start of the day of ``as_of``."""
     today = usage.filter(F.col("api_call") & (F.col("ts") >= F.date_trunc("DAY", as_of)) & (F.col("ts") <= as_of))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
-from veridoc.operators import ann, chunking, classify, evaluation, retrieval, usage, verification
-from veridoc.plans.queries import _EVIDENCE, _POOL, _RANKS, _TOP, NORM, _first_ranks, _nearest, _pooled, _ranked, query, table
+from veridoc.functions.fixed_values import QUERY_NOISE, YES_NO
+from veridoc.operators import ann, answering, chunking, classify, evaluation, retrieval, usage, verification
+from veridoc.plans.queries import _EVIDENCE, _POOL, _RANKS, _TOP, DISTINCT, NORM, STEM, STEMS, _first_ranks, _list, _nearest, _pooled, _ranked, query, table
 from veridoc.sources.views import units, view
 
 LEXICON = """SELECT 'topic' AS kind, 'alpha' AS topic, 1 AS ord, 'the' AS term UNION ALL SELECT 'topic', 'beta', 2, 'la' UNION ALL SELECT 'topic', 'gamma', 3, 'of the'
@@ -123,10 +125,28 @@ def X1_citation_valid(spark, d):
     return found.select("question_id", "valid")
 
 
-@query("SELECT key, count(*) AS hits FROM (SELECT sha256(concat(model, '|', CAST(input_tokens AS VARCHAR))) AS key FROM v_usage) k GROUP BY key")
+@query("""SELECT question_id, sha256(concat('{"max_tokens": ', CAST(4000 + turn AS VARCHAR), ', "model": "base", "provider": "p", "schema": {"type": "object"}, "settings": {}, "system": ',
+    CAST(to_json('Answer "only" from' || chr(10) || 'evidence é') AS VARCHAR), ', "task": "answer", "user": ', CAST(to_json(question) AS VARCHAR), ', "v": 1}')) AS key FROM v_question_log WHERE question IS NOT NULL""")
 def U6_cache_keys(spark, d):
-    key = F.sha2(F.concat_ws("|", "model", F.col("input_tokens").cast("string")), 256).alias("key")
-    return view(spark, d, "v_usage").select(key).groupBy("key").agg(F.count(F.lit(1)).alias("hits"))
+    q = view(spark, d, "v_question_log").filter("question IS NOT NULL")
+    key = usage.cache_key(F.lit("p"), F.lit("base"), F.lit("{}"), F.lit("answer"), F.lit('Answer "only" from\nevidence é'), F.col("question"), F.lit('{"type": "object"}'), F.col("turn") + 4000)
+    return q.select("question_id", key.alias("key"))
+
+
+_TONGUE = "CASE WHEN NOT regexp_matches({0}, '[A-Za-z]') THEN 'ar' WHEN regexp_matches({0}, '[ğĞşŞıİ]') THEN 'tr' WHEN regexp_matches({0}, '[ɓɗƙƴƁƊƘƳ]') THEN 'ha' ELSE 'en' END"
+_ALL_STEMS = "list_transform(list_filter(string_split(" + NORM + ", ' '), lambda t: t <> ''), lambda t: " + STEM.replace("{{", "{").replace("}}", "}").replace("{", "{{").replace("}", "}}") + ")"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, text AS claim, lag(text) OVER w AS question, lead(text) OVER w AS evidence FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    t AS (SELECT *, list_filter({DISTINCT.format(STEMS.format("coalesce(claim, '')"))}, lambda x: NOT list_contains(list_concat({STEMS.format("coalesce(question, '')")},
+      list_transform({_list((*QUERY_NOISE, *YES_NO))}, lambda t: {STEM.replace("{{", "{").replace("}}", "}")})), x)) AS own, {_ALL_STEMS.format("coalesce(evidence, '')")} AS held FROM c)
+    SELECT conv_id, turn, CASE WHEN trim(coalesce(evidence, '')) = '' OR {_TONGUE.format("coalesce(claim, '')")} <> {_TONGUE.format("coalesce(evidence, '')")} OR len(own) = 0 THEN 1.0
+      ELSE round(len(list_filter(own, lambda x: list_contains(held, x))) / len(own), 3) END AS support FROM t""")
+def X3_lexical_support(spark, d):
+    """Every turn as a claim, with the turn before it as the question and the one after it as evidence."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("claim"), F.lag("text").over(w).alias("question"), F.lead("text").over(w).alias("evidence"))
+    return c.select("conv_id", "turn", answering.lexical_support(F.col("claim"), F.col("evidence"), F.col("question")).alias("support"))
 
 
 @query("SELECT slug FROM v_sources s WHERE status = 'approved' AND slug NOT IN (SELECT source_slug FROM v_docs WHERE status = 'disabled')")
