@@ -145,6 +145,49 @@ def test_segmentation_frequencies():
         assert abs(second[s] / n - sum(p[t] * p[s] / (1 - p[t]) for t in p if t != s)) < 0.03
 
 
+def test_inclusion_scores_make_unbiased_sums():
+    """Drawn without replacement, each segmentation weighted by p / inclusion: the sum of a quantity over the drawn ones is, in
+    the mean, its expectation over all (here of 1, and of the number of pieces)."""
+    import public_tokenizers
+
+    lat = spm_sampling.Lattices(public_tokenizers.path("piece_bpe_32k.model"))
+    text, n = spm_sampling.normalized("cats"), 5000
+
+    def cut(w):
+        if not w:
+            yield ()
+        for b in range(1, len(w) + 1):
+            if w[:b] in lat.piece:
+                yield from ((lat.piece[w[:b]], *rest) for rest in cut(w[b:]))
+
+    every = list(cut(text))
+    weight = np.exp([lat.log_ps[list(c)].sum() for c in every])
+    pieces = float((weight * [len(c) for c in every]).sum() / weight.sum())
+    drawn = spm_sampling.sample_texts([text] * n, np.random.default_rng(11).integers(1, 1 << 58, n).tolist(), lat, 3)
+    for found in drawn[:200]:
+        assert all(0 < f[2] <= 1 for f in found) and len({tuple(lat.spell(f[3])) for f in found}) == len(found)
+    sums = np.array([[sum(math.exp(f[0]) / f[2] * v for f in found for v in [1.0]), sum(math.exp(f[0]) / f[2] * len(lat.spell(f[3])) for f in found)] for found in drawn])
+    error = 4 * sums.std(0) / n**0.5
+    assert np.all(np.abs(sums.mean(0) - [1.0, pieces]) < error) and error[0] < 0.1
+    few = spm_sampling.sample_texts([spm_sampling.normalized("")], [5], lat, 3)[0]
+    assert [f[2] for f in few] == [1.0]  # what has no other segmentation is drawn for sure
+
+
+def test_segmentations_of_unbroken_and_repeated_rows(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    long = "".join("abcdefghij"[i * i % 10] for i in range(12_000))
+    rows = [(1, long, 5), (2, "the cat sat", 6), (2, "the cat sat", 6), (None, "漢字", 7)]
+    got = spm_sampling.sample_segmentations(spark.createDataFrame(rows, "doc_id long, text string, sample int"), path, 3).collect()
+    assert all(r["decoded_ok"] for r in got) and len(got) == 10  # two unknown letters have one segmentation
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"], r["sample"]].append(bytes(r["ids"]))
+    assert all(len(set(by[2, k])) == 1 and len(by[2, k]) == 2 for k in (1, 2, 3))  # repeated rows have one key
+    assert len({by[i, k][0] for k in (1, 2, 3) for i in (1,)}) == 3 and len({by[2, k][0] for k in (1, 2, 3)}) == 3
+
+
 def brute_metrics(text):
     import re
 
