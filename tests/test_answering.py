@@ -32,8 +32,12 @@ def test_claims_prompts_and_questions(spark):
     prompts = {r["question_id"]: r["prompt"] for r in A.build_prompts(q, ev).collect()}
     assert prompts["q"].startswith("Question: why ‹b›?\n<evidence ref=E1>\nt\nc‹\n</evidence>\n<evidence ref=E2>") and prompts["r"] == "Question: x\n"
     assert [r["problem"] for r in A.validate_questions(q).orderBy("question_id").collect()] == [None, "too short"]
-    t = spark.createDataFrame([(1, "gate", "ok"), (1, "verification", "failed")], "question_id int, stage string, status string")
-    assert A.group_stages(t).collect()[0]["status"] == "blocked"
+    t = spark.createDataFrame([(1, "safety_gate", "ok"), (1, "verification", "failed"), (1, "intent", "ok"), (1, "other", "failed")], "question_id int, stage string, status string")
+    assert [r["status"] for r in A.group_stages(t).orderBy("place").collect()] == ["empty", "done", "empty", "empty", "empty", "blocked", "done"]
+    r = spark.createDataFrame([("a", None), (None, " "), (None, "x" * 301), ("o" * 65, "x")], "option_id string, text string")
+    assert [x["problem"] for x in A.validate_replies(r).collect()] == [None, "nothing said", "text too long", "option too long"]
+    where = spark.createDataFrame([("why", "ar", None), ("why", "xx", "text"), ("why", None, "fax")], "question string, locale string, channel string")
+    assert [x["problem"] for x in A.validate_questions(where).collect()] == [None, "unknown locale", "unknown channel"]
     support = A.lexical_support(F.lit("Yes, apples and bridges quickly"), F.lit("Apples here"), F.lit("quickly?"))
     assert spark.range(1).select(support.alias("s")).collect()[0]["s"] == 0.5
 

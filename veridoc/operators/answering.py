@@ -9,7 +9,12 @@ from veridoc.functions import fixed_values as V
 from veridoc.functions.text import all_stems, bind, content_terms, detect_language, light_stem, person_core, quotable_sentences, sanitize, term_overlap
 
 WINDOW, SUMMARY_OVERLAP, DETAIL_OVERLAP, DETAIL_SCORE, DETAILS = 4, 0.66, 0.34, 0.35, 3
-GROUPS = {"input": "question", "language": "question", "retrieval": "evidence", "generation": "answer", "verification": "check", "gate": "check"}
+# The stages of a trace in the groups they are shown in, and the interfaces a question may come from.
+GROUPS = {
+    "question": ["pii"], "analysis": ["language", "normalization", "intent", "sensitivity", "clarification"], "sources": ["live_search", "retrieval"],
+    "evidence": ["rerank"], "claims": ["generation", "claims"], "verification": ["verification"], "answer": ["safety_gate"],
+}
+LOCALES, CHANNELS = ("ar", "en", "ur", "hi", "bn", "tr", "id", "ms", "uz", "kk", "ha"), ("text", "voice")
 
 
 def priority_window(evidence: DataFrame, query: str = "question_id") -> DataFrame:
@@ -96,14 +101,27 @@ def lexical_support(claim: Column, evidence: Column, question: Column) -> Column
 
 
 def validate_questions(questions: DataFrame, text: str = "question", least: int = 2, most: int = 1000) -> DataFrame:
-    """Questions with ``problem``: null when accepted."""
+    """Questions with ``problem``: null when accepted.  A locale and a channel, where there are such columns, must be known or null."""
     n = F.length(F.trim(F.coalesce(F.col(text), F.lit(""))))
-    return questions.withColumn("problem", F.when(n < least, "too short").when(n > most, "too long"))
+    problem = F.when(n < least, "too short").when(n > most, "too long")
+    for column, known in (("locale", LOCALES), ("channel", CHANNELS)):
+        if column in questions.columns:
+            problem = problem.when(~F.coalesce(F.col(column).isin(*known), F.lit(True)), f"unknown {column}")
+    return questions.withColumn("problem", problem)
+
+
+def validate_replies(replies: DataFrame, option: str = "option_id", text: str = "text") -> DataFrame:
+    """Replies to a clarification with ``problem``: an option of at most 64 characters or a text of at most 300 is needed."""
+    said, chosen = F.trim(F.coalesce(F.col(text), F.lit(""))), F.coalesce(F.col(option), F.lit(""))
+    problem = F.when(F.length(chosen) > 64, "option too long").when(F.length(said) > 300, "text too long").when((said == "") & (chosen == ""), "nothing said")
+    return replies.withColumn("problem", problem)
 
 
 def group_stages(trace: DataFrame, query: str = "question_id") -> DataFrame:
-    """Stage rows folded into groups; a group is blocked if any of its stages is."""
-    pairs = F.create_map(*(F.lit(x) for kv in GROUPS.items() for x in kv))
-    return trace.withColumn("group", F.coalesce(pairs[F.col("stage")], F.lit("other"))).groupBy(query, "group").agg(
+    """(query, place, group, status): every question's seven groups in order; blocked if a stage is blocked or failed, empty without stages."""
+    pairs = F.create_map(*(F.lit(x) for g, stages in GROUPS.items() for s in stages for x in (s, g)))
+    told = trace.withColumn("group", pairs[F.col("stage")]).filter("group IS NOT NULL").groupBy(query, "group").agg(
         F.when(F.bool_or(F.col("status").isin("blocked", "failed")), "blocked").otherwise("done").alias("status")
     )
+    every = trace.select(query).distinct().select(query, F.posexplode(F.array(*map(F.lit, GROUPS))).alias("place", "group"))
+    return every.join(told, [query, "group"], "left").select(query, "place", "group", F.coalesce("status", F.lit("empty")).alias("status"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +59,36 @@ def today_totals(usage: DataFrame, as_of: Column) -> DataFrame:
     return today.agg(F.count(F.lit(1)).alias("api_calls"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost"))
 
 
-def usage_report(usage: DataFrame) -> DataFrame:
-    """Totals overall and per status in one pass."""
-    report = usage.groupingSets([["status"], []], "status").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.round(F.count_if(F.col("status") == "cache_hit") / F.nullif(F.count(F.lit(1)), F.lit(0)), 3).alias("hit_rate"),
+def usage_report(calls: DataFrame, answers: DataFrame, as_of: Column, session: str = "session_id") -> DataFrame:
+    """Per scope, ``today`` (since the start of the day of ``as_of``) and every session: questions, those resolved without a model,
+    calls, hits and their rate, refusals, tokens, cost, cost a question, unpriced calls.
+
+    calls: (session, ts, status, api_call, input_tokens, output_tokens, cost); answers: (session, ts, model_calls), an answer whose
+    model calls were not recorded being left out.  Rates without a denominator are null.
+    """
+    def scoped(df: DataFrame) -> DataFrame:
+        today = F.when((F.col("ts") >= F.date_trunc("DAY", as_of)) & (F.col("ts") <= as_of), F.lit("today"))
+        return df.withColumn("scope", F.explode(F.array_compact(F.array(today, F.concat(F.lit("session "), F.col(session).cast("string"))))))
+
+    call = F.col("api_call")
+    total = lambda c: F.coalesce(F.sum(F.when(call, F.col(c))), F.lit(0))
+    made = scoped(calls).groupBy("scope").agg(
+        F.count_if(call).alias("api_calls"), F.count_if(F.col("status") == "cache_hit").alias("cache_hits"),
+        F.count_if(F.col("status") == "budget_exceeded").alias("refusals"), total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"),
+        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("_cost"), F.count_if(call & F.col("cost").isNull()).alias("unpriced_calls"),
+    )
+    asked = scoped(answers.filter(F.col("model_calls").isNotNull())).groupBy("scope").agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if(F.col("model_calls") == 0).alias("resolved_without")
+    )
+    both = made.join(asked, "scope", "full_outer")
+    counts = [c for c in both.columns if c not in ("scope", "_cost")]
+    both = both.na.fill(0, counts).na.fill(0.0, ["_cost"])
+    some = lambda c: F.nullif(c, F.lit(0))
+    near = lambda c, digits: F.round(F.round(c, 9), digits)  # noqa: E731  halves go up, whatever the order of adding left behind
+    return both.select(
+        "scope", *counts, near(F.col("cache_hits") / some(F.col("api_calls") + F.col("cache_hits")), 3).alias("hit_rate"),
+        near(F.col("_cost"), 4).alias("cost"), near(F.col("_cost") / some(F.col("questions")), 5).alias("cost_per_question"),
     )
-    return report.withColumn("status", F.coalesce("status", F.lit("all")))
 
 
 def budget_gate(usage: DataFrame, max_calls: int = 0, max_cost: float = 0.0, pending: str | None = None) -> DataFrame:
@@ -124,11 +149,45 @@ def outcome_share(answers: DataFrame) -> DataFrame:
     return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-def content_gaps(questions: DataFrame, answers: DataFrame, normalized: Column, limit: int = 10) -> DataFrame:
-    """Most frequent abstained questions by normalized text."""
-    gaps = answers.filter("outcome = 'abstention'").join(questions, "question_id").groupBy(normalized.alias("key"))
-    found = gaps.agg(F.min("question").alias("question"), F.min("reason").alias("reason"), F.count(F.lit(1)).alias("n"))
-    return found.orderBy(F.col("n").desc(), "key").limit(limit)
+GAP_REASONS = ("no_source", "weak_evidence", "verification_failed", "unresolved_conflict")
+
+
+def content_gaps(questions: DataFrame, answers: DataFrame, normalized: Column, as_of: Column, days: int = 30, limit: int = 10) -> DataFrame:
+    """Most frequent questions of the last ``days`` days that were abstained from for want of content, by normalised text:
+    the least wording and reason, how many, and when last; more first, then later ones, then the key."""
+    lately = (F.col("at") > as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col("at") <= as_of)
+    rows = answers.filter((F.col("outcome") == "abstention") & F.col("reason").isin(*GAP_REASONS)).withColumn("_now", as_of).filter(lately)
+    gaps = rows.drop("_now").join(questions, "question_id").groupBy(normalized.alias("key"))
+    found = gaps.agg(F.min("question").alias("question"), F.min("reason").alias("reason"), F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
+    return found.orderBy(F.col("n").desc(), F.col("last").desc(), "key").limit(limit)
+
+
+def overview_totals(sources: DataFrame, documents: DataFrame, units: DataFrame, questions: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """One row: approved sources, active documents, units, questions, and questions of the last ``days`` days."""
+    total = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    recent = F.count_if((F.col("ts") > as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col("ts") <= as_of))
+    parts = [
+        total(sources.filter("status = 'approved'"), "sources"), total(documents.filter("status = 'active'"), "documents"),
+        total(units, "units"), questions.agg(F.count(F.lit(1)).alias("questions"), recent.alias("questions_lately")),
+    ]
+    return reduce(DataFrame.join, parts)  # single rows
+
+
+def citations_by_source(answers: DataFrame, evidence: DataFrame, claims: DataFrame, query: str = "question_id") -> DataFrame:
+    """(source_slug, answers): answers of which a kept claim cites evidence of the source.
+
+    answers: (query, outcome); evidence: (query, ref, source_slug); claims: (query, kept, refs).
+    """
+    cited = claims.filter("kept").select(query, F.explode("refs").alias("ref")).distinct()
+    found = evidence.join(cited, [query, "ref"], "left_semi").join(answers.filter("outcome = 'answer'"), query, "left_semi")
+    return found.groupBy("source_slug").agg(F.countDistinct(query).alias("answers"))
+
+
+def delete_sources(gone: DataFrame, sources: DataFrame, documents: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sources, documents and units without the sources in ``gone`` (slug) and all that is theirs."""
+    names = gone.select(F.col("slug").alias("source_slug")).distinct()
+    kept = documents.join(names, "source_slug", "left_anti")
+    return sources.join(gone.select("slug").distinct(), "slug", "left_anti"), kept, units.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def sessionize(events: DataFrame, key: str = "session_id") -> DataFrame:

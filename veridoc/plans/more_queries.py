@@ -149,26 +149,61 @@ def X3_lexical_support(spark, d):
     return c.select("conv_id", "turn", answering.lexical_support(F.col("claim"), F.col("evidence"), F.col("question")).alias("support"))
 
 
-@query("SELECT slug FROM v_sources s WHERE status = 'approved' AND slug NOT IN (SELECT source_slug FROM v_docs WHERE status = 'disabled')")
+@query("""SELECT s.slug, count(DISTINCT d.doc_id) AS documents, count(u.unit_id) AS units FROM v_sources s LEFT JOIN v_docs d ON d.source_slug = s.slug LEFT JOIN v_units u ON u.doc_id = d.doc_id
+    WHERE s.status <> 'pending' GROUP BY s.slug""")
 def D14_delete_sources(spark, d):
-    gone = view(spark, d, "v_docs").filter("status = 'disabled'").select(F.col("source_slug").alias("slug"))
-    return view(spark, d, "v_sources").filter("status = 'approved'").join(gone, "slug", "left_anti").select("slug")
+    """What is left of every source once the pending ones are deleted with their documents and units."""
+    sources = view(spark, d, "v_sources")
+    left, docs, cut = usage.delete_sources(sources.filter("status = 'pending'"), sources, view(spark, d, "v_docs"), units(spark, d))
+    n = [df.groupBy(F.col("source_slug").alias("slug")).agg(F.count(F.lit(1)).alias(name)) for df, name in ((docs, "documents"), (cut, "units"))]
+    return left.select("slug").join(n[0], "slug", "left").join(n[1], "slug", "left").na.fill(0)
 
 
-@query("""SELECT (SELECT count(*) FROM v_sources WHERE status = 'approved') AS sources, (SELECT count(*) FROM v_docs WHERE status = 'active') AS documents,
-          (SELECT count(*) FROM v_units) AS units, (SELECT count(*) FROM v_question_log) AS questions""")
+_NOW = "(SELECT max(ts) FROM events)"
+
+
+def _as_of(spark, d):
+    return F.lit(table(spark, d, "events").agg(F.max("ts")).first()[0])  # one value
+
+
+@query(f"""SELECT (SELECT count(*) FROM v_sources WHERE status = 'approved') AS sources, (SELECT count(*) FROM v_docs WHERE status = 'active') AS documents,
+          (SELECT count(*) FROM v_units) AS units, (SELECT count(*) FROM v_usage) AS questions, (SELECT count(*) FROM v_usage WHERE ts > {_NOW} - INTERVAL 7 DAY) AS questions_lately""")
 def D5_overview_totals(spark, d):
-    total = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    one = total(view(spark, d, "v_sources").filter("status = 'approved'"), "sources")
-    for df, name in ((view(spark, d, "v_docs").filter("status = 'active'"), "documents"), (units(spark, d), "units"), (view(spark, d, "v_question_log"), "questions")):
-        one = one.join(total(df, name))  # single rows
-    return one
+    return usage.overview_totals(view(spark, d, "v_sources"), view(spark, d, "v_docs"), units(spark, d), view(spark, d, "v_usage"), _as_of(spark, d))
+
+
+_REF = "CAST(substr(ref, 2) AS INT)"
 
 
-@query(f"SELECT doc_id, source_slug, count(*) AS cited FROM ({_EVIDENCE}) e GROUP BY 1, 2")
+@query(f"""SELECT source_slug, count(DISTINCT question_id) AS answers FROM ({_EVIDENCE}) e WHERE question_id % 4 <> 1 AND (question_id + {_REF}) % 3 <> 0 GROUP BY 1""")
 def D8_citations(spark, d):
-    e = retrieval.relevant_evidence(_ranked(spark, d))
-    return e.groupBy("doc_id", "source_slug").agg(F.count(F.lit(1)).alias("cited"))
+    """Answers by cited source; each evidence is cited by one claim, of which every third is not kept, and every fourth question was not answered."""
+    e = retrieval.relevant_evidence(_ranked(spark, d)).select("question_id", "ref", "source_slug")
+    n = F.expr("cast(substring(ref, 2) AS int)")
+    claims = e.select("question_id", ((F.col("question_id") + n) % 3 != 0).alias("kept"), F.array("ref").alias("refs"))
+    answers = view(spark, d, "v_questions").select("question_id", F.when(F.col("question_id") % 4 == 1, "abstention").otherwise("answer").alias("outcome"))
+    return usage.citations_by_source(answers, e, claims)
+
+
+@query(r"""
+    SELECT c.conv_id, CAST(g.place AS INT) AS place, g.name AS "group", coalesce(t.status, 'empty') AS status
+    FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN (VALUES (0, 'question'), (1, 'analysis'), (2, 'sources'), (3, 'evidence'), (4, 'claims'), (5, 'verification'), (6, 'answer')) g(place, name)
+    LEFT JOIN (SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'analysis' WHEN 1 THEN 'sources' WHEN 2 THEN 'claims' ELSE 'answer' END AS grp,
+      CASE WHEN bool_or(length(text) % 5 = 0) THEN 'blocked' ELSE 'done' END AS status FROM conversations GROUP BY 1, 2) t ON t.conv_id = c.conv_id AND t.grp = g.name""")
+def O11_group_stages(spark, d):
+    """Every turn as a stage of its conversation's trace."""
+    stage = F.element_at(F.array(*map(F.lit, ("intent", "retrieval", "generation", "safety_gate"))), (F.col("turn") % 4 + 1).cast("int"))
+    trace = table(spark, d, "conversations").select("conv_id", stage.alias("stage"), F.when(F.length("text") % 5 == 0, "failed").otherwise("ok").alias("status"))
+    return answering.group_stages(trace, "conv_id").select("conv_id", "place", "group", "status")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(trim(coalesce(text, ''))) < 2 THEN 'too short' WHEN length(trim(coalesce(text, ''))) > 1000 THEN 'too long'
+    WHEN conv_id % 12 = 11 THEN 'unknown locale' WHEN turn % 7 = 6 THEN 'unknown channel' END AS problem FROM conversations""")
+def O10_validate_questions(spark, d):
+    c = table(spark, d, "conversations")
+    locale = F.element_at(F.array(*map(F.lit, (*answering.LOCALES, "xx"))), (F.col("conv_id") % 12 + 1).cast("int"))
+    asked = c.select("conv_id", "turn", F.col("text").alias("question"), locale.alias("locale"), F.when(F.col("turn") % 7 == 6, "fax").otherwise("text").alias("channel"))
+    return answering.validate_questions(asked).select("conv_id", "turn", "problem")
 
 
 @query("""SELECT q.question_id, CASE WHEN p.question IS NULL THEN q.question ELSE concat(p.question, ' ', q.question) END AS full_question

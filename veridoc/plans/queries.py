@@ -541,10 +541,21 @@ def U4_today_totals(spark, d):
     return usage.today_totals(_priced(spark, d), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
 
 
-@query("""SELECT coalesce(status, 'all') AS status, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-    round(count(*) FILTER (status = 'cache_hit') / count(*), 3) AS hit_rate FROM v_usage GROUP BY GROUPING SETS ((status), ())""")
+@query(f"""WITH c AS (SELECT *, {_COST} AS cost FROM v_usage), n AS (SELECT max(ts) AS now FROM v_usage),
+    s AS (SELECT unnest([CASE WHEN ts >= date_trunc('day', now) THEN 'today' END, concat('session ', session_id)]) AS scope, c.* FROM c, n),
+    m AS (SELECT scope, count(*) FILTER (api_call) AS api_calls, count(*) FILTER (status = 'cache_hit') AS cache_hits, count(*) FILTER (status = 'budget_exceeded') AS refusals,
+      CAST(coalesce(sum(input_tokens) FILTER (api_call), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens) FILTER (api_call), 0) AS BIGINT) AS output_tokens,
+      coalesce(sum(cost), 0.0) AS cost, count(*) FILTER (api_call AND cost IS NULL) AS unpriced_calls,
+      count(*) FILTER (event_id % 3 = 0 AND event_id % 7 <> 0) AS questions, count(*) FILTER (event_id % 3 = 0 AND event_id % 7 <> 0 AND event_id % 4 = 0) AS resolved_without FROM s WHERE scope IS NOT NULL GROUP BY scope)
+    SELECT scope, api_calls, cache_hits, refusals, input_tokens, output_tokens, unpriced_calls, questions, resolved_without, CAST(round(CAST(cache_hits / nullif(api_calls + cache_hits, 0) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS hit_rate,
+      CAST(round(CAST(cost AS DECIMAL(18, 9)), 4) AS DOUBLE) AS cost, CAST(round(CAST(cost / nullif(questions, 0) AS DECIMAL(18, 9)), 5) AS DOUBLE) AS cost_per_question FROM m""")
 def U5_usage_report(spark, d):
-    return usage.usage_report(view(spark, d, "v_usage"))
+    """Every third event is an answer; every seventh of them was made before model calls were recorded."""
+    u = view(spark, d, "v_usage")
+    now = F.lit(u.agg(F.max("ts")).first()[0])  # one value
+    n = F.col("event_id")
+    answers = u.filter(n % 3 == 0).select("session_id", "ts", F.when(n % 7 != 0, n % 4).alias("model_calls"))
+    return usage.usage_report(_priced(spark, d), answers, now)
 
 
 @query(f"""WITH p AS (SELECT event_id, api_call, date_trunc('day', ts) AS day, ts,
@@ -590,10 +601,16 @@ def D12_outcome_share(spark, d):
     return usage.outcome_share(view(spark, d, "v_answers"))
 
 
-@query(f"""SELECT key, question, reason, n FROM (SELECT {NORM.format('q.question')} AS key, min(q.question) AS question, min(a.reason) AS reason, count(*) AS n
-    FROM v_answers a JOIN v_question_log q ON q.question_id = a.question_id WHERE a.outcome = 'abstention' GROUP BY 1) g ORDER BY n DESC, key LIMIT 10""")
+@query(f"""SELECT key, question, reason, n, last FROM (SELECT {NORM.format('q.question')} AS key, min(q.question) AS question, min(a.reason) AS reason, count(*) AS n, max(e.ts) AS last
+    FROM v_answers a JOIN v_question_log q ON q.question_id = a.question_id JOIN events e ON e.event_id = a.question_id % 1000
+    WHERE a.outcome = 'abstention' AND e.ts > (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1) g ORDER BY n DESC, last DESC, key LIMIT 10""")
 def D7_content_gaps(spark, d):
-    return usage.content_gaps(view(spark, d, "v_question_log"), view(spark, d, "v_answers"), text.normalize("question"))
+    """Answers take their time from the event that their id points to."""
+    e = table(spark, d, "events")
+    at = e.select(F.col("event_id").alias("_e"), F.col("ts").alias("at"))
+    answers = view(spark, d, "v_answers").join(at, F.col("question_id") % 1000 == F.col("_e")).drop("_e")
+    now = F.lit(e.agg(F.max("ts")).first()[0])  # one value
+    return usage.content_gaps(view(spark, d, "v_question_log"), answers, text.normalize("question"), now)
 
 
 @query("SELECT session_id, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(status, (ts, event_id)) AS last_status FROM v_usage GROUP BY session_id")
