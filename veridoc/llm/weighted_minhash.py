@@ -44,6 +44,7 @@ SURE_AGREE = 36
 F0 = 0.1
 BUCKETS = 1 << 16
 BLOCK = 512
+SIGN_BYTES = 250_000  # texts signed together, so that their arrays stay in the processor's cache
 ARROW_ROWS = 1000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -120,24 +121,59 @@ def gamma_quantiles() -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def log_gamma_quantiles() -> np.ndarray:
+    return np.log(gamma_quantiles())
+
+
+def mix_in_place(x: np.ndarray, spare: np.ndarray) -> None:
+    """:func:`mix` of x, written over it."""
+    for bits, factor in ((30, MIX1), (27, MIX2)):
+        np.right_shift(x, np.uint64(bits), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.multiply(x, factor, out=x)
+    np.right_shift(x, np.uint64(31), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+
+
 def sample(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Fingerprints (set, sample) as 32-bit integers; every set must have an element."""
+    """Fingerprints (set, sample) as 32-bit integers; every set must have an element.
+
+    One set of arrays serves all samples.  An element of weight 1 has t = 0, which leaves the division to the other ones.
+    """
     flat = np.concatenate([h for h, _ in sets])
     log_w = np.log(np.concatenate([w for _, w in sets]))
     starts = np.cumsum([0] + [len(h) for h, _ in sets[:-1]])
-    gamma = gamma_quantiles()
-    log_gamma = np.log(gamma)
+    odd = np.flatnonzero(log_w)
+    log_odd = log_w[odd]
+    gamma, log_gamma = gamma_quantiles(), log_gamma_quantiles()
     out = np.empty((len(sets), SAMPLES), np.uint32)
+    n = len(flat)
+    x, spare, a, b = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n), np.empty(n)
+    rank, both = np.empty(n, np.float32), np.empty((n, 2), np.uint32)
     for j in range(SAMPLES):
-        x = mix(flat ^ mix(np.full(1, j + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        r = gamma[(x & np.uint64(0xFFFF)).astype(np.int64)]
-        log_c = log_gamma[((x >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)]
-        beta = (x >> np.uint64(32)).astype(np.float64) / 2.0**32
-        t = np.floor(log_w / r + beta)
-        a = (log_c - r * (t + 1 - beta)).astype(np.float32).view(np.uint32)
-        rank = np.where(a >> 31, ~a, a | np.uint32(1 << 31)).astype(np.uint64)
-        mark = mix(x + t.astype(np.int64).astype(np.uint64) * MIX1) & np.uint64(0xFFFFFFFF)
-        out[:, j] = (np.minimum.reduceat(rank << np.uint64(32) | mark, starts) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        np.bitwise_xor(flat, mix(np.full(1, j + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)), out=x)
+        mix_in_place(x, spare)
+        parts = x.view(np.uint16).reshape(-1, 4)
+        np.multiply(x.view(np.uint32)[1::2], 2.0**-32, out=b)
+        beta, x_odd = b[odd], x[odd]
+        np.subtract(1, b, out=b)
+        np.take(gamma, parts[:, 0], out=a)
+        r = a[odd]
+        np.multiply(a, b, out=a)  # r (1 - beta)
+        np.take(log_gamma, parts[:, 1], out=b)
+        t = np.floor(log_odd / r + beta)
+        log_c = b[odd]
+        np.subtract(b, a, out=a)
+        a[odd] = log_c - r * (t + 1 - beta)
+        rank[:] = a
+        # Floats in the order of unsigned integers: negative ones with all bits turned, others with the sign bit set.
+        sign = (rank.view(np.int32) >> 31).view(np.uint32)
+        np.bitwise_xor(rank.view(np.uint32), sign | np.uint32(1 << 31), out=both[:, 1])
+        mix_in_place(x, spare)
+        x[odd] = mix(x_odd + t.astype(np.int64).astype(np.uint64) * MIX1)
+        both[:, 0] = x.view(np.uint32)[::2]
+        out[:, j] = (np.minimum.reduceat(both.view(np.uint64)[:, 0], starts) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return out
 
 
@@ -173,10 +209,8 @@ def weights_of(docs: DataFrame, text_col: str, rows: int) -> Weights:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for a, b in blocks(batch.column(0)):
-                for h, _ in shingles(batch.column(0)[a:b]):
-                    total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(h) > 4096 else 0
-                    if len(h) <= 4096:
-                        np.add.at(total, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                found = np.concatenate([h for h, _ in shingles(batch.column(0)[a:b])])
+                total += np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
@@ -335,7 +369,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(1), 500_000):
+            for a, b in blocks(batch.column(1), SIGN_BYTES):
                 sets = [(h, weights.of(h, n)) for h, n in shingles(batch.column(1)[a:b])]
                 some = np.array([len(h) > 0 for h, _ in sets])
                 if not some.any():
