@@ -64,6 +64,17 @@ def _round_of(digest: Column, rounds: int) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(47)), F.lit(rounds)).cast("int")
 
 
+def _dealt(digests: DataFrame, digest: str, rounds: int):
+    """Round -> its digests; several rounds are written once as a folder each, so that none reads another's."""
+    if rounds == 1:
+        return lambda r: digests
+    [turn] = fresh(digests.columns, "turn")
+    path = new_path(digests.sparkSession, "digest-rounds")
+    digests.withColumn(turn, _round_of(F.col(digest), rounds)).write.partitionBy(turn).parquet(path)
+    table = digests.sparkSession.read.schema(digests.schema.add(turn, "integer")).parquet(path)
+    return lambda r: table.filter(F.col(turn) == r).drop(turn)
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept and text_sha256."""
     digests = write_table(
@@ -76,9 +87,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     total = digests.count()
     rounds, bits = _rounds(total)
-    out = new_path(docs.sparkSession, "probed")
+    out, own_of = new_path(docs.sparkSession, "probed"), _dealt(digests, "digest", rounds)
     for r in range(rounds):
-        own = digests.filter(_round_of(F.col("digest"), rounds) == r)
+        own = own_of(r)
         bitmaps = write_table(repeat_filter(own, "digest", bits), "repeat-filter")
         probe(own, "digest", bitmaps, bits, "maybe").write.mode("append").parquet(out)
     probed = docs.sparkSession.read.schema(digests.schema.add("maybe", "boolean")).parquet(out)
@@ -126,8 +137,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return stay(rows, digests)
     # Sorted by round inside each file, so that every round reads about its own share of the table.
     rows = write_table(rows.withColumn(turn, _round_of(F.col(digest), rounds)).sortWithinPartitions(turn), "rounds")
-    out = new_path(docs.sparkSession, "deduplicated")
+    out, own_of = new_path(docs.sparkSession, "deduplicated"), _dealt(digests, kept_digest, rounds)
     for r in range(rounds):
         part = rows.filter(F.col(turn) == r).drop(turn)
-        stay(part, digests.filter(_round_of(F.col(kept_digest), rounds) == r)).write.mode("append").parquet(out)
+        stay(part, own_of(r)).write.mode("append").parquet(out)
     return docs.sparkSession.read.schema(docs.schema).parquet(out)
