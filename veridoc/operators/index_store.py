@@ -13,7 +13,6 @@ from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MANIFEST = "level int, first long, last long, version long"
 Run = tuple[int, int, int]  # level, first batch, last batch
