@@ -168,3 +168,25 @@ def test_origins_compose_as_whole_texts(pool):
         want = " ".join("".join(c if c == "_" or c.isalnum() else " " for c in whole).split())
         norm, start, stop = origins.with_origins(t)
         assert norm == want and list(start) == sorted(start) and len(norm) == len(start) == len(stop) and all(a < b for a, b in zip(start, stop, strict=True))
+
+
+def test_a_text_is_normalised_once_for_all_its_quotes(monkeypatch):
+    """A plain text, accents too, is read without a step for each character; a text with longer runs still finds its wording."""
+    from veridoc.functions import origins
+
+    read, whole = [], origins.Normal
+    monkeypatch.setattr(origins, "Normal", lambda t: (read.append(t), whole(t))[1])
+    hay = "Le café, «déjà vu», fermé. " * 50
+    needles = ["cafe", "café déjà", "vu fermé le", "", None]
+    assert origins.cut_each(hay, needles) == ["café, «déjà", "vu», fermé. Le"] and read.count(hay) == 1
+    assert origins.letters_of(hay) == hay.lower() and origins.letters_of("café") is None
+    assert origins.cut_each("un café ½ noir", ["café 1"]) == ["café ½"]
+    assert origins.cut_each(None, ["a"]) == [] and origins.cut_each("a", None) == []
+
+
+def test_quotes_are_normalised_as_their_source_is(spark):
+    """Loose marks and signs that compose to letters do not break a quotation."""
+    from veridoc.operators import verification
+
+    df = spark.createDataFrame([("Il a été™ là, hier … enfin.", "Il a été™ là … enfin"), ("a", None)], "answer string, quote string")
+    assert [r[0] for r in df.select(verification.source_quote(F.col("answer"), F.col("quote"))).collect()] == ["Il a été™ là … enfin", None]
