@@ -1,5 +1,6 @@
 """Stateful streams and approximate search."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veridoc.operators import ann, evaluation, retrieval
@@ -145,3 +146,43 @@ def test_cache_stream_counts_hits_over_a_restart(spark, tmp_path):
             stored[k] = t
         assert (got[i]["hit"], got[i]["hits"]) == (hit, hits.get(k, 0))
         assert (got[i]["last_hit"] and got[i]["last_hit"].timestamp()) == last.get(k)
+
+
+def test_searches_by_scan_are_exact(spark, monkeypatch):
+    """Both scans against a sort of all pairs: many ties, several blocks of questions and tiles, fewer units than asked for, rows without a value."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "TILE", 60)
+    units = [(int(i), [f"t{t}" for t in rng.integers(0, 9, rng.integers(0, 7))], rng.integers(-2, 3, 3).astype(float).tolist()) for i in rng.permutation(300)]
+    units += [(300, None, None), (301, [], [0.0, 0.0, 0.0])]
+    asked = [(q, [f"t{t}" for t in rng.choice(12, q % 5, replace=False)], rng.integers(-2, 3, 3).astype(float).tolist()) for q in range(11)] + [(11, None, None)]
+    u = spark.createDataFrame(units, "unit_id long, stems array<string>, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "question_id long, terms array<string>, embedding array<double>")
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    dense = lambda n, t, e, m, s, v: round(float(unit(e) @ unit(v)), 9) if e is not None and v is not None else None
+    hits = lambda n, t, e, m, s, v: sum(x in (t or []) for x in s or []) or None
+    for k in (5, 400):
+        for found, score in ((retrieval.dense_search(q, u, k), dense), (retrieval.sparse_scan(q, u, k), hits)):
+            want = set()
+            for a in asked:
+                order = sorted((-s + 0.0, b[0]) for b in units if (s := score(*a, *b)) is not None)
+                want |= {(a[0], b, i + 1) for i, (_, b) in enumerate(order[:k])}
+            assert {(r["question_id"], r["unit_id"], r["rank"]) for r in found.collect()} == want
+    index = retrieval.postings(u)
+    both = [f.select("question_id", "unit_id", "hits", "rank", "sparse_score") for f in (retrieval.sparse_scan(q, u, 5), retrieval.sparse_search(q, index, 5))]
+    assert both[0].exceptAll(both[1]).isEmpty() and both[1].exceptAll(both[0]).isEmpty()
+    assert retrieval.sparse_scan(q.limit(0), u).isEmpty() and retrieval.dense_search(q.limit(0), u).isEmpty()
+    assert retrieval.sparse_scan(q, u.limit(0)).isEmpty() and retrieval.dense_search(q, u.limit(0)).isEmpty()
+
+
+def test_units_are_not_dealt_by_source(spark):
+    """A few sources hold all units: a shuffle by source would leave them to a few tasks."""
+    units = spark.range(50).selectExpr("id AS unit_id", "concat('s', id % 2) AS source_slug", "'active' AS status")
+    sources = spark.range(2).selectExpr("concat('s', id) AS slug", "id AS priority", "'approved' AS status").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = retrieval.approved(units, sources)._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
