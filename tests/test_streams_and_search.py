@@ -1,9 +1,11 @@
 """Stateful streams and approximate search."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veridoc.operators import ann, evaluation, retrieval
+from veridoc.functions import text
+from veridoc.operators import ann, evaluation, retrieval, sparse
 from veridoc.operators.index_store import IndexStore
 from veridoc.streaming import stateful
 
@@ -186,3 +188,42 @@ def test_units_are_not_dealt_by_source(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_an_index_of_the_terms_asked_for(spark):
+    """Only the terms asked for are counted and indexed, with the same counts, and the search finds the same units."""
+    rng = np.random.default_rng(5)
+    units = spark.createDataFrame([(i, " ".join(f"word{t}x" for t in rng.integers(0, 30, 12))) for i in range(400)], "unit_id long, content string")
+    asked = spark.createDataFrame([(q, f"word{t}x") for q in range(6) for t in rng.choice(12, 4, replace=False)], "question_id long, term string")
+    terms = {r["term"] for r in asked.collect()}
+    stemmed = units.select("unit_id", text.stems("content").alias("stems"))
+    whole = {r["term"]: r["df"] for r in retrieval.idf(retrieval.postings(units), 400).collect() if r["term"] in terms}
+    assert {r["term"]: r["df"] for r in retrieval.document_frequency(stemmed, asked).collect()} == whole
+    index, full = sparse.blocked_index(units, only=asked), sparse.blocked_index(units)
+    assert {r["term"] for r in index.select("term").distinct().collect()} == terms
+    for present in (False, True):
+        weighted = sparse.weighted_terms(asked, sparse.term_counts(index), 400)
+        a, b = (sparse.search(weighted, x, 7, present=present).select("question_id", "unit_id", "score", "rank") for x in (index, full))
+        hits = asked.join(retrieval.postings(units), "term").join(weighted, ["question_id", "term"])
+        score = F.sum((F.lit(1) if present else F.col("hits")) * F.col("weight")).alias("score")
+        best = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "unit_id")
+        want = hits.groupBy("question_id", "unit_id").agg(score).withColumn("rank", F.row_number().over(best)).filter("rank <= 7")
+        rows = [sorted(map(tuple, x.collect())) for x in (a, b, want)]
+        assert rows[0] == rows[1] == rows[2]
+
+
+def test_nearest_in_small_tiles(spark, monkeypatch):
+    """Neither search sorts or holds more than a tile of scores; ties go to smaller ids."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.integers(-1, 2, 4).astype(float).tolist()) for i in rng.permutation(120)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    for module in (retrieval, ann):
+        monkeypatch.setattr(module, "TILE", 50)
+    monkeypatch.setattr(ann, "ROUTED", 16)
+    x = dict(rows)
+    unit = lambda e: np.array(e) / max(np.linalg.norm(e), 1e-300)
+    near = lambda a: sorted((-round(float(unit(x[a]) @ unit(e)), 9) + 0.0, i) for i, e in rows)[:9]
+    want = {(a, i, k + 1) for a in range(0, 120, 5) for k, (_, i) in enumerate(near(a))}
+    for found in (retrieval.knn_exact(q, v, 9), ann.knn_ann(q, v, 9, probes=ann.CELLS)):
+        assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == want

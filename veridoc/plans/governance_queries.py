@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridoc.functions import text
+from veridoc.functions.shared import written
 from veridoc.operators import governance as g
 from veridoc.operators import retrieval, sparse
-from veridoc.plans.queries import _APPROVED, _POST, _SPARSE, _TERMS, _TOP, NORM, _approved, _asked_terms, _nearest, _questions, _sparse, query, table
+from veridoc.plans.queries import _APPROVED, _POST, _SPARSE, _TERMS, _TOP, NORM, _approved, _asked_terms, _nearest, _questions, query, table
 from veridoc.sources.views import view
 
 _CLAIM = "SELECT question_id, turn AS ordinal, question AS text, turn % 3 = 0 AS supported, question_id % 2 = 0 AS valid, turn % 2 = 0 AS grounded, CASE WHEN turn % 4 = 0 THEN 'verbatim' ELSE 'not_checked' END AS entailment FROM v_question_log"
@@ -141,10 +142,14 @@ _WEIGHTED = f"""SELECT s.question_id, s.unit_id, round(coalesce(w.got, 0.0) / a.
 def _weighted(spark, d):
     import math
 
-    a = _approved(spark, d)
-    index, n = retrieval.postings(a), a.count()
-    terms = _questions(spark, d).select("question_id", F.explode("terms").alias("term"))
-    return g.weighted_coverage(_sparse(spark, d), terms, index, retrieval.idf(index, n), math.log(1 + n))
+    a = written(_approved(spark, d).select("unit_id", text.stems("content").alias("stems")), "unit-stems")
+    n, questions = a.count(), _questions(spark, d)
+    terms = questions.select("question_id", F.explode("terms").alias("term"))
+    found = written(retrieval.sparse_scan(questions, a), "sparse-found")  # few rows, so the units they name are found without a shuffle
+    held = a.join(found.select("unit_id").distinct(), "unit_id", "left_semi").select("unit_id", F.explode("stems").alias("term"))
+    df = retrieval.document_frequency(a, terms)
+    idf = df.select("term", F.log(1 + F.lit(n) / F.col("df")).alias("idf"))
+    return g.weighted_coverage(found, terms, held, idf, math.log(1 + n))
 
 
 @query(f"SELECT question_id, unit_id, round(weighted_coverage, 6) AS weighted_coverage FROM ({_WEIGHTED}) w")
@@ -158,8 +163,9 @@ def R21_weighted_coverage(spark, d):
 def R22_sparse_by_idf(spark, d):
     """The 64 best of all units that hold a term of the question, by the idf of the terms they hold."""
     units = _approved(spark, d)
-    index = sparse.blocked_index(units)
-    terms = sparse.weighted_terms(_asked_terms(spark, d), sparse.term_counts(index), units.count())
+    asked = _asked_terms(spark, d)
+    index = sparse.blocked_index(units, only=asked)
+    terms = sparse.weighted_terms(asked, sparse.term_counts(index), units.count())
     found = sparse.search(terms, index, 64, present=True)
     return found.select("question_id", "unit_id", "score", F.col("rank").cast("long").alias("place"))
 
