@@ -25,6 +25,7 @@ from veridoc.operators.retrieval import DIGITS
 TRAIN, CELLS, ROUNDS = 20_000, 4096, 12
 TARGET, ASKED = 0.97, 400
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+ROUTED, TILE = 1 << 14, 1 << 20  # rows that a batch of queries becomes, and scores held at once
 SLACK = 1e-5  # what single precision may add to a score
 
 
@@ -105,13 +106,18 @@ def candidates(queries: DataFrame, index: Index, k: int, probes: int | None = No
         for pdf in frames:
             if not len(pdf):
                 continue
-            x = _unit(pdf[embedding])
-            base = x @ centres.T
-            near = np.argsort(-base, 1, kind="stable")[:, :visited]
-            yield pd.DataFrame({
-                query_id: np.repeat(pdf[query_id].to_numpy(), visited), "cell": near.ravel(), "base": np.take_along_axis(base, near, 1).ravel(),
-                "q": [r.astype("<f4").tobytes() for r in x for _ in range(visited)],
-            })
+            whole, ids = _unit(pdf[embedding]), pdf[query_id].to_numpy()
+            step = max(1, ROUTED // visited)
+            for at in range(0, len(whole), step):  # a query becomes a row for each cell it visits
+                x = whole[at : at + step]
+                base = x @ centres.T
+                near = np.argsort(-base, 1, kind="stable")[:, :visited]
+                codes = np.empty(len(x), object)
+                codes[:] = [r.astype("<f4").tobytes() for r in x]
+                yield pd.DataFrame({
+                    query_id: np.repeat(ids[at : at + step], visited), "cell": near.ravel(), "base": np.take_along_axis(base, near, 1).ravel(),
+                    "q": np.repeat(codes, visited),
+                })
 
     fine = queries.filter(F.col(embedding).isNotNull()).select(query_id, embedding)
     asked = fine.mapInPandas(routed, f"{query_id} long, cell int, base double, q binary")
@@ -130,8 +136,9 @@ def candidates(queries: DataFrame, index: Index, k: int, probes: int | None = No
             x = np.frombuffer(b"".join(asked["q"]), "<f4").reshape(len(asked), -1)
             code = np.frombuffer(b"".join(held["code"]), np.int8).reshape(len(held), -1).astype(np.float32)
             scale, error, ids = held["scale"].to_numpy(), held["error"].to_numpy() + SLACK, held[vec_id].to_numpy()
-            for a in range(0, len(x), 256):  # so that the scores in memory stay few
-                about = asked["base"].to_numpy()[a : a + 256, None] + (x[a : a + 256] @ code.T) * scale
+            step = max(1, TILE // len(held))
+            for a in range(0, len(x), step):
+                about = asked["base"].to_numpy()[a : a + step, None] + (x[a : a + step] @ code.T) * scale
                 low, m = about - error, min(k, len(held))
                 least = np.partition(low, len(held) - m, 1)[:, len(held) - m]
                 row, at = np.nonzero(about + error >= least[:, None])
