@@ -190,3 +190,15 @@ def test_quotes_are_normalised_as_their_source_is(spark):
 
     df = spark.createDataFrame([("Il a été™ là, hier … enfin.", "Il a été™ là … enfin"), ("a", None)], "answer string, quote string")
     assert [r[0] for r in df.select(verification.source_quote(F.col("answer"), F.col("quote"))).collect()] == ["Il a été™ là … enfin", None]
+
+
+def test_chunks_leave_a_task_a_few_documents_at_a_time(spark, monkeypatch):
+    """Chunks are made of SLICE documents at a time, and all come out."""
+    from veridoc.operators import chunking
+
+    monkeypatch.setattr(chunking, "SLICE", 3)
+    texts = [None, "", "kurz"] + [f"Satz {i}, noch einer. " * 150 for i in range(8)]
+    docs = spark.createDataFrame([(i, t, "Frage?" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, body string, q string").coalesce(1)
+    want = {(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(chunking.chunk_text(t, "Frage?" if i % 2 else None))}
+    assert {tuple(r) for r in chunking.chunks(docs, question_col="q").collect()} == want
+    assert chunking.chunks(docs.limit(0)).isEmpty() and "MapInArrow" in chunking.chunks(docs)._jdf.queryExecution().executedPlan().toString()
