@@ -434,6 +434,25 @@ def test_near_copies_in_hot_groups(spark):
     assert got == {i: last[i // 90] if i < 270 else i for i, *_ in rows}
 
 
+def test_every_shingle_has_its_own_idf(spark):
+    base = [f"w{i}" for i in range(104)]
+    near = [{30: "x", 60: "y"}.get(i, w) for i, w in enumerate(base)]  # 5-word Jaccard similarity of 0.818
+    texts = [" ".join(base), " ".join(near), *(" ".join(base + [f"o{g}w{i}" for i in range(400)]) for g in range(2))]
+    texts += [" ".join(f"u{g}w{i}" for i in range(40)) for g in range(41)]
+    # The shared shingles lie in 4 of 45 texts, less than a tenth: by their idf the pair comes to 0.793.
+    got = {r["doc_id"]: r["class_id"] for r in wm.near_duplicates(spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == {i: i for i in range(45)}
+
+    sets = [h for h, _ in wm.shingles(pa.array(texts))]
+    want, ranges = Counter(h for s in sets for h in s.tolist()), wm.Ranges(3)
+    told = wm.texts_with(spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "batch long, text string"), ranges).toArrow()
+    for b in range(7):
+        h = np.unique(np.concatenate(sets[b::7]))
+        w = wm.weights_of(h, told.filter(pa.compute.equal(told["batch"], b)), ranges, len(texts))
+        hit, held = w.held(h)
+        assert dict(zip(h[hit].tolist(), held.tolist(), strict=True)) == {x: want[x] for x in h.tolist() if want[x] > 1}
+
+
 def test_late_blocks_find_links_that_pivots_miss(spark, monkeypatch):
     rows, sets, prints = [], [], np.zeros((6, wm.SAMPLES), np.uint16)
     prints[1:4] = 7  # nodes 1 and 2 are similar, node 3 only looks so

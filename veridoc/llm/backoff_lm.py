@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pack, unpack
 from .tokens import blocks
 from .weighted_minhash import mix
 
@@ -159,19 +160,6 @@ class Routes:
         return value, asks
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Columns, split into bytes by significance and compressed."""
-    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
-
-
-def unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=n * sum(sizes)), np.uint8)
-    ends = n * np.cumsum(sizes)
-    return [np.ascontiguousarray(raw[e - n * s : e].reshape(s, n).T).view(k).ravel() for k, s, e in zip(kinds, sizes, ends, strict=True)]
-
-
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(COLUMNS))

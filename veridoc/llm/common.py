@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,28 @@ def write_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """:func:`write_table` as a table in buckets of ``key``, so that grouping by it later needs no shuffle."""
+    spark = df.sparkSession
+    database = f"{name}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{shared_dir(spark)}/{database}'")
+    df.write.bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}", format="parquet")
+    return spark.table(f"{database}.{name}")
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Columns, split into bytes by significance and compressed."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=n * sum(sizes)), np.uint8)
+    ends = n * np.cumsum(sizes)
+    return [np.ascontiguousarray(raw[e - n * s : e].reshape(s, n).T).view(k).ravel() for k, s, e in zip(kinds, sizes, ends, strict=True)]
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within the block, Arrow batches hold at most ``rows`` rows: for jobs run there whose rows are large."""

@@ -1,10 +1,13 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of SHINGLE lower-cased words; a text with fewer words is one shingle, a text without words none.  The
-weight of a shingle in a text is its count times idf(f) = (1 + ln 1/max(f, F0)) / (1 + ln 1/F0), f being the share of
-all distinct texts that hold it: a shingle in at most F0 of them weighs its count, commoner ones less.  Shingles above F0
-number at most 1/F0 times the mean text length, whatever the number of texts, so this part of the statistics is small by
-proof; it is counted exactly over all distinct texts in two passes (hash buckets, then the shingles of buckets above F0).
+weight of a shingle in a text is its count times idf(d) = (1 + ln (1 + N) / (1 + d)) / (1 + ln (1 + N) / 2), d being the number
+of the N distinct texts that hold it: a shingle of one text weighs its count, every other one less.
+
+The document frequencies of all shingles are exact.  Distinct texts lie in batches, in buckets of the batch number.  The sorted
+hashes of a batch are cut into ranges, one packed row each; a range meets its rows of all batches, counts, and tells each batch
+which of its shingles other texts hold, and how many.  Back at its texts, a batch knows its hashes by their order, so places
+are enough.
 
 Every distinct text gets BANDS * ROWS consistent samples (element, t); texts that agree in all samples of a band share a
 bucket.  No bucket is expanded to all pairs: members are compared with a pivot, members that may not be similar to it
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import exact_dedup
-from .common import arrow_rows, every, fresh, join_groups, text_of, write_table
+from .common import arrow_rows, every, fresh, join_groups, pack, text_of, unpack, write_buckets, write_table
 from .tokens import blocks
 
 SHINGLE = 5
@@ -41,10 +44,12 @@ BANDS, ROWS = 10, 4
 SAMPLES = BANDS * ROWS
 MIN_AGREE = 20  # of SAMPLES; a pair at 0.8 falls below with a chance of about 1e-5
 SURE_AGREE = 36
-F0 = 0.1
-BUCKETS = 1 << 16
+F0 = 0.0  # share of the texts up to which shingles would share one idf: none do
+BATCH_BYTES = 12_000_000  # of text, on average
+RANGE_TEXT = 16_000_000  # bytes of text to a range of hashes, some 2 million of them
+BUCKET_BYTES = 64_000_000
 BLOCK = 512
-SIGN_BYTES = 250_000  # texts signed together, so that their arrays stay in the processor's cache
+SIGN_SHINGLES = 33_000  # of texts signed together, so that their arrays stay in the processor's cache
 ARROW_ROWS = 1000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -93,21 +98,30 @@ def EMPTY_WORD() -> np.uint64:
 
 
 class Weights:
-    """Shingle weights: count times idf, from the common shingles and the number of texts."""
+    """Shingle weights: count times idf, from the shingles of several texts and the number of texts."""
 
     def __init__(self, common: np.ndarray, rows_with: np.ndarray, rows: int):
         order = np.argsort(common)
         self.common = common[order]
-        share = np.maximum(rows_with[order] / max(rows, 1), F0)
-        self.idf = (1 - np.log(share)) / (1 - math.log(F0))
+        self.rows_with, self.rows = rows_with[order], rows
 
     def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = counts.astype(np.float64)
-        if len(self.common) and len(hashes):
-            at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
-            hit = self.common[at] == hashes
-            w[hit] *= self.idf[at[hit]]
-        return w
+        return weigh(counts, *self.held(hashes), self.rows)
+
+    def held(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are common, how many texts hold those)."""
+        if not (len(self.common) and len(hashes)):
+            return np.zeros(len(hashes), bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        hit = self.common[at] == hashes
+        return hit, self.rows_with[at[hit]]
+
+
+def weigh(counts: np.ndarray, hit: np.ndarray, rows_with: np.ndarray, rows: int) -> np.ndarray:
+    """Counts times idf; those not hit have an idf of 1."""
+    w = counts.astype(np.float64)
+    w[hit] *= (1 + np.log((1 + rows) / (1 + rows_with))) / (1 + math.log((1 + rows) / 2))
+    return w
 
 
 @lru_cache(maxsize=1)
@@ -201,36 +215,64 @@ def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -
 # --- statistics -------------------------------------------------------------------------------------------------------
 
 
-def weights_of(docs: DataFrame, text_col: str, rows: int) -> Weights:
-    """Exact counts of all shingles held by more than F0 of the rows of ``docs``, which are distinct texts."""
-    texts = docs.select(F.col(text_col).alias("text"))
+class Ranges:
+    """Equal ranges of 64-bit hashes."""
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for a, b in blocks(batch.column(0)):
-                found = np.concatenate([h for h, _ in shingles(batch.column(0)[a:b])])
-                total += np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
-
-    limit = F0 * rows
-    full = texts.mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
-    busy = np.zeros(BUCKETS, bool)
-    busy[[r["bucket"] for r in full.collect()]] = True  # at most BUCKETS rows
-    if not busy.any():
-        return Weights(np.zeros(0, np.uint64), np.zeros(0), rows)
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in blocks(batch.column(0), 16_000_000):
-                found = [h[busy[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]] for h, _ in shingles(batch.column(0)[a:b])]
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+    def __init__(self, n: int):
+        self.bounds = np.array([(k << 64) // n for k in range(n)], np.uint64)
+
+    def cuts(self, ordered: np.ndarray) -> list[int]:
+        """Where each range begins in sorted hashes, and the last ends."""
+        return [*np.searchsorted(ordered, self.bounds).tolist(), len(ordered)]
+
+
+def all_shingles(texts: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """:func:`shingles` of a batch."""
+    return [s for chunk in texts.chunks for a, b in blocks(chunk) for s in shingles(chunk[a:b])]
+
+
+def texts_with(batches: DataFrame, ranges: Ranges) -> DataFrame:
+    """(batch, part, n, data) of all shingles that several texts hold: places among the batch's hashes of that range, and texts."""
 
-    counted = texts.mapInArrow(common, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    got = counted.filter(F.col("n") > limit).toPandas()  # at most (mean text length / F0) rows
-    return Weights(got["shingle"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(float), rows)
+    def ask(batch: pa.Table) -> pa.Table:
+        h, n = np.unique(np.concatenate([h for h, _ in all_shingles(batch["text"])]), return_counts=True)
+        cut = ranges.cuts(h)
+        spans = [(p, s, e) for p, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if s < e]
+        return packed(batch["batch"][0].as_py(), [(p, e - s, pack(np.diff(h[s:e], prepend=np.uint64(0)), n[s:e].astype(np.uint32))) for p, s, e in spans])
+
+    def count(asked: pa.Table) -> pa.Table:
+        sizes = asked["n"].to_pylist()
+        got = [unpack(d, n, "<u8", "<u4") for d, n in zip(asked["data"].to_pylist(), sizes, strict=True)]
+        _, at = np.unique(np.concatenate([np.cumsum(h, dtype=np.uint64) for h, _ in got]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([n for _, n in got])).astype(np.uint32)[at]
+        out, part, end = [], asked["part"][0].as_py(), 0
+        for batch, n in zip(asked["batch"].to_pylist(), sizes, strict=True):
+            own, end = total[end : end + n], end + n
+            some = np.flatnonzero(own > 1)
+            if len(some):
+                out.append(packed(batch, [(part, len(some), pack(np.diff(some, prepend=0).astype(np.uint32), own[some]))]))
+        return pa.concat_tables(out) if out else packed(0, [])
+
+    asked = batches.select("batch", "text").groupBy("batch").applyInArrow(ask, PACKED)
+    return asked.groupBy("part").applyInArrow(count, PACKED)
+
+
+PACKED = "batch long, part int, n int, data binary"
+
+
+def packed(batch: int, rows: list[tuple]) -> pa.Table:
+    columns = [pa.array([batch] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary())))]
+    return pa.Table.from_arrays(columns, names=["batch", "part", "n", "data"])
+
+
+def weights_of(h: np.ndarray, told: pa.Table, ranges: Ranges, rows: int) -> Weights:
+    """The weights of a batch with the sorted hashes ``h``, from its rows of :func:`texts_with`."""
+    cut, common, held = ranges.cuts(h), [h[:0]], [np.zeros(0)]
+    for part, n, data in zip(*(told[c].to_pylist() for c in ("part", "n", "data")), strict=True):
+        step, texts = unpack(data, n, "<u4", "<u4")
+        common.append(h[cut[part] + np.cumsum(step, dtype=np.int64)])
+        held.append(texts.astype(float))
+    return Weights(np.concatenate(common), np.concatenate(held), rows)
 
 
 # --- links ------------------------------------------------------------------------------------------------------------
@@ -352,41 +394,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(F.col(text_col))
     rows = write_table(
-        docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("tag"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")),
+        docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("tag"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+                    F.octet_length(text).alias("size")),
         "near-rows",
     )
     total = rows.count()
     texts = write_table(
-        rows.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()),
+        rows.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    n_texts = texts.count()
+    n_texts, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     distinct = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     if n_texts < total:
-        distinct = write_table(exact_dedup.exact_dedup(distinct), "distinct")
-    distinct = distinct.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
-    weights = weights_of(distinct, "text", n_texts)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in blocks(batch.column(1), SIGN_BYTES):
-                sets = [(h, weights.of(h, n)) for h, n in shingles(batch.column(1)[a:b])]
-                some = np.array([len(h) > 0 for h, _ in sets])
-                if not some.any():
-                    continue
-                prints = sample([s for s, ok in zip(sets, some, strict=True) if ok])
-                keys = band_keys(prints)
-                short = prints.astype(np.uint16)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b].filter(pa.array(some)), pa.array(list(keys), pa.list_(pa.int64())),
-                     pa.array([p.tobytes() for p in short], pa.binary())], names=["digest", "bands", "prints"],
-                )
-
-    signed = distinct.mapInArrow(sign, "digest binary, bands array<long>, prints binary")
-    signatures = write_table(
-        signed.groupBy("digest").agg(F.min("bands").alias("bands"), F.min("prints").alias("prints")).join(texts.select("digest", "node"), "digest").select("node", "bands", "prints"),
-        "signatures",
+        distinct = exact_dedup.exact_dedup(distinct)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_batch = max(1, min(BATCH_BYTES * n_texts // max(size, 1), n_texts // (2 * tasks)))
+    distinct = distinct.select(
+        F.floor(F.monotonically_increasing_id() / F.lit(per_batch)).alias("batch"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text"
     )
+    distinct = write_buckets(distinct, "distinct", "batch", max(tasks, math.ceil(size / BUCKET_BYTES)))
+    ranges = Ranges(max(tasks, math.ceil(size / RANGE_TEXT)))
+    told = texts_with(distinct, ranges)
+
+    def sign(batch: pa.Table, told: pa.Table) -> pa.Table:
+        sets = all_shingles(batch["text"])
+        weights = weights_of(np.unique(np.concatenate([h for h, _ in sets])), told, ranges, n_texts)
+        held = [weights.held(h) for h, _ in sets]
+        some = [k for k, (h, _) in enumerate(sets) if len(h)]
+        prints, ends = [np.zeros((0, SAMPLES), np.uint32)], np.cumsum([len(sets[k][0]) for k in some]) // SIGN_SHINGLES
+        for own in np.split(np.array(some, np.int64), np.flatnonzero(np.diff(ends)) + 1):
+            if len(own):
+                prints.append(sample([(sets[k][0], weigh(sets[k][1], *held[k], n_texts)) for k in own.tolist()]))
+        prints = np.concatenate(prints)
+        short = prints.astype(np.uint16)
+        return pa.Table.from_arrays(
+            [batch["digest"].take(pa.array(some, pa.int64())), pa.array(list(band_keys(prints)), pa.list_(pa.int64())), pa.array([p.tobytes() for p in short], pa.binary()),
+             pa.array([np.packbits(held[k][0]).tobytes() for k in some], pa.binary()), pa.array([held[k][1].astype("<u4").tobytes() for k in some], pa.binary())],
+            names=["digest", "bands", "prints", "common", "held"],
+        )
+
+    signed = distinct.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(sign, "digest binary, bands array<long>, prints binary, common binary, held binary")
+    signatures = write_table(signed.join(texts.select("digest", "node"), "digest"), "signatures", "zstd")
     members = signatures.select("node", F.explode("bands").alias("key"))
     pivots = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("r"), F.col("node").alias("v")))["v"].alias(f"p{k}") for k in range(4)]
     buckets = write_table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *pivots).filter("n > 1"), "buckets")
@@ -403,19 +451,20 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = write_table(ordered(tried.filter("may"), "node", "pivot").union(ordered(more, "node", "pivot")).distinct(), "pairs")
 
     # Weighted sets of every text that shares a bucket, made once for both verifications.
-    wanted = shared.select("node").distinct().join(texts.select("node", "digest"), "node")
-    picked = distinct.join(wanted, "digest").select("node", "text")
+    wanted = signatures.join(shared.select("node").distinct(), "node", "left_semi").select("node", "digest", "common", "held")
+    picked = distinct.select("digest", "text").join(wanted, "digest").select("node", "text", "common", "held")
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in blocks(batch.column(1)):
-                sets = [(h, weights.of(h, n)) for h, n in shingles(batch.column(1)[a:b])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array([h.astype("<u8").tobytes() for h, _ in sets], pa.binary()),
-                     pa.array([w.astype("<f4").tobytes() for _, w in sets], pa.binary())], names=["node", "h", "w"],
-                )
-
-    sets = write_table(picked.mapInArrow(weigh, "node long, h binary, w binary").dropDuplicates(["node"]), "sets")
+                h, w = [], []
+                for (own, n), common, held in zip(shingles(batch.column(1)[a:b]), *(batch.column(k)[a:b].to_pylist() for k in (2, 3)), strict=True):
+                    hit = np.unpackbits(np.frombuffer(common, np.uint8), count=len(own)).astype(bool)
+                    h.append(own.astype("<u8").tobytes())
+                    w.append(weigh(n, hit, np.frombuffer(held, "<u4").astype(float), n_texts).astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(h, pa.binary()), pa.array(w, pa.binary())], names=["node", "h", "w"])
+
+    sets = write_table(picked.mapInArrow(weighted, "node long, h binary, w binary"), "sets")
     links = write_table(verify(pairs, sets), "verified")
     found = components(links)
 
