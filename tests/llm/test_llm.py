@@ -377,6 +377,16 @@ def test_backoff_lm(spark, empty, monkeypatch, sizes, order, parts):
         assert backoff_lm.log_scores(empty, order=order).count() == 0
 
 
+def test_backoff_lm_counts_a_partition_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "SLICE", 50)
+    want = sorted((i, *x) for i, x in enumerate(brute_backoff([r[1] for r in ROWS], 3)))
+    df = spark.createDataFrame([(i, r[1], "en", "x") for i, r in enumerate(ROWS)], SCHEMA)
+    assert np.allclose(sorted((r["doc_id"], r["n_words"], r["log_score"]) for r in backoff_lm.log_scores(df).collect()), want, atol=1e-6)
+    columns = [(np.arange(2000, dtype=np.uint64) % np.uint64(301)) | backoff_lm.RARE for _ in range(3)]
+    turns = list(backoff_lm.slices(columns, backoff_lm.Routes(np.zeros(1, np.uint64), np.zeros(0, np.uint64)), 50))
+    assert max(map(len, turns)) < 200 and sorted(np.concatenate(turns).tolist()) == list(range(2000))
+
+
 def brute_classes(texts):
     sets = wm.shingles(pa.array(texts, pa.string()))
     df = Counter(h for s, _ in sets for h in s.tolist())

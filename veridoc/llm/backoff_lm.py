@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, unpack
+from .common import arrow_rows, pack, unpack, write_table
 from .tokens import blocks
 from .weighted_minhash import mix
 
@@ -51,6 +51,9 @@ SLOTS = 1 << 21
 BLOCK_DOCS = 1 << 14
 BLOCK_BYTES = 4_000_000
 PART_BYTES = 16 << 20  # of word codes that one partition receives; rows number blocks times partitions
+SLICE = 1 << 19  # tokens of a partition that are counted together
+STEP = 1 << 16
+ARROW_ROWS = 1000
 RARE = np.uint64(1 << 63)  # the code of a rare word is its hash with this bit, that of a common one its rank
 NONE = np.uint64((1 << 64) - 1)  # before the start mark
 START = np.uint64(0x5354415254)
@@ -194,6 +197,34 @@ def undeal(rows: pd.DataFrame, size: int) -> tuple[list[np.ndarray], np.ndarray,
     return [np.concatenate([x[j] for x in got]) for j in range(size)], doc, base
 
 
+def routing_key(g: list[np.ndarray], hot: list[np.ndarray]) -> np.ndarray:
+    """The hash of the shortest n-gram that is not hot: all tokens with an n-gram that contains it have the same."""
+    key = g[1].copy()
+    for k in range(2, len(g)):
+        key = np.where(hot[k - 2] >= 0, g[k], key)
+    return key
+
+
+def slices(columns: list[np.ndarray], routes: Routes, size: int) -> Iterator[np.ndarray]:
+    """The tokens of a partition in turns of about ``size``; equal n-grams that are not hot come in the same turn."""
+    n = -(-len(columns[0]) // size)
+    turn = np.zeros(len(columns[0]), np.int32)
+    for a in range(0, len(turn), size) if n > 1 else ():
+        own = [c[a : a + size] for c in columns]
+        g = grams([routes.hashes(c) for c in own])
+        turn[a : a + size] = mix(mix(routing_key(g, routes.hot_orders(g, top_of(own))))) % np.uint64(n)
+    for k in range(n):
+        yield np.flatnonzero(turn == k)
+
+
+def top_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Number of words and start marks of every token's longest n-gram."""
+    top = np.full(len(columns[0]), 1)
+    for c in columns[1:]:
+        top += c != NONE
+    return top
+
+
 def choose_routes(docs: DataFrame, id_col: str, text_col: str, order: int) -> Routes:
     """Words and n-grams frequent in samples, most frequent first; an n-gram never comes before its own parts."""
     rows = max(docs.select(id_col).count(), 1)
@@ -229,7 +260,7 @@ def count_routes(texts: DataFrame, routes: Routes, order: int) -> None:
         found = np.zeros(size, np.int64)
         in_words, in_hot, in_docs = found[:n_words], found[n_words : n_words + n_hot], found[n_words + n_hot : -1]
         for batch in batches:
-            for a, b in blocks(batch.column(0), BLOCK_BYTES):
+            for a, b in blocks(batch.column(0), BLOCK_BYTES // 4):
                 names, at, counts = words_of(batch.column(0)[a:b])
                 found[-1] += len(at)
                 rank = routes.ranks(names)
@@ -289,7 +320,7 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     routes = choose_routes(docs, id_col, text_col, order)
     count_routes(docs.select(F.col(text_col).alias("text")), routes, order)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(8 * routes.total / PART_BYTES))
-    labels = task_labels(docs, parts)
+    labels, slice_tokens = task_labels(docs, parts), SLICE
     shared = spark.sparkContext.broadcast((routes, labels))  # bounded by COMMON, HOT and a number per partition
 
     def home(base: int, labels: np.ndarray) -> int:
@@ -307,6 +338,11 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             key = grams([routes.hashes(c) for c in own])[-1]
             yield from deal(ASK_ADD if add else ASK_TAKE, own, doc[at], base[at], key, labels)
 
+    def ask_all(asked: dict, columns: list, doc: np.ndarray, base: np.ndarray, routes: Routes, labels: np.ndarray) -> Iterator[tuple]:
+        for (size, add), found in asked.items():
+            far = np.concatenate(found)
+            yield from ask([(far, [c[far] for c in (columns[:1] if add else columns[1 : 1 + size])], add)], doc, base, routes, labels)
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         routes, labels = shared.value
         for batch in batches:
@@ -316,26 +352,29 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 base, ids = batch.column(0)[a].as_py(), batch.column(1)[a:b]
                 null = ids.is_null().to_numpy(zero_copy_only=False)
                 columns, doc, top = contexts(routes.codes(names)[at], counts, order, routes.codes(np.array([START]))[0])
-                hashes, _, _ = contexts(names[at], counts, order, START)
-                g = grams(hashes)
-                hot = routes.hot_orders(g, top)
-                longest = np.choose(top - 2, hot) if len(top) else top
-                done = longest >= 0
-                # In place: the n-grams of all orders are hot.
-                best, log_count = np.ones(len(top), np.int64), np.zeros(len(top))
-                for k, place in enumerate(hot, 2):
-                    known = done & (place >= 0) & (routes.hot_known[place] if len(routes.hot_known) else False)
-                    best[known], log_count[known] = k, routes.log_hot[place[known]]
+                key, done, value, asked = np.empty(len(top), np.uint64), np.zeros(len(top), bool), np.zeros(len(top)), {}
+                for s in range(0, len(top), STEP):  # so many tokens at a time, as each takes some 200 bytes here
+                    own, long = [c[s : s + STEP] for c in columns], top[s : s + STEP]
+                    hashes = [routes.hashes(c) for c in own]
+                    g = grams(hashes)
+                    hot = routes.hot_orders(g, long)
+                    here_ = np.choose(long - 2, hot) >= 0
+                    # In place: the n-grams of all orders are hot.
+                    best, log_count = np.ones(len(long), np.int64), np.zeros(len(long))
+                    for k, place in enumerate(hot, 2):
+                        known = here_ & (place >= 0) & (routes.hot_known[place] if len(routes.hot_known) else False)
+                        best[known], log_count[known] = k, routes.log_hot[place[known]]
+                    here = np.flatnonzero(here_)
+                    value[s + here], asks = routes.settle([c[here] for c in own], [h[here] for h in hashes], long[here], best[here], log_count[here])
+                    for far, words_, add in asks:
+                        asked.setdefault((len(words_), add), []).append(s + here[far])
+                    # The others go where the shortest n-gram that is not hot is counted.
+                    key[s : s + STEP], done[s : s + STEP] = routing_key(g, hot), here_
                 here = np.flatnonzero(done)
-                value, asks = routes.settle([c[here] for c in columns], [h[here] for h in hashes], top[here], best[here], log_count[here])
                 rows = [(home(base, labels), DOCS, 0, base, b - a, pack(pc.fill_null(ids, 0).to_numpy(), null.astype(np.uint8), counts))]
                 bases = np.full(len(doc), base)
-                rows += sums(doc[here], value, bases[here], labels)
-                rows += ask(asks, doc[here], bases[here], routes, labels)
-                # The others go where the shortest n-gram that is not hot is counted.
-                key = g[1].copy()
-                for k in range(2, order):
-                    key = np.where(hot[k - 2] >= 0, g[k], key)
+                rows += sums(doc[here], value[here], bases[here], labels)
+                rows += ask_all(asked, columns, doc, bases, routes, labels)
                 away = np.flatnonzero(~done)
                 rows += deal(ROWS_OF, [c[away] for c in columns], doc[away], bases[away], key[away], labels)
                 rare = routes.ranks(names) < 0
@@ -360,28 +399,31 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mine = pdf[kind == ROWS_OF]
         if len(mine):
             columns, local, base = undeal(mine, order)
-            doc = local + base
-            hashes = [routes.hashes(c) for c in columns]
-            g = grams(hashes)
-            top = np.full(len(doc), 1)
-            for c in columns[1:]:
-                top += c != NONE
-            best, log_count = np.ones(len(doc), np.int64), np.zeros(len(doc))
-            for k, place in enumerate(routes.hot_orders(g, top), 2):
-                hot = np.flatnonzero(place >= 0)
-                known = hot[routes.hot_known[place[hot]]]
-                best[known], log_count[known] = k, routes.log_hot[place[known]]
-                some = np.flatnonzero((top >= k) & (place < 0))
-                key, group, n = np.unique(g[k - 1][some], return_inverse=True, return_counts=True)
-                several = in_documents(group, doc[some], len(key))[1]
-                known = some[several[group]]
-                best[known], log_count[known] = k, np.log(n)[group[several[group]]]
-                if k < order and several.any():
-                    out += count_rows(COUNTS, key[several], n[several], labels)
-            del g
-            value, asks = routes.settle(columns, hashes, top, best, log_count)
+            value, asked, counted = np.zeros(len(local)), {}, {}
+            for at in slices(columns, routes, slice_tokens):
+                own, doc = [c[at] for c in columns], local[at] + base[at]
+                hashes, top = [routes.hashes(c) for c in own], top_of(own)
+                g = grams(hashes)
+                best, log_count = np.ones(len(doc), np.int64), np.zeros(len(doc))
+                for k, place in enumerate(routes.hot_orders(g, top), 2):
+                    hot = np.flatnonzero(place >= 0)
+                    known = hot[routes.hot_known[place[hot]]]
+                    best[known], log_count[known] = k, routes.log_hot[place[known]]
+                    some = np.flatnonzero((top >= k) & (place < 0))
+                    key, group, n = np.unique(g[k - 1][some], return_inverse=True, return_counts=True)
+                    several = in_documents(group, doc[some], len(key))[1]
+                    known = some[several[group]]
+                    best[known], log_count[known] = k, np.log(n)[group[several[group]]]
+                    if k < order and several.any():
+                        counted.setdefault(k, []).append((key[several], n[several]))
+                del g
+                value[at], asks = routes.settle(own, hashes, top, best, log_count)
+                for far, words_, add in asks:
+                    asked.setdefault((len(words_), add), []).append(at[far])
+            for found in counted.values():
+                out += count_rows(COUNTS, *(np.concatenate(x) for x in zip(*found, strict=True)), labels)
             out += sums(local, value, base, labels)
-            out += ask(asks, local, base, routes, labels)
+            out += ask_all(asked, columns, local, base, routes, labels)
         return pd.DataFrame(out, columns=COLUMNS)
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -422,4 +464,5 @@ def log_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = source.mapInArrow(explode, ROW).repartition(parts, "p").groupBy("p").applyInPandas(find_best, ROW)
     rows = rows.repartition(parts, "p").groupBy("p").applyInPandas(answer, ROW)
-    return rows.groupBy("base").applyInPandas(add, "doc_id long, n_words long, log_score double")
+    with arrow_rows(spark, ARROW_ROWS):  # a batch of texts stays small outside the heap and in the worker
+        return write_table(rows.groupBy("base").applyInPandas(add, "doc_id long, n_words long, log_score double"), "log-scores")
