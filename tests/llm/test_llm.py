@@ -188,6 +188,43 @@ def test_segmentations_of_unbroken_and_repeated_rows(spark):
     assert len({by[i, k][0] for k in (1, 2, 3) for i in (1,)}) == 3 and len({by[2, k][0] for k in (1, 2, 3)}) == 3
 
 
+def test_lattices_are_shared_by_words_that_differ_in_what_no_piece_joins():
+    import public_tokenizers
+
+    lat = spm_sampling.Lattices(public_tokenizers.path("piece_bpe_32k.model"))
+    stems = ["the", "cat", "Haus", "été"]
+    texts = [spm_sampling.normalized(a + x + b + y) for a in stems for b in stems for x in (".\n", ",\n", "\n\n") for y in ("", "%%%", "&&&", ".")]
+    texts += ["", spm_sampling.normalized("  a  b "), spm_sampling.normalized("▁▁x▁ \U0001F600\U0001F601")]
+    raw = [t.encode() for t in texts]
+    chunks, word, text = lat.split(raw)
+    chunks = chunks.to_pylist()
+    assert b"".join(chunks) == b"".join(raw) and word[-1] == len(chunks) and text[-1] == len(word) - 1
+    for t, a, b in zip(texts, text[:-1], text[1:]):
+        assert [b"".join(chunks[word[i] : word[i + 1]]).decode() for i in range(a, b)] == re.findall("▁*[^▁]+|▁+", t)
+        own, at = [c.decode() for c in chunks[word[a] : word[b]]], 0
+        for c in own[:-1]:  # no piece holds both sides of a cut
+            at += len(c)
+            assert not any(t[x:y] in lat.piece for x in range(max(0, at - lat.longest), at) for y in range(at + 1, min(len(t), x + lat.longest) + 1))
+    drawn = spm_sampling.sample_texts(texts, list(range(1, len(texts) + 1)), lat, 3)
+    assert all(lat.spelled(lat.spell(f[3])) == r if len(f[3]) else not r for found, r in zip(drawn, raw) for f in found)
+    assert len(lat.chunk) < 40  # words, without the cuts, would be 192
+
+
+def test_groups_left_undrawn_change_nothing(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [spm_sampling.normalized(t) for t in (LONG, "漢字" * 400 + " the cat", "漢" * 300, LONG[:40], "", "a")]
+    found = []
+    for far in (spm_sampling.FAR, -1e9, -0.5):
+        monkeypatch.setattr(spm_sampling, "FAR", far)
+        found.append(spm_sampling.sample_texts(texts, [3, 4, 5, 6, 7, 8], spm_sampling.Lattices(path), 4))
+    for other in found[1:]:
+        for x, y in zip(found[0], other, strict=True):
+            assert [f[3].tolist() for f in x] == [f[3].tolist() for f in y]
+            assert np.allclose([f[:3] for f in x], [f[:3] for f in y], rtol=1e-9)
+
+
 def brute_metrics(text):
     import re
 
